@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from factloom.llm import mixing, secrets
+from factloom.llm import jaccard, lm, matroska, mixing, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
     "op5_source_mix": mixing.query,
+    "op6_matroska": matroska.query,
+    "op7_bloom_lm": lm.query,
+    "op8_jaccard_join": jaccard.query,
 }
 
 SQL = {
