@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import jaccard, lm, matroska, mixing, secrets
+from factloom.llm import decontaminate, jaccard, lm, matroska, mixing, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
@@ -10,8 +10,10 @@ QUERIES = {
     "op6_matroska": matroska.query,
     "op7_bloom_lm": lm.query,
     "op8_jaccard_join": jaccard.query,
+    "op10_decontamination": decontaminate.query,
 }
 
 SQL = {
     "op5_source_mix": mixing.SQL,
+    "op10_decontamination": decontaminate.SQL,
 }
