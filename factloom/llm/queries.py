@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from factloom.llm import decontaminate, jaccard, lm, matroska, mixing, secrets
+from factloom.llm import decontaminate, jaccard, language, lm, matroska, mixing, quality, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
+    "op2_quality_classifier": quality.query,
     "op5_source_mix": mixing.query,
     "op6_matroska": matroska.query,
     "op7_bloom_lm": lm.query,
     "op8_jaccard_join": jaccard.query,
+    "op9_language_id": language.query,
     "op10_decontamination": decontaminate.query,
 }
 
 SQL = {
     "op5_source_mix": mixing.SQL,
+    "op9_language_id": language.query,
     "op10_decontamination": decontaminate.SQL,
 }
