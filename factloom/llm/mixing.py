@@ -64,11 +64,13 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return found.select("source", "budget", F.when(~F.col("all"), F.col("threshold")).alias("threshold"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of ``docs``; taken is a whole number of times the size.
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, whole: bool = False) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) for every row of ``docs``; taken is a whole number of times the size. With
+    ``whole``, all columns of ``docs`` and these four (a column of such a name is replaced).
 
     A source with target T and size S is taken floor(T / S) times whole, and once more where the hash is under the threshold of the rest."""
-    sized = cut(docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), hashed(F.col(key)).alias("hash")), "sized")
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    sized = cut(docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"), hashed(F.col(key)).alias("hash")), "sized")
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     aim = cut(targets(sums, weights, share, cap), "aim")
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -76,9 +78,15 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     under = thresholds(sized, aim.select("source", "budget"))
     plan = aim.alias("a").join(under.alias("u"), F.col("a.source").eqNullSafe(F.col("u.source"))).select(F.col("a.source").alias("s"), "source_size", "target", "times", "threshold")
     # a table with a known size: Spark broadcasts it below its threshold and otherwise splits the skewed join
-    out = sized.join(cut(plan, "plan"), sized["source"].eqNullSafe(F.col("s")))
-    again = F.when(F.col("threshold").isNull() | (F.col("hash") < F.col("threshold")), 1).otherwise(0)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.least(F.lit(int(cap)), F.col("times") + again)).cast("long").alias("taken"))
+    plan = cut(plan, "plan")
+    again = lambda h: F.when(F.col("_t").isNull() | (h < F.col("_t")), 1).otherwise(0)
+    plan = plan.select(F.col("s").alias("_s"), F.col("source_size").alias("_z"), F.col("target").alias("_a"), F.col("times").alias("_n"), F.col("threshold").alias("_t"))
+    if whole:
+        made = {"size": size, "source_size": F.col("_z"), "target": F.col("_a"), "taken": (size * F.least(F.lit(int(cap)), F.col("_n") + again(hashed(F.col(key))))).cast("long")}
+        out = docs.join(plan, F.col(source).cast("string").eqNullSafe(F.col("_s")))
+        return out.select(*(c for c in docs.columns if c not in made), *(v.alias(k) for k, v in made.items()))
+    out = sized.join(plan, sized["source"].eqNullSafe(F.col("_s")))
+    return out.select("doc_id", "size", F.col("_z").alias("source_size"), F.col("_a").alias("target"), (F.col("size") * F.least(F.lit(int(cap)), F.col("_n") + again(F.col("hash")))).cast("long").alias("taken"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from factloom.llm import decontaminate, jaccard, language, lm, matroska, mixing, quality, secrets
+from factloom.llm import decontaminate, jaccard, language, licences, lm, matroska, mixing, quality, secrets, tokens
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
     "op2_quality_classifier": quality.query,
+    "op3_token_counts": tokens.query,
+    "op4_license_scan": licences.query,
     "op5_source_mix": mixing.query,
     "op6_matroska": matroska.query,
     "op7_bloom_lm": lm.query,
@@ -16,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_license_scan": licences.SQL,
     "op5_source_mix": mixing.SQL,
     "op9_language_id": language.query,
     "op10_decontamination": decontaminate.SQL,
