@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.sampling import labelled
+from factloom.llm.sampling import draw, labelled
 from factloom.llm.words import WHITE, column, groups, mix, words
 
 U = np.uint64
@@ -206,9 +206,11 @@ def held_out():
 
 def train(docs: DataFrame, labels: DataFrame, each: int = EACH) -> Model | None:
     """A model from the labelled rows of ``docs`` that are not held out."""
-    known = labels.select(F.col("doc_id").alias("i"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)").dropDuplicates(["i"])
-    rows = docs.select("doc_id", "text").where(~held_out()).join(known, F.col("doc_id") == F.col("i"))
-    sample = labelled(rows, F.col("quality"), each=each)
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & ~held_out())
+    drawn = draw(known, F.col("quality"), "doc_id", each).groupBy(F.col("doc_id").alias("i")).agg(F.min("quality").alias("quality"))
+    # about `each` keys for each of two labels, so small enough for every worker: the texts stay where they are
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("i"))
+    sample = labelled(rows, F.col("quality"), each=2 * each)
     return fit(sample["label"].to_pylist(), sample["text"].combine_chunks() if len(sample) else pa.array([], pa.string()))
 
 

@@ -7,24 +7,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled(docs: DataFrame, label: Column, text: str = "text", key: str = "doc_id", each: int = 2000, most_bytes: int = 48 << 20) -> pa.Table:
-    """Table (label, text) of about ``each`` rows a label and at most ``most_bytes`` of text in all.
-
-    Every row with a label may be drawn: a label's share is its wanted rows over its count, and rows are in by the hash of
-    their key. The longest texts leave first where the bytes would not fit."""
-    spark = docs.sparkSession
-    rows = docs.select(label.alias("label"), F.col(text).alias("text"), (F.xxhash64(F.lit("fit"), F.col(key)).bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)).alias("u")).where("label is not null and text is not null")
+def draw(rows: DataFrame, label: Column, key: str, each: int) -> DataFrame:
+    """The rows with ``label`` and ``u``, their place in 0..1 by the hash of their key: about ``each`` a label, all if there are fewer."""
+    rows = rows.withColumns({"label": label, "u": F.xxhash64(F.lit("fit"), F.col(key)).bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)}).where("label is not null")
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # a row a label
     if not sizes:
-        return pa.table({"label": pa.array([], pa.string()), "text": pa.array([], pa.string())})
-    # by label: at most `each` rows expected, and within twice that by bytes
+        return rows.where("false")
     share = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items(), key=str) for x in (k, min(1.0, each / n))])[F.col("label")]
-    drawn = rows.where(F.col("u") < share)
+    return rows.where(F.col("u") < share)
+
+
+def labelled(docs: DataFrame, label: Column, text: str = "text", key: str = "doc_id", each: int = 2000, most_bytes: int = 48 << 20) -> pa.Table:
+    """Table (label, text) of about ``each`` rows a label and at most ``most_bytes`` of text in all.
+
+    Every row with a label may be drawn, by the hash of its key. The longest texts leave first where the bytes would not fit."""
+    drawn = draw(docs.where(F.col(text).isNotNull()), label, key, each).select("label", F.col(text).alias("text"), "u")
     limit = 1 << 40
     while True:
         total = drawn.where(F.octet_length("text") <= limit).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         if total <= most_bytes:
             break
         limit = min(limit, most_bytes) // 2
-    out = drawn.where(F.octet_length("text") <= limit).select("label", "text", "u").toArrow()
+    out = drawn.where(F.octet_length("text") <= limit).toArrow()
     return out.sort_by([("u", "ascending")]).select(["label", "text"])
