@@ -1,4 +1,604 @@
-"""Registered queries over the driver's tables and their SQL."""
+"""Registered queries over the driver's tables and their SQL.
+
+A query applies an operator to whole tables; its SQL says the same in DuckDB by other means. Queries without SQL run operators that SQL
+can't express and are tested against small brute-force versions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from factloom import config as C
+from factloom.functions import text as T
+from factloom.operators import align, evolve, graph, mcq, mentions, structure, study
+from factloom.operators.ids import first_by, ordinals, top_by
+from factloom.plans.demo import frame, graphs, table, with_views
+from factloom.sources import tables as sources
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function (spark, sf_dir) under its name, with its SQL over the tables and the demo views."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = with_views(sql)
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- text ----
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_PIECES = "regexp_extract_all({0}, '[^。！？.!?]*[。！？.!?]|[^。！？.!?]+$')"
+_SENTENCES = f"""s0 AS (SELECT doc_id, unnest({_PIECES.format('text')}) AS s, generate_subscripts({_PIECES.format('text')}, 1) AS i FROM documents),
+s1 AS (SELECT doc_id, {_STRIP.format('s')} AS sentence, i FROM s0),
+ss AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, sentence FROM s1 WHERE sentence <> '')"""
+_WORD = "[A-Za-zÀ-ɏ]{6,}"
+_MENTIONS = f"""{_SENTENCES},
+m0 AS (SELECT doc_id, pos, sentence, unnest(regexp_extract_all(sentence, '{_WORD}')) AS mention, generate_subscripts(regexp_extract_all(sentence, '{_WORD}'), 1) - 1 AS ord FROM ss),
+mm AS (SELECT doc_id, pos, ord, mention, instr(sentence, mention) - 1 AS start_char, instr(sentence, mention) - 1 + length(mention) AS end_char,
+  CASE WHEN length(mention) <= 7 THEN 'Concept' WHEN length(mention) <= 9 THEN 'Org' ELSE 'Law' END AS ent_type FROM m0)"""
+
+
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mentions.sentence_table(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", number=False)
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mentions.word_mentions(_sentences(spark, sf_dir), ["doc_id", "pos"], _WORD)
+
+
+_ORDER = ["doc_id", "pos", "start_char", "ord"]
+
+
+@query(f"WITH {_SENTENCES} SELECT doc_id, pos, sentence FROM ss")
+def sentence_split(spark, sf_dir):
+    return _sentences(spark, sf_dir).withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("text").alias("sentence"))
+
+
+@query(f"WITH {_SENTENCES} SELECT doc_id, pos, sentence, 's' || lpad((row_number() OVER (ORDER BY doc_id, pos))::VARCHAR, greatest(4, length((row_number() OVER (ORDER BY doc_id, pos))::VARCHAR)), '0') AS sentence_id FROM ss")
+def sentence_ids(spark, sf_dir):
+    return mentions.sentence_table(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("text").alias("sentence"), "sentence_id")
+
+
+@query("""SELECT doc_id, doc_id % 7 + 1 AS page_no, 1 AS page_ord, trim(regexp_replace('before ' || text || ' ', '\\s+', ' ', 'g')) AS text FROM documents
+UNION ALL SELECT doc_id, 9, 2, 'last page' FROM documents""")
+def page_parse(spark, sf_dir):
+    text = F.concat(F.lit("before\n\n=== Page "), (F.col("doc_id") % 7 + 1).cast("string"), F.lit(" ===\n"), F.col("text"), F.lit("\n=== Page 9 === x\n last  page \n"))
+    return sources.parse_pages(read(spark, sf_dir, "documents").select("doc_id", text.alias("text")), "doc_id").select("doc_id", F.col("page_no").cast("long").alias("page_no"), F.col("page_ord").cast("int").alias("page_ord"), "text")
+
+
+_MARKS = "《》「」【】\\[\\]()（）\"''“”‘’"
+_CLEAN0 = f"regexp_replace(regexp_replace(mention, '\\s+', '', 'g'), '^[{_MARKS}]+|[{_MARKS}]+$', '', 'g')"
+_CLEAN1 = f"c0 AS (SELECT id, ent_type, mention, {_CLEAN0} AS a FROM ms), c1 AS (SELECT id, ent_type, mention, CASE WHEN length(a) > 3 AND left(a, 1) IN ('和', '的') THEN substr(a, 2) ELSE a END AS b FROM c0), cm AS (SELECT id, ent_type, mention, CASE WHEN starts_with(b, '刑法修正案(') AND right(b, 1) NOT IN (')', '）') THEN b || ')' WHEN starts_with(b, '刑法修正案（') AND right(b, 1) NOT IN (')', '）') THEN b || '）' ELSE b END AS c FROM c1)"
+
+
+@query(f"WITH {_CLEAN1} SELECT id, mention, c AS cleaned FROM cm")
+def mention_clean(spark, sf_dir):
+    return table(spark, sf_dir, "ms").select("id", "mention", T.clean_mention("mention").alias("cleaned"))
+
+
+_LIST = lambda xs: ", ".join(f"'{x}'" for x in xs)
+_ENDS = " OR ".join(f"ends_with(c, '{x}')" for x in C.GENERIC_ENDS)
+_SHORT = f"(length(c) < 2 OR length(c) > 20 OR regexp_full_match(c, '[{C.NUMERALS}]+'))"
+_TRUTH = f"({_SHORT} OR NOT regexp_matches(c, '[\\x{{4e00}}-\\x{{9fff}}A-Za-z0-9]') OR c IN ({_LIST(C.STOP_WORDS)}) OR (({_ENDS}) AND length(c) <= 6))"
+_BOOK = "(lower(ent_type) = 'book' AND (length(c) < 3 OR (left(c, 1) IN ('的', '和') AND length(c) <= 4) OR c IN ('决定', '修正案')))"
+
+
+@query(f"WITH {_CLEAN1} SELECT id, c AS cleaned, {_TRUTH} OR {_BOOK} AS bad, {_TRUTH} AS bad_truth, {_SHORT} OR {_BOOK} AS bad_legacy FROM cm")
+def mention_filter(spark, sf_dir):
+    m = table(spark, sf_dir, "ms").withColumn("cleaned", T.clean_mention("mention"))
+    return m.select("id", "cleaned", *[T.bad_mention("cleaned", F.col("ent_type"), r).alias(n) for n, r in (("bad", "full"), ("bad_truth", "truth"), ("bad_legacy", "legacy"))])
+
+
+_PART = f"trim(regexp_replace(regexp_replace(x, '\\s+', '', 'g'), '^[{_MARKS}]+|[{_MARKS}]+$', '', 'g'))"
+
+
+@query(f"""WITH a AS (SELECT id, mention, regexp_matches(mention, '[、，,；;/／]') AS has FROM ms),
+b AS (SELECT id, mention, unnest(string_split_regex(mention, '[、，,；;/／]')) AS x, generate_subscripts(string_split_regex(mention, '[、，,；;/／]'), 1) AS i FROM a WHERE has),
+c AS (SELECT id, {_PART} AS part, min(i) AS i FROM b GROUP BY id, {_PART} HAVING length({_PART}) >= 2)
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS pos, part FROM c UNION ALL SELECT id, 0, mention FROM a WHERE NOT has OR id NOT IN (SELECT id FROM c)""")
+def mention_split_list(spark, sf_dir):
+    return table(spark, sf_dir, "ms").select("id", F.posexplode(T.split_list("mention")).alias("pos", "part")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"WITH {_MENTIONS} SELECT doc_id, pos, ord, mention, start_char, end_char, ent_type FROM mm")
+def mention_span(spark, sf_dir):
+    m = _words(spark, sf_dir).join(_number(spark, sf_dir), ["doc_id", "pos"])
+    return m.select("doc_id", F.col("new_pos").alias("pos"), F.col("ord").cast("long").alias("ord"), "mention", F.col("start_char").cast("long").alias("start_char"), F.col("end_char").cast("long").alias("end_char"), "ent_type")
+
+
+def _number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sentences(spark, sf_dir).select("doc_id", "pos", F.col("pos").cast("long").alias("new_pos"))
+
+
+@query(f"WITH {_MENTIONS} SELECT doc_id, pos, ord, mention FROM mm QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY start_char, ord) <= 8")
+def mention_topk(spark, sf_dir):
+    return top_by(_words(spark, sf_dir), ["doc_id", "pos"], ["start_char", "ord"], C.CONFIG.entities_kept).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("ord").cast("long").alias("ord"), "mention")
+
+
+@query(f"WITH {_MENTIONS} SELECT doc_id, mention, ent_type, pos, ord FROM mm QUALIFY row_number() OVER (PARTITION BY doc_id, mention, ent_type ORDER BY pos, start_char, ord) = 1")
+def mention_dedup(spark, sf_dir):
+    return mentions.first_mentions(_words(spark, sf_dir), "doc_id", ["pos", "start_char", "ord"]).select("doc_id", "mention", "ent_type", F.col("pos").cast("long").alias("pos"), F.col("ord").cast("long").alias("ord"))
+
+
+@query()
+def mention_overlap(spark, sf_dir):
+    w = _words(spark, sf_dir).withColumn("sentence_id", F.concat_ws(":", "doc_id", "pos"))
+    longer = w.withColumns({"end_char": F.col("end_char") + F.col("ord") % 9, "confidence": 0.5 + (F.col("ord") % 5) / 10, "ent_type": F.lit("Concept")})
+    return mentions.resolve_overlaps(w.unionByName(longer)).select("sentence_id", "ent_type", "start_char", "end_char", "mention")
+
+
+@query(f"WITH {_MENTIONS} SELECT doc_id, pos, ord FROM mm WHERE doc_id % 3 <> 1 QUALIFY row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id, pos, ord) <= 120")
+def kg_edges_budget(spark, sf_dir):
+    w = _words(spark, sf_dir)
+    done = read(spark, sf_dir, "documents").where("doc_id % 3 = 1").select("doc_id")
+    rows = mentions.unseen(w, done, "doc_id").withColumn("batch", F.floor(F.col("doc_id") / C.CONFIG.batch_sentences))
+    return mentions.budgeted(rows, "batch", "doc_id", ["pos", "ord"]).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("ord").cast("long").alias("ord"))
+
+
+# ---- graphs from text ----
+def _text_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.nodes_of(_words(spark, sf_dir).withColumn("start_char", F.col("start_char")), _ORDER)
+
+
+@query(f"""WITH {_MENTIONS}, f AS (SELECT * FROM mm QUALIFY row_number() OVER (PARTITION BY mention, ent_type ORDER BY doc_id, pos, start_char, ord) = 1)
+SELECT 'n' || CASE WHEN r < 100000 THEN lpad(r::VARCHAR, 5, '0') ELSE r::VARCHAR END AS node_id, mention AS name, ent_type AS label, doc_id AS page_no FROM (SELECT *, row_number() OVER (ORDER BY doc_id, pos, start_char, ord) AS r FROM f)""")
+def kg_nodes(spark, sf_dir):
+    return _text_nodes(spark, sf_dir).select("node_id", F.col("mention").alias("name"), F.col("ent_type").alias("label"), F.col("doc_id").alias("page_no"))
+
+
+_PAIRS = """pp AS (SELECT doc_id, pos, row_number() OVER w AS pair, mention AS head, ent_type AS ht, lead(mention) OVER w AS tail, lead(ent_type) OVER w AS tt FROM mm WINDOW w AS (PARTITION BY doc_id, pos ORDER BY start_char, ord)),
+pk AS (SELECT * FROM pp WHERE tail IS NOT NULL AND (head <> tail OR ht <> tt) QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY pair) <= 20)"""
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _words(spark, sf_dir).withColumn("sentence", F.struct("doc_id", "pos"))
+    return graph.adjacent_pairs(w, "sentence").select("sentence.doc_id", "sentence.pos", *["pair", "head", "head_type", "tail", "tail_type", "head_conf", "tail_conf"])
+
+
+@query(f"WITH {_MENTIONS}, {_PAIRS} SELECT doc_id, pos, pair, head, tail FROM pk")
+def kg_edges_adjacent(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("pair").cast("long").alias("pair"), "head", "tail")
+
+
+@query(f"""WITH {_MENTIONS}, {_PAIRS} SELECT 'e' || CASE WHEN r < 100000 THEN lpad(r::VARCHAR, 5, '0') ELSE r::VARCHAR END AS edge_id, head, tail, CASE WHEN ht = tt THEN 'related_to' WHEN ht = 'Law' THEN 'defines' WHEN tt = 'Law' THEN 'part_of' ELSE 'includes' END AS relation_type, 0.8::DOUBLE AS confidence
+FROM (SELECT *, row_number() OVER (ORDER BY doc_id, pos, pair) AS r FROM pk)""")
+def kg_edges(spark, sf_dir):
+    edges = graph.edges_of(graph.classified(_pairs(spark, sf_dir)), _text_nodes(spark, sf_dir), ["doc_id", "pos", "pair"])
+    return edges.select("edge_id", "head", "tail", "relation_type", "confidence")
+
+
+# ---- merged graphs ----
+def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    bn, be, tn, te = graphs(spark, sf_dir)
+    tag = lambda d, k: d.withColumn("kg", F.lit(k))
+    return tag(bn, "base").unionByName(tag(tn, "truth")), tag(be, "base").unionByName(tag(te, "truth"))
+
+
+_MERGED = """an AS (SELECT *, 'base' AS kg FROM bn UNION ALL SELECT *, 'truth' FROM tn), ae AS (SELECT *, 'base' AS kg FROM be UNION ALL SELECT *, 'truth' FROM te),
+gn AS (SELECT *, row_number() OVER (ORDER BY kg, ord) AS r FROM (SELECT * FROM an QUALIFY row_number() OVER (PARTITION BY name, label ORDER BY kg, ord) = 1)),
+gi AS (SELECT 'g' || CASE WHEN r < 100000 THEN lpad(r::VARCHAR, 5, '0') ELSE r::VARCHAR END AS global_node_id, name, label, node_id, kg FROM gn)"""
+
+
+@query(f"WITH {_MERGED} SELECT global_node_id, name, label, node_id AS example_node, kg AS example_kg FROM gi")
+def kg_merge_nodes(spark, sf_dir):
+    return graph.merge_nodes(_two(spark, sf_dir)[0])
+
+
+@query(f"""WITH {_MERGED}, li AS (SELECT an.kg, an.node_id, gi.global_node_id AS g FROM an JOIN gi USING (name, label)),
+x AS (SELECT ae.*, a.g AS gs, b.g AS gd FROM ae JOIN li a ON ae.kg = a.kg AND src_id = a.node_id JOIN li b ON ae.kg = b.kg AND dst_id = b.node_id WHERE a.g <> b.g),
+y AS (SELECT *, min((kg, ord)) OVER (PARTITION BY gs, gd, relation_type) AS f FROM x QUALIFY row_number() OVER (PARTITION BY gs, gd, relation_type ORDER BY confidence DESC, kg, ord) = 1)
+SELECT 'ge' || CASE WHEN r < 100000 THEN lpad(r::VARCHAR, 5, '0') ELSE r::VARCHAR END AS global_edge_id, gs AS src_id, gd AS dst_id, relation_type, confidence, edge_id AS example_edge, kg AS example_kg FROM (SELECT *, row_number() OVER (ORDER BY f) AS r FROM y)""")
+def kg_merge_edges(spark, sf_dir):
+    nodes, edges = _two(spark, sf_dir)
+    return graph.merge_edges(edges, nodes, graph.merge_nodes(nodes))
+
+
+@query("SELECT node_id, name, label, CASE WHEN ord % 3 = 0 THEN -1 ELSE (ord % 50)::INT END AS page_no FROM (SELECT * FROM bn UNION ALL SELECT node_id, upper(name), label, ord + 5000000000 FROM bn WHERE ord % 4 = 0) QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY ord DESC) = 1")
+def graphdb_nodes_upsert(spark, sf_dir):
+    bn = table(spark, sf_dir, "bn")
+    log = bn.unionByName(bn.where("ord % 4 = 0").withColumns({"name": F.upper("name"), "ord": F.col("ord") + 5000000000}))
+    return graph.upsert_nodes(log.withColumn("page_no", F.when(F.col("ord") % 3 == 0, "x").otherwise((F.col("ord") % 50).cast("string")))).select("node_id", "name", "label", "page_no")
+
+
+@query("SELECT src_id, dst_id, relation_type FROM (SELECT * FROM be UNION ALL SELECT edge_id, src_id, dst_id, 'includes', confidence, s, d, ord + 1000000000000000 FROM be WHERE s % 3 = 0) WHERE src_id IN (SELECT node_id FROM bn) AND dst_id IN (SELECT node_id FROM bn) QUALIFY row_number() OVER (PARTITION BY src_id, dst_id ORDER BY ord DESC) = 1")
+def graphdb_edges_upsert(spark, sf_dir):
+    bn, be, _, _ = graphs(spark, sf_dir)
+    log = be.unionByName(be.where("s % 3 = 0").withColumns({"relation_type": F.lit("includes"), "ord": F.col("ord") + 1000000000000000}))
+    return graph.upsert_edges(log, bn).select("src_id", "dst_id", "relation_type")
+
+
+# ---- alignment ----
+_KEYS = """bk AS (SELECT DISTINCT name, label FROM bn), tk AS (SELECT DISTINCT name, label FROM tn),
+ns AS (SELECT coalesce(b.name, t.name) AS name, coalesce(b.label, t.label) AS label, CASE WHEN t.name IS NULL THEN 'FP' WHEN b.name IS NULL THEN 'FN' ELSE 'TP' END AS status FROM bk b FULL JOIN tk t ON b.name = t.name AND b.label = t.label),
+bx AS (SELECT DISTINCT a.name AS src_name, a.label AS src_label, relation_type, z.name AS dst_name, z.label AS dst_label FROM be JOIN bn a ON src_id = a.node_id JOIN bn z ON dst_id = z.node_id),
+tx AS (SELECT DISTINCT a.name AS src_name, a.label AS src_label, relation_type, z.name AS dst_name, z.label AS dst_label FROM te JOIN tn a ON src_id = a.node_id JOIN tn z ON dst_id = z.node_id),
+es AS (SELECT * EXCLUDE (i, j), CASE WHEN j IS NULL THEN 'FP' WHEN i IS NULL THEN 'FN' ELSE 'TP' END AS status FROM (SELECT *, 1 AS i FROM bx) FULL JOIN (SELECT *, 1 AS j FROM tx) USING (src_name, src_label, relation_type, dst_name, dst_label))"""
+
+
+def _metrics(category: str, entity: str, relation: str, more: str = "") -> str:
+    def block(prefix: str, rel: str) -> str:
+        return f"""c_{prefix} AS (SELECT count(*) FILTER (status = 'TP')::DOUBLE AS tp, count(*) FILTER (status = 'FP')::DOUBLE AS fp, count(*) FILTER (status = 'FN')::DOUBLE AS fn FROM {rel}),
+p_{prefix} AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM c_{prefix})"""
+
+    def rows(prefix: str, share: str) -> str:
+        one = f"FROM p_{prefix}"
+        named = [(f"{prefix}_{n}", v) for n, v in (("tp", "tp"), ("fp", "fp"), ("fn", "fn"), ("precision", "p"), ("recall", "r"), ("f1", "CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END"), ("coverage_recall", "r"))]
+        named.append((f"correct_{share}_share_in_truth", "r"))
+        return " UNION ALL ".join(f"SELECT '{category}_{n}' AS metric_name, round({v}, 9) AS value, '{category}' AS category {one}" for n, v in named)
+
+    return f", {block('entity', entity)}, {block('relation', relation)} {rows('entity', 'entities')} UNION ALL {rows('relation', 'edges')}{more}"
+
+
+def _rounded(metrics: DataFrame) -> DataFrame:
+    return metrics.select("metric_name", F.round("value", 9).alias("value"), "category")
+
+
+@query(f"WITH {_KEYS}{_metrics('strict', 'ns', 'es')}")
+def align_strict_metrics(spark, sf_dir):
+    return _rounded(align.metric_table(*align.strict(*graphs(spark, sf_dir)), "strict"))
+
+
+@query(f"WITH {_KEYS} SELECT name, label, status FROM ns")
+def align_nodes_status(spark, sf_dir):
+    return align.strict(*graphs(spark, sf_dir))[0]
+
+
+@query(f"WITH {_KEYS} SELECT src_name, src_label, relation_type, dst_name, dst_label, status FROM es")
+def align_edges_status(spark, sf_dir):
+    return align.strict(*graphs(spark, sf_dir))[1]
+
+
+_RELAXED = """bm AS (SELECT DISTINCT name FROM bn), tm AS (SELECT DISTINCT name FROM tn),
+cx AS (SELECT b.name, b.name AS target, 'exact' AS stage FROM bm b JOIN tm t ON b.name = t.name),
+cr AS (SELECT name FROM bm WHERE name NOT IN (SELECT name FROM cx)),
+cs AS (SELECT b.name, t.name AS target, 'substring' AS stage FROM cr b JOIN tm t ON t.name <> '' AND (contains(t.name, b.name) OR contains(b.name, t.name)) QUALIFY row_number() OVER (PARTITION BY b.name ORDER BY length(t.name) DESC, t.name) = 1),
+ca AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY length(name) DESC, name) = 1 AS claimed FROM (SELECT * FROM cx UNION ALL SELECT * FROM cs)),
+cf AS (SELECT b.name, target, coalesce(stage, 'none') AS stage, coalesce(claimed, false) AS claimed FROM bm b LEFT JOIN ca ON b.name = ca.name)"""
+
+
+@query(f"WITH {_RELAXED} SELECT name, target, stage, claimed FROM cf")
+def align_relaxed_claim(spark, sf_dir):
+    bn, _, tn, _ = graphs(spark, sf_dir)
+    return align.relaxed_names(align.node_keys(bn), align.node_keys(tn), "substring")
+
+
+_TRIPLES = f"""{_RELAXED}, cc AS (SELECT name, target FROM cf WHERE claimed),
+rs AS (SELECT CASE WHEN claimed THEN 'TP' ELSE 'FP' END AS status FROM cf UNION ALL SELECT 'FN' FROM tm WHERE name NOT IN (SELECT target FROM cc)),
+br AS (SELECT a.name AS x, relation_type, z.name AS y FROM be JOIN bn a ON src_id = a.node_id JOIN bn z ON dst_id = z.node_id),
+bq AS (SELECT p.target AS src, relation_type, q.target AS dst FROM br LEFT JOIN cc p ON x = p.name LEFT JOIN cc q ON y = q.name),
+bt AS (SELECT DISTINCT * FROM bq WHERE src IS NOT NULL AND dst IS NOT NULL),
+tt AS (SELECT DISTINCT a.name AS src, relation_type, z.name AS dst FROM te JOIN tn a ON src_id = a.node_id JOIN tn z ON dst_id = z.node_id),
+rt AS (SELECT CASE WHEN j IS NULL THEN 'FP' WHEN i IS NULL THEN 'FN' ELSE 'TP' END AS status FROM (SELECT *, 1 AS i FROM bt) FULL JOIN (SELECT *, 1 AS j FROM tt) USING (src, relation_type, dst))"""
+_MORE = """ UNION ALL SELECT 'relaxed_relaxed_dropped_edges_unmapped_endpoints', count(*) FILTER (src IS NULL OR dst IS NULL)::DOUBLE, 'relaxed' FROM bq
+UNION ALL SELECT 'relaxed_relaxed_mapped_triples_count', count(*)::DOUBLE, 'relaxed' FROM bt UNION ALL SELECT 'relaxed_truth_triples_count', count(*)::DOUBLE, 'relaxed' FROM tt"""
+
+
+@query(f"WITH {_TRIPLES}{_metrics('relaxed', 'rs', 'rt', _MORE)}")
+def align_relaxed_triples(spark, sf_dir):
+    nodes, triples, more = align.relaxed(*graphs(spark, sf_dir), "substring")
+    return _rounded(align.metric_table(nodes, triples, "relaxed", more))
+
+
+@query()
+def align_relaxed_similarity(spark, sf_dir):
+    # words of accepted documents against those of all other labelled ones
+    words = _words(spark, sf_dir).join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").select(F.lower("mention").alias("name"), "quality")
+    return align.relaxed_names(words.where("quality = 0"), words.where("quality = 1"), "similarity")
+
+
+# ---- structure ----
+_NEAR = """nb0 AS (SELECT src_id AS u, dst_id AS v FROM be WHERE src_id <> dst_id AND src_id IN (SELECT node_id FROM bn) AND dst_id IN (SELECT node_id FROM bn)),
+nb AS (SELECT u, v FROM nb0 UNION SELECT v, u FROM nb0), dg AS (SELECT node_id, count(v) AS degree FROM bn LEFT JOIN nb ON node_id = u GROUP BY node_id)"""
+
+
+@query(f"WITH {_NEAR} SELECT node_id, degree FROM dg")
+def struct_degree(spark, sf_dir):
+    return graph.degrees(*graphs(spark, sf_dir)[:2])
+
+
+_TRI = "tr AS (SELECT a.u AS node_id, count(*) AS t FROM nb a JOIN nb b ON a.u = b.u AND a.v < b.v JOIN nb c ON a.v = c.u AND b.v = c.v GROUP BY a.u)"
+_CLU = f"{_NEAR}, {_TRI}, cl AS (SELECT node_id, degree, coalesce(t, 0) AS triangles, 2.0::DOUBLE * coalesce(t, 0) / (degree * (degree - 1)) AS coefficient FROM dg LEFT JOIN tr USING (node_id) WHERE degree >= 2)"
+
+
+@query(f"WITH {_CLU} SELECT node_id, degree, triangles, round(coefficient, 9) AS coefficient FROM cl")
+def struct_clustering(spark, sf_dir):
+    return structure.clustering(*graphs(spark, sf_dir)[:2]).select("node_id", "degree", "triangles", F.round("coefficient", 9).alias("coefficient"))
+
+
+def _repeated(be: DataFrame) -> DataFrame:
+    return be.unionByName(be.where("s % 7 = 0")).unionByName(be.where("s % 31 = 0").withColumn("dst_id", F.col("src_id")))
+
+
+_REP = "rp AS (SELECT src_id, relation_type, dst_id, confidence FROM be UNION ALL SELECT src_id, relation_type, dst_id, confidence FROM be WHERE s % 7 = 0 UNION ALL SELECT src_id, relation_type, src_id, confidence FROM be WHERE s % 31 = 0), rq AS (SELECT count(*) AS n, count(DISTINCT (src_id, relation_type, dst_id)) AS triples, count(*) FILTER (src_id = dst_id) AS self_loops FROM rp)"
+
+
+@query(f"WITH {_REP} SELECT n, triples, self_loops, round((n - triples)::DOUBLE / n, 9) AS duplicate_ratio, round(self_loops::DOUBLE / n, 9) AS self_loop_ratio FROM rq")
+def struct_dups(spark, sf_dir):
+    r = structure.repetition(_repeated(table(spark, sf_dir, "be")))
+    return r.select("n", "triples", "self_loops", F.round("duplicate_ratio", 9).alias("duplicate_ratio"), F.round("self_loop_ratio", 9).alias("self_loop_ratio"))
+
+
+# a sparse graph of suppliers and parts of one shipping month, so that there are components to find
+_SPARSE = "sp AS (SELECT DISTINCT 's' || CAST(l_suppkey AS STRING) AS src_id, 'p' || CAST(l_partkey AS STRING) AS dst_id FROM lineitem WHERE l_quantity = 1 AND l_discount = 0.05)"
+
+
+@query(f"""WITH RECURSIVE {_SPARSE}, nn AS (SELECT node_id FROM tn WHERE label IN ('supplier', 'part')), sym AS (SELECT src_id AS u, dst_id AS v FROM sp UNION SELECT dst_id, src_id FROM sp),
+w(node_id, c) AS (SELECT node_id, node_id FROM nn UNION SELECT v, c FROM w JOIN sym ON w.node_id = u)
+SELECT node_id, min(c) AS component FROM w GROUP BY node_id""".replace("WITH RECURSIVE ", "WITH "))
+def struct_components(spark, sf_dir):
+    nodes = table(spark, sf_dir, "tn").where("label in ('supplier', 'part')")
+    return structure.component_sizes(nodes, frame(spark, sf_dir, f"WITH {_SPARSE} SELECT * FROM sp"))
+
+
+SQL["struct_components"] = SQL["struct_components"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query()
+def struct_overall(spark, sf_dir):
+    bn, be, _, _ = graphs(spark, sf_dir)
+    return structure.quality(bn, _repeated(be))
+
+
+# ---- facts and questions ----
+_FACTS = """fx AS (SELECT ord, edge_id, coalesce(a.name, src_id) AS src_name, relation_type AS rel, coalesce(z.name, dst_id) AS dst_name, src_id || '|' || relation_type || '|' || dst_id AS kg_fact FROM be LEFT JOIN (SELECT node_id, name FROM bn) a ON src_id = a.node_id LEFT JOIN (SELECT node_id, name FROM bn) z ON dst_id = z.node_id)"""
+
+
+@query(f"WITH {_FACTS} SELECT edge_id, '事实：' || src_name || ' --' || rel || '--> ' || dst_name AS display_text, kg_fact, '' AS context FROM fx")
+def fact_items(spark, sf_dir):
+    return mcq.facts(*graphs(spark, sf_dir)[:2]).select("edge_id", "display_text", "kg_fact", "context")
+
+
+@query(f"WITH {_FACTS} SELECT edge_id, (r - 1) // 5 AS chunk, (r - 1) % 5 AS place FROM (SELECT edge_id, row_number() OVER (ORDER BY ord) AS r FROM fx)")
+def fact_chunks(spark, sf_dir):
+    return mcq.chunked(mcq.facts(*graphs(spark, sf_dir)[:2]), ["ord"]).select("edge_id", "chunk", "place")
+
+
+_REPLY = "CASE WHEN id % 5 = 0 THEN 'no json' ELSE '```json [{\"fact_index\": ' || CAST(id % 8 AS STRING) || ', \"question\": \"q' || CAST(id AS STRING) || '\", \"options\": [\"a\",\"b\",\"c\"' || CASE WHEN id % 3 = 0 THEN '' ELSE ',\"d\"' END || '], \"answer\": \"' || CASE WHEN id % 4 = 0 THEN 'e' ELSE 'b' END || '\", \"bloom_level\": \"B' || CAST(id % 9 AS STRING) || '\"}] ```' END"
+
+
+def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir, f"SELECT id, {_REPLY} AS reply, 5 AS n_facts FROM qs")
+
+
+@query("SELECT id, id % 8 AS fact_index, 'q' || id::VARCHAR AS question, 'B' AS answer, 'd' AS option_d FROM qs WHERE id % 5 <> 0 AND id % 3 <> 0 AND id % 4 <> 0 AND id % 8 BETWEEN 1 AND 5")
+def mcq_valid(spark, sf_dir):
+    return mcq.decoded(_replies(spark, sf_dir)).select("id", F.col("fact_index").cast("long").alias("fact_index"), "question", "answer", "option_d")
+
+
+@query("SELECT id, 'B' || (id % 9)::VARCHAR AS bloom_level, 'Understand' AS bloom_label FROM qs WHERE id % 5 <> 0 AND id % 3 <> 0 AND id % 4 <> 0 AND id % 8 BETWEEN 1 AND 5 AND id % 9 = 2")
+def bloom_valid(spark, sf_dir):
+    return mcq.bloom_valid(mcq.decoded(_replies(spark, sf_dir)), ["B2", "B1"]).select("id", "bloom_level", "bloom_label")
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bn, be, _, _ = graphs(spark, sf_dir)
+    q = mcq.template_questions(mcq.chunked(mcq.facts(bn, be), ["ord"]))
+    return q.withColumn("qid", T.numbered("q", F.row_number().over(Window.orderBy("ord")), 4))
+
+
+@query()
+def mcq_template(spark, sf_dir):
+    return _questions(spark, sf_dir).drop("ord")
+
+
+@query()
+def mcq_scores(spark, sf_dir):
+    bn, be, _, _ = graphs(spark, sf_dir)
+    s = mcq.evaluate(_questions(spark, sf_dir), bn, be)
+    return s.withColumn("entities_matched", F.to_json("entities_matched")).drop("ord")
+
+
+_MARKS_SQL = "SELECT id, n % 6 AS ent_cnt, CASE WHEN turn % 3 = 0 THEN 0 ELSE 1 END AS rel_cnt, CAST(n % 101 AS DOUBLE) AS q FROM qs"
+
+
+@query(f"""WITH mk AS ({_MARKS_SQL}), t AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (ent_cnt = 2)::DOUBLE AS a, count(*) FILTER (ent_cnt = 3)::DOUBLE AS b, count(*) FILTER (ent_cnt = 4)::DOUBLE AS c, count(*) FILTER (rel_cnt = 1)::DOUBLE AS r, avg(q) AS q FROM mk),
+u AS (SELECT 100 * greatest(0, 1 - 0.5 * (abs(a / n - 0.35) + abs(b / n - 0.45) + abs(c / n - 0.20)) - 0.5 * ((n - a - b - c) / n)) AS e, 100 * greatest(0, 1 - 0.5 * abs(r / n - 1) - 0.5 * ((n - r) / n)) AS r, q FROM t)
+SELECT round(e, 6) AS entity_score, round(r, 6) AS relation_score, round(0.2 * e + 0.2 * r + 0.6 * q, 6) AS suite_total FROM u""")
+def suite_total(spark, sf_dir):
+    m = frame(spark, sf_dir, _MARKS_SQL).withColumn("Q_total", F.col("q"))
+    for c in "ABCD":
+        m = m.withColumn({"A": "A_entity_relation_coverage_score", "B": "B_coherence_score", "C": "C_entity_alignment_score", "D": "D_relation_correctness_score"}[c], F.col("q"))
+    return mcq.suite(m).select(F.round("suite_entity_distribution_score", 6).alias("entity_score"), F.round("suite_relation_distribution_score", 6).alias("relation_score"), F.round("suite_total", 6).alias("suite_total"))
+
+
+@query(f"SELECT id, CASE WHEN ent_cnt <= 0 THEN 0 ELSE greatest(0, 100 - 20 * abs(ent_cnt - 3)) END * 0.5::DOUBLE + CASE WHEN rel_cnt >= 1 THEN 50 ELSE 0 END AS a_score FROM ({_MARKS_SQL})")
+def coverage_scores(spark, sf_dir):
+    return frame(spark, sf_dir, _MARKS_SQL).select("id", T.coverage_score(F.col("ent_cnt"), F.col("rel_cnt")).alias("a_score"))
+
+
+_RUBRIC = "SELECT id, n % 8 AS faithfulness, turn AS distractor, n % 5 AS coverage, 3 AS fluency FROM qs"
+
+
+@query(f"SELECT id, round((0.30 * least(5, greatest(1, faithfulness)) / 5 + 0.30 * least(5, greatest(1, distractor)) / 5 + 0.25 * least(5, greatest(1, coverage)) / 5 + 0.15 * 3 / 5)::DOUBLE, 6) AS total FROM ({_RUBRIC})")
+def rubric_legacy(spark, sf_dir):
+    return mcq.rubric_total(frame(spark, sf_dir, _RUBRIC)).select("id", F.round("Q_total", 6).alias("total"))
+
+
+@query("SELECT qid, CASE WHEN n % 100 < 85 AND n % 3 <> 0 THEN 'New ' || question ELSE question END AS revised_question, CASE WHEN n % 100 < 85 AND n % 3 <> 0 THEN 'yes' ELSE 'no' END AS changed, answer AS revised_answer FROM qs")
+def revision_gate(spark, sf_dir):
+    q = table(spark, sf_dir, "qs").withColumns({f"option_{x}": F.lit(x) for x in "abcd"} | {"Q_total": (F.col("n") % 100).cast("double")})
+    r = q.select("qid", F.when(F.col("n") % 3 != 0, F.concat(F.lit("New "), "question")).otherwise(" ").alias("revised_question"), *[F.lit("").alias(f"revised_option_{x}") for x in "abcd"], F.lit("clearer").alias("revision_reason"))
+    return mcq.revised(q, r).select("qid", "revised_question", "changed", "revised_answer")
+
+
+@query("SELECT id, CASE turn % 4 WHEN 0 THEN 'B' WHEN 1 THEN 'C' WHEN 2 THEN 'A' ELSE 'NONE' END AS letter FROM qs")
+def answer_letter(spark, sf_dir):
+    return table(spark, sf_dir, "qs").select("id", F.when(F.col("turn") % 4 == 1, T.answer(F.regexp_replace("answer", "The answer is", ":"))).otherwise(T.answer("answer")).alias("letter"))
+
+
+@query("SELECT edge_id, src_id AS fact_src, relation_type AS fact_rel, dst_id AS fact_dst FROM be")
+def fact_parse(spark, sf_dir):
+    be = table(spark, sf_dir, "be")
+    text = F.when(F.col("s") % 2 == 0, F.concat_ws("|", "src_id", "relation_type", "dst_id", F.lit("x"))).otherwise(F.concat("src_id", F.lit(" --"), "relation_type", F.lit("--> "), "dst_id"))
+    f = T.kg_fact(text)
+    return be.select("edge_id", f["src"].alias("fact_src"), f["rel"].alias("fact_rel"), f["dst"].alias("fact_dst"))
+
+
+@query("SELECT id, CASE WHEN id % 7 = 0 THEN 60 ELSE least(100, n)::INT END AS score FROM qs")
+def judge_score(spark, sf_dir):
+    reply = F.when(F.col("id") % 7 == 0, "sorry").otherwise(F.concat(F.lit("well: {\"score\": "), F.col("n").cast("string"), F.lit("} ok")))
+    return table(spark, sf_dir, "qs").select("id", T.percent(reply, "score").alias("score"))
+
+
+# ---- change logs ----
+_REV = "SELECT CAST(o_orderkey AS STRING) AS qid, 'about ' || c_name || ' of ' || n_name || '.' AS original_question, 'about ' || c_name || ' of ' || n_name || ' in ' || r_name || '?' AS revised_question, CASE WHEN o_orderkey % 3 = 0 THEN 'no' ELSE 'yes' END AS changed, 'r' || CAST(o_orderkey AS STRING) AS revision_reason FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderpriority = '1-URGENT'"
+
+
+@query()
+def feedback_suggestions(spark, sf_dir):
+    bn, be, tn, te = graphs(spark, sf_dir)
+    return evolve.feedback(frame(spark, sf_dir, _REV), bn, be, tn, te)
+
+
+@query()
+def legacy_suggestions(spark, sf_dir):
+    bn, be, _, _ = graphs(spark, sf_dir)
+    return evolve.legacy(frame(spark, sf_dir, _REV), bn, be)
+
+
+_SAFE = """bf AS (SELECT lower(name) AS k, name, ord FROM bn QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY ord) = 1), tf AS (SELECT lower(name) AS k, name, ord FROM tn QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY ord) = 1),
+bd AS (SELECT DISTINCT lower(a.name) AS a, lower(z.name) AS b, relation_type AS rel FROM be JOIN bn a ON src_id = a.node_id JOIN bn z ON dst_id = z.node_id), td AS (SELECT DISTINCT lower(a.name) AS a, lower(z.name) AS b, relation_type AS rel FROM te JOIN tn a ON src_id = a.node_id JOIN tn z ON dst_id = z.node_id)"""
+
+
+@query(f"WITH {_SAFE}, x AS (SELECT name, row_number() OVER (ORDER BY ord) AS place, count(*) OVER () AS n FROM tf WHERE k NOT IN (SELECT k FROM bf)) SELECT name AS entity1_name, place FROM x WHERE place <= least(floor(0.30::DOUBLE * n + 0.9999), 200)")
+def safety_nodes(spark, sf_dir):
+    bn, _, tn, _ = graphs(spark, sf_dir)
+    return evolve.safety_nodes(bn, tn)
+
+
+@query(f"""WITH {_SAFE}, x AS (SELECT td.*, row_number() OVER (ORDER BY rel = 'related_to', -(length(a) + length(b)), rel, a, b) AS place, count(*) OVER () AS n FROM td ANTI JOIN bd USING (a, b, rel) WHERE a IN (SELECT k FROM bf) AND b IN (SELECT k FROM bf))
+SELECT p.name AS entity1_name, q.name AS entity2_name, rel AS relation_type_new, place FROM x JOIN tf p ON a = p.k JOIN tf q ON b = q.k WHERE place <= least(floor(0.30::DOUBLE * n + 0.9999), 200)""")
+def safety_edges(spark, sf_dir):
+    return evolve.safety_edges(*graphs(spark, sf_dir))
+
+
+# a log that adds every fifth reference node and every edge of nations, and removes some edges
+_LOG = """SELECT 'u' || CAST(ord AS STRING) AS update_id, 'a' AS qid, 'add_node' AS action, name AS entity1_name, '' AS entity2_name, '' AS entity1_id, '' AS entity2_id, '' AS relation_type_old, '' AS relation_type_new FROM tn WHERE ord % 5 = 3 AND label <> 'part'
+UNION ALL SELECT 'u' || edge_id, 'b', 'add_edge', '', '', src_id, dst_id, '', relation_type FROM te WHERE relation_type IN ('part_of', 'located_in')
+UNION ALL SELECT 'u' || edge_id, 'c', 'remove_edge', '', '', dst_id, src_id, CASE WHEN s % 2 = 0 THEN relation_type ELSE '' END, '' FROM te WHERE relation_type = 'supplies' AND d % 3 = 0"""
+
+
+def _applied(spark: SparkSession, sf_dir: str):
+    bn, be, _, _ = graphs(spark, sf_dir)
+    return evolve.apply(bn, be, frame(spark, sf_dir, _LOG))
+
+
+@query("""WITH x AS (SELECT name, row_number() OVER (ORDER BY 'u' || ord::VARCHAR) AS r FROM tn WHERE ord % 5 = 3 AND label <> 'part' AND lower(name) NOT IN (SELECT lower(name) FROM bn)),
+m AS (SELECT max(substr(node_id, 2)::BIGINT) AS m FROM bn WHERE left(node_id, 1) = (SELECT left(node_id, 1) FROM bn GROUP BY 1 ORDER BY count(*) DESC, min(ord) LIMIT 1)), f AS (SELECT left(node_id, 1) AS f FROM bn GROUP BY 1 ORDER BY count(*) DESC, min(ord) LIMIT 1)
+SELECT node_id, name, label FROM bn UNION ALL SELECT f || CASE WHEN r + m < 100000 THEN lpad((r + m)::VARCHAR, 5, '0') ELSE (r + m)::VARCHAR END, name, 'Concept' FROM x, m, f""")
+def apply_add_nodes(spark, sf_dir):
+    return _applied(spark, sf_dir)[0].select("node_id", "name", "label")
+
+
+@query("""WITH a AS (SELECT DISTINCT src_id, dst_id, relation_type FROM te WHERE relation_type IN ('part_of', 'located_in')),
+k AS (SELECT src_id, dst_id, relation_type FROM be WHERE NOT EXISTS (SELECT 1 FROM te t WHERE t.relation_type = 'supplies' AND t.d % 3 = 0 AND t.src_id = be.src_id AND t.dst_id = be.dst_id AND (t.s % 2 <> 0 OR be.relation_type = 'supplies')))
+SELECT src_id, dst_id, relation_type FROM k UNION ALL SELECT * FROM a ANTI JOIN be USING (src_id, dst_id, relation_type)""")
+def apply_edges(spark, sf_dir):
+    return _applied(spark, sf_dir)[1].select("src_id", "dst_id", "relation_type")
+
+
+# ---- comparison and neighbourhoods ----
+_DIFF = "df AS (SELECT src_id, relation_type, dst_id, CASE WHEN j IS NULL THEN 'removed' WHEN i IS NULL THEN 'added' ELSE 'kept' END AS status FROM (SELECT DISTINCT src_id, relation_type, dst_id, 1 AS i FROM be) FULL JOIN (SELECT DISTINCT src_id, relation_type, dst_id, 1 AS j FROM te) USING (src_id, relation_type, dst_id))"
+
+
+@query(f"WITH {_DIFF} SELECT * FROM df")
+def graph_diff(spark, sf_dir):
+    _, be, _, te = graphs(spark, sf_dir)
+    return graph.diff(be, te, ["src_id", "relation_type", "dst_id"])
+
+
+@query(f"WITH {_DIFF} SELECT DISTINCT unnest([src_id, dst_id]) AS node_id FROM df WHERE status <> 'kept'")
+def changed_nodes(spark, sf_dir):
+    return graph.changed_nodes(graph_diff(spark, sf_dir))
+
+
+_HOP = f"{_NEAR}, sd AS (SELECT node_id FROM bn WHERE label = 'region'), h1 AS (SELECT node_id, 0 AS hops FROM sd UNION ALL SELECT v, 1 FROM sd JOIN nb ON node_id = u), h2 AS (SELECT node_id, hops FROM h1 UNION ALL SELECT v, hops + 1 FROM h1 JOIN nb ON node_id = u), hh AS (SELECT node_id, min(hops) AS hops FROM h2 GROUP BY node_id)"
+
+
+@query(f"WITH {_HOP} SELECT node_id, hops FROM hh")
+def khop_nodes(spark, sf_dir):
+    bn, be, _, _ = graphs(spark, sf_dir)
+    return graph.within(bn, be, bn.where("label = 'region'"), 2)
+
+
+@query(f"WITH {_HOP} SELECT node_id, hops, degree FROM hh JOIN dg USING (node_id) ORDER BY hops > 0, degree DESC, node_id LIMIT 60")
+def khop_focus(spark, sf_dir):
+    bn, be, _, _ = graphs(spark, sf_dir)
+    return graph.focus(bn, be, khop_nodes(spark, sf_dir), 60).select("node_id", "hops", "degree")
+
+
+@query("SELECT edge_id FROM be WHERE src_id IN (SELECT node_id FROM bn WHERE ord % 2 = 0) AND dst_id IN (SELECT node_id FROM bn WHERE ord % 2 = 0)")
+def induced_subgraph(spark, sf_dir):
+    bn, be, _, _ = graphs(spark, sf_dir)
+    return graph.induced(be, bn.where("ord % 2 = 0")).select("edge_id")
+
+
+@query(f"WITH {_NEAR} SELECT node_id, degree, least(1300, 650 + 90 * degree) AS size FROM dg WHERE degree > 0")
+def drop_isolates(spark, sf_dir):
+    return graph.drawn_sizes(*graphs(spark, sf_dir)[:2])
+
+
+_SAME = f"{_NEAR}, sm AS (SELECT node_id, first_value(node_id) OVER (PARTITION BY lower(name) ORDER BY degree DESC, ord) AS kept_id FROM bn JOIN dg USING (node_id))"
+
+
+@query(f"WITH {_SAME} SELECT DISTINCT a.kept_id AS src_id, relation_type, z.kept_id AS dst_id FROM be JOIN sm a ON src_id = a.node_id JOIN sm z ON dst_id = z.node_id WHERE a.kept_id <> z.kept_id")
+def graph_dedup_names(spark, sf_dir):
+    return graph.merge_names(*graphs(spark, sf_dir)[:2])[1]
+
+
+@query("SELECT src_id, dst_id, relation_type, max(confidence) AS confidence FROM (SELECT * FROM be WHERE confidence >= 0.6 ORDER BY confidence DESC, ord LIMIT 1500) WHERE src_id <> dst_id GROUP BY ALL")
+def drawn_edges(spark, sf_dir):
+    bn, be, _, _ = graphs(spark, sf_dir)
+    return graph.drawn(bn, be, 0.6)
+
+
+@query("SELECT src_id, dst_id, relation_type FROM be QUALIFY row_number() OVER (PARTITION BY src_id, dst_id ORDER BY ord DESC) = 1")
+def simple_digraph(spark, sf_dir):
+    return graph.simple(table(spark, sf_dir, "be")).select("src_id", "dst_id", "relation_type")
+
+
+@query("SELECT node_id, name, label FROM (SELECT *, 0 AS w FROM bn UNION ALL SELECT *, 1 FROM tn) QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY w DESC) = 1")
+def graph_union(spark, sf_dir):
+    bn, _, tn, _ = graphs(spark, sf_dir)
+    return graph.union(bn, tn, ["node_id"]).select("node_id", "name", "label")
+
+
+# ---- comparison of versions ----
+_STUDY = "SELECT CAST(n_nationkey AS INT) AS i, CASE WHEN g = 0 THEN 'Q1' ELSE 'Q2' END AS method, m AS metric_name, v AS value FROM (SELECT n_nationkey, 0 AS g, 'bal' AS m, floor(sum(c_acctbal * 100) / count(*)) / 100 AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey UNION ALL SELECT n_nationkey, 1, 'bal', floor(sum(s_acctbal * 100) / count(*)) / 100 FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_nationkey UNION ALL SELECT n_nationkey, 0, 'num', CAST(count(*) AS DOUBLE) FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey UNION ALL SELECT n_nationkey, 1, 'num', CAST(count(*) AS DOUBLE) FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_nationkey) x"
+
+
+@query(f"SELECT i, method, round(max(value) FILTER (metric_name = 'bal'), 1) AS bal, round(max(value) FILTER (metric_name = 'num'), 1) AS num FROM ({_STUDY}) GROUP BY i, method")
+def study_compare(spark, sf_dir):
+    return study.compare(frame(spark, sf_dir, _STUDY), 1)
+
+
+@query(f"SELECT method, round(avg(bal), 4) AS bal, round(avg(num), 4) AS num FROM (SELECT i, method, round(max(value) FILTER (metric_name = 'bal'), 1) AS bal, round(max(value) FILTER (metric_name = 'num'), 1) AS num FROM ({_STUDY}) GROUP BY i, method) GROUP BY method")
+def study_mean(spark, sf_dir):
+    return study.means(study_compare(spark, sf_dir), 4)
+
+
+@query(f"SELECT i, metric_name, round(a.value, 6) AS before, round(b.value, 6) AS after, round(b.value - a.value, 6) AS gain FROM (SELECT * FROM ({_STUDY}) WHERE method = 'Q1') a JOIN (SELECT * FROM ({_STUDY}) WHERE method = 'Q2') b USING (i, metric_name)")
+def study_change(spark, sf_dir):
+    return study.change(frame(spark, sf_dir, _STUDY), "Q1", "Q2").select("i", "metric_name", *[F.round(c, 6).alias(c) for c in ("before", "after", "gain")])
+
+
+@query("SELECT action, count(*) AS n FROM (" + _LOG + ") GROUP BY action")
+def action_counts(spark, sf_dir):
+    return frame(spark, sf_dir, _LOG).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query("SELECT id, unnest(['Building', 'x y']) AS alias FROM ms WHERE id % 2 = 0 UNION ALL SELECT id, 'one' FROM ms WHERE id % 2 = 1")
+def alias_split(spark, sf_dir):
+    a = F.when(F.col("id") % 2 == 0, "Building, x  y ,").otherwise(" one ")
+    return table(spark, sf_dir, "ms").select("id", F.explode(T.aliases(a)).alias("alias"))

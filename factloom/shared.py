@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,3 +36,34 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bits of a key filter: 8 MB at most, whatever the number of keys.
+_BITS = 1 << 26
+_PAGE = 1 << 15
+
+
+def _tested(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, Column]:
+    """``df`` beside the pages of a bit for each hash of ``ids`` (one column), and whether a row's key may be among them.
+
+    The pages, at most 2048 of 4 KB, are broadcast, so the rows of ``df`` stay where they are."""
+    spot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(_BITS))
+    own = ids.select(F.col(ids.columns[0]).alias("_i")).where("_i is not null").select(spot("_i").alias("_s"))
+    pages = own.groupBy(F.expr(f"_s div {_PAGE}").alias("_page")).agg(F.bitmap_construct_agg(F.col("_s") % _PAGE).alias("_bits"))
+    beside = df.withColumn("_s", F.when(F.col(key).isNotNull(), spot(key)))
+    beside = beside.join(F.broadcast(pages), F.expr(f"_s div {_PAGE}") == F.col("_page"), "left")
+    bit = F.expr(f"_bits is not null and (shiftright(cast(conv(hex(substring(_bits, cast((_s % {_PAGE}) div 8 as int) + 1, 1)), 16, 10) as int), cast(_s % 8 as int)) & 1) = 1")
+    return beside, bit
+
+
+def among(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose key may be among ``ids``; few others where ids are few against the filter's bits. Exact joins follow."""
+    beside, bit = _tested(df, key, ids)
+    return beside.where(bit).select(df.columns)
+
+
+def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose key is not among ``ids`` (exactly). Only rows that the filter can't clear are shuffled."""
+    beside, bit = _tested(df, key, ids)
+    ids = ids.select(F.col(ids.columns[0]).alias(key)).distinct()
+    return beside.where(~bit).select(df.columns).unionByName(beside.where(bit).select(df.columns).join(ids, key, "left_anti").select(df.columns))
