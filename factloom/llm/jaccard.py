@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.words import column, groups, mix, words
 from factloom.operators.components import components
-from factloom.shared import cut, partitions
+from factloom.shared import among, cut, partitions
 
 U = np.uint64
 #: Sets of a family that are searched together at most.
@@ -137,8 +137,8 @@ def _sets_of(k: int, percent: int, blocks: int):
                 rows = []
                 for a, b in zip(edge[:-1], edge[1:]):
                     who, ref = np.unique(owner[a:b], return_inverse=True)
-                    six = sig[a:b].view(np.uint8).reshape(-1, 8)[:, :6]
-                    rows.append((int(block[a]), np.array([b - a, len(who)], np.int64).tobytes() + cls[0][first[who]].tobytes() + six.tobytes() + ref.astype(np.uint32).tobytes()))
+                    five = sig[a:b].view(np.uint8).reshape(-1, 8)[:, 3:]  # a block holds too few for 40 bits to clash often, and a clash only costs work
+                    rows.append((int(block[a]), np.array([b - a, len(who)], np.int64).tobytes() + cls[0][first[who]].tobytes() + five.tobytes() + ref.astype(np.uint16 if len(who) <= 1 << 16 else np.uint32).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "packed"])
 
     return run
@@ -148,14 +148,15 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed blocks to (a, b): every class that shares a signature, and the smallest class that does."""
     sigs, owners = [], []
     for batch in batches:
-        for x in batch.column(1):
+        for block, x in zip(batch.column(0).to_pylist(), batch.column(1)):
             raw = x.as_buffer()
             n, m = np.frombuffer(raw, np.int64, 2)
             who = np.frombuffer(raw, U, m, 16)
-            six = np.zeros((n, 8), np.uint8)
-            six[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, 16 + 8 * m).reshape(-1, 6)
-            sigs.append(six.view(U).ravel())
-            owners.append(who[np.frombuffer(raw, np.uint32, n, 16 + 8 * m + 6 * n)])
+            five = np.zeros((n, 8), np.uint8)
+            five[:, 3:] = np.frombuffer(raw, np.uint8, 5 * n, 16 + 8 * m).reshape(-1, 5)
+            five[:, :3] = np.frombuffer(np.int64(block).tobytes(), np.uint8, 3)  # signatures of different blocks never meet
+            sigs.append(five.view(U).ravel())
+            owners.append(who[np.frombuffer(raw, np.uint16 if m <= 1 << 16 else np.uint32, n, 16 + 8 * m + 5 * n)])
     if not sigs:
         return
     sig, who = np.concatenate(sigs), np.concatenate(owners)
@@ -305,7 +306,8 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5
     sizes = member.groupBy("family").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
     member = cut(member.join(sizes, "family").select("rep", "family", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), "chunks"), "members")
 
-    held = docs.join(member.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("rep", "family", "chunk", "chunks", "text")
+    near = among(docs, "doc_id", member.select("rep"))  # texts without a family stay where they are
+    held = near.join(member, F.col("doc_id") == F.col("rep")).select("rep", "family", "chunk", "chunks", "text")
     held = held.mapInArrow(_elements(k), "rep long, family long, chunk int, chunks int, elements binary")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     held = held.withColumn("o", other).select("family", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "rep", "chunk", "elements")
