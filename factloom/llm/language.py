@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.sampling import labelled
+from factloom.llm.sampling import fitted, labelled
 from factloom.llm.words import column, groups
 
 #: Related languages; fixed values.
@@ -179,6 +179,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: the language of every document, learnt from those that are not held out."""
     part = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", (part == 2).alias("held_out"))
-    sample = labelled(docs.where("not held_out"), F.col("lang"), each=EACH)
-    model = fit(sample["label"].to_pylist(), sample["text"].combine_chunks() if len(sample) else pa.array([], pa.string()))
+    model = fitted(labelled(docs.where("not held_out"), F.col("lang"), each=EACH), fit)
     return identify(docs, model, extra=("held_out",))

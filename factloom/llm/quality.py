@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.sampling import draw, labelled
+from factloom.llm.sampling import draw, fitted, labelled
 from factloom.llm.words import WHITE, column, groups, mix, words
 
 U = np.uint64
 #: Labelled rows a label, dimensions, places of an index vector, words with vectors at most, words on each side, hidden units.
-EACH, DIM, PLACES, VOCABULARY, SIDE, HIDDEN = 1500, 64, 6, 1 << 15, 2, 24
-_SLOTS = 1 << 19
+EACH, DIM, PLACES, VOCABULARY, SIDE, HIDDEN = 1200, 64, 6, 1 << 14, 2, 24
+_SLOTS = 1 << 18
 _KIND = np.full(256, ord("n"), np.uint8)
 for _b in range(128):
     _c = chr(_b)
@@ -65,7 +65,6 @@ class Vectors:
         best = np.argsort(-counts, kind="stable")[:VOCABULARY]
         place = np.full(len(kinds), -1)
         place[best] = np.arange(len(best))
-        own = index_vectors(kinds)
         sums = np.zeros((len(best), DIM), np.float32)
         text = np.searchsorted(rows, np.arange(len(h)), "right")
         for d in range(1, SIDE + 1):
@@ -75,19 +74,20 @@ class Vectors:
                 into, what = into[into >= 0], what[into >= 0]
                 pair, n = np.unique(into.astype(np.int64) * len(kinds) + what, return_counts=True)
                 into, what = pair // max(1, len(kinds)), pair % max(1, len(kinds))
-                for i in range(0, len(into), 1 << 18):
-                    part = slice(i, i + (1 << 18))
+                for i in range(0, len(into), 1 << 14):
+                    part = slice(i, i + (1 << 14))
                     head = np.flatnonzero(np.concatenate([[True], np.diff(into[part]) != 0]))
-                    sums[into[part][head]] += np.add.reduceat(own[what[part]] * np.log1p(n[part])[:, None].astype(np.float32), head, axis=0)
+                    sums[into[part][head]] += np.add.reduceat(index_vectors(kinds[what[part]]) * np.log1p(n[part])[:, None].astype(np.float32), head, axis=0)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
-        sums = np.where(norm > 0, sums / np.maximum(norm, 1e-9), own[best])
+        own = index_vectors(kinds[best])
+        sums = np.where(norm > 0, sums / np.maximum(norm, 1e-9), own)
         self.keys = np.zeros(_SLOTS, U)
         self.table = np.zeros(_SLOTS, np.int32)
         slot = (kinds[best] % U(_SLOTS)).astype(np.int64)
         for turn in (slice(None, None, -1),):  # the more frequent word keeps the slot
             self.keys[slot[turn]] = kinds[best][turn]
             self.table[slot[turn]] = np.arange(len(best), dtype=np.int32)[turn]
-        self.vectors, self.own = sums.astype(np.float32), own[best]
+        self.vectors, self.own = sums.astype(np.float32), own
 
     def pooled(self, h: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Mean vector of each text and its length, and the length of the mean index vector; zero for no words."""
@@ -210,8 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, each: int = EACH) -> Model | None:
     drawn = draw(known, F.col("quality"), "doc_id", each).groupBy(F.col("doc_id").alias("i")).agg(F.min("quality").alias("quality"))
     # about `each` keys for each of two labels, so small enough for every worker: the texts stay where they are
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("i"))
-    sample = labelled(rows, F.col("quality"), each=2 * each)
-    return fit(sample["label"].to_pylist(), sample["text"].combine_chunks() if len(sample) else pa.array([], pa.string()))
+    return fitted(labelled(rows, F.col("quality"), each=2 * each), fit)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

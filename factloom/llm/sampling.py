@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +19,8 @@ def draw(rows: DataFrame, label: Column, key: str, each: int) -> DataFrame:
     return rows.where(F.col("u") < share)
 
 
-def labelled(docs: DataFrame, label: Column, text: str = "text", key: str = "doc_id", each: int = 2000, most_bytes: int = 48 << 20) -> pa.Table:
-    """Table (label, text) of about ``each`` rows a label and at most ``most_bytes`` of text in all.
+def labelled(docs: DataFrame, label: Column, text: str = "text", key: str = "doc_id", each: int = 2000, most_bytes: int = 12 << 20) -> DataFrame:
+    """(label, text, u) of about ``each`` rows a label and at most ``most_bytes`` of text in all.
 
     Every row with a label may be drawn, by the hash of its key. The longest texts leave first where the bytes would not fit."""
     drawn = draw(docs.where(F.col(text).isNotNull()), label, key, each).select("label", F.col(text).alias("text"), "u")
@@ -28,5 +30,16 @@ def labelled(docs: DataFrame, label: Column, text: str = "text", key: str = "doc
         if total <= most_bytes:
             break
         limit = min(limit, most_bytes) // 2
-    out = drawn.where(F.octet_length("text") <= limit).toArrow()
-    return out.sort_by([("u", "ascending")]).select(["label", "text"])
+    return drawn.where(F.octet_length("text") <= limit)
+
+
+def fitted(sample: DataFrame, fit):
+    """``fit(labels, texts)`` of a bounded sample (label, text, u), in order of u; it runs in one task, away from the driver."""
+
+    def run(batches):
+        held = list(batches)
+        rows = pa.Table.from_batches(held).sort_by([("u", "ascending")]) if held else None
+        model = fit(rows["label"].to_pylist(), rows["text"].combine_chunks()) if rows is not None else fit([], pa.array([], pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").collect()[0]["model"])
