@@ -53,11 +53,11 @@ def merge_edges(edges: DataFrame, nodes: DataFrame, merged: DataFrame, order: li
     the first of equals; ids ge00001 on in order of the key's first appearance."""
     local = nodes.select("kg", "node_id", "name", "label").join(merged.select("name", "label", "global_node_id"), ["name", "label"])
     local = local.groupBy("kg", "node_id").agg(F.max("global_node_id").alias("g"))
-    out = edges.join(local.select("kg", F.col("node_id").alias("src_id"), F.col("g").alias("s")), ["kg", "src_id"]).join(local.select("kg", F.col("node_id").alias("dst_id"), F.col("g").alias("d")), ["kg", "dst_id"]).where("s <> d")
-    w = Window.partitionBy("s", "d", "relation_type")
-    out = out.withColumn("_f", F.min(F.struct(*order)).over(w))
-    best = first_by(out, ["s", "d", "relation_type"], [F.desc("confidence"), *order])
-    return ordinals(best, ["_f"], "n").select(T.numbered("ge", F.col("n")).alias("global_edge_id"), F.col("s").alias("src_id"), F.col("d").alias("dst_id"), "relation_type", "confidence", F.col("edge_id").alias("example_edge"), F.col("kg").alias("example_kg"))
+    out = edges.join(local.select("kg", F.col("node_id").alias("src_id"), F.col("g").alias("_gs")), ["kg", "src_id"]).join(local.select("kg", F.col("node_id").alias("dst_id"), F.col("g").alias("_gd")), ["kg", "dst_id"]).where("_gs <> _gd")
+    w = Window.partitionBy("_gs", "_gd", "relation_type")
+    out = out.withColumn("_first", F.min(F.struct(*order)).over(w))
+    best = first_by(out, ["_gs", "_gd", "relation_type"], [F.desc("confidence"), *order])
+    return ordinals(best, ["_first"], "n").select(T.numbered("ge", F.col("n")).alias("global_edge_id"), F.col("_gs").alias("src_id"), F.col("_gd").alias("dst_id"), "relation_type", "confidence", F.col("edge_id").alias("example_edge"), F.col("kg").alias("example_kg"))
 
 
 def upsert_nodes(nodes: DataFrame) -> DataFrame:

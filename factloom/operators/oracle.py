@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def with_retry(ask: Callable[[dict], str], attempts: int = 3, pause: float = 1.2) -> Callable[[dict], tuple[str | None, str]]:
@@ -33,7 +34,7 @@ def with_retry(ask: Callable[[dict], str], attempts: int = 3, pause: float = 1.2
 
 def asked(rows: DataFrame, ask: Callable[[dict], str], columns: list[str], attempts: int = 3, pause: float = 1.2) -> DataFrame:
     """``rows`` with ``reply`` and ``warning``: ``ask`` sees the named columns of each row."""
-    schema = rows.schema.add("reply", "string").add("warning", "string")
+    schema = StructType([*rows.schema.fields, StructField("reply", StringType()), StructField("warning", StringType())])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = with_retry(ask, attempts, pause)

@@ -65,7 +65,7 @@ def sentence_split(spark, sf_dir):
     return _sentences(spark, sf_dir).withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("text").alias("sentence"))
 
 
-@query(f"WITH {_SENTENCES} SELECT doc_id, pos, sentence, 's' || lpad((row_number() OVER (ORDER BY doc_id, pos))::VARCHAR, greatest(4, length((row_number() OVER (ORDER BY doc_id, pos))::VARCHAR)), '0') AS sentence_id FROM ss")
+@query(f"WITH {_SENTENCES} SELECT doc_id, pos, sentence, 's' || lpad((row_number() OVER (ORDER BY doc_id, pos))::VARCHAR, greatest(4, length((row_number() OVER (ORDER BY doc_id, pos))::VARCHAR))::INT, '0') AS sentence_id FROM ss")
 def sentence_ids(spark, sf_dir):
     return mentions.sentence_table(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("text").alias("sentence"), "sentence_id")
 

@@ -6,6 +6,8 @@ missing, names cut short and relations changed, by residues of keys. Text: docum
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
@@ -45,8 +47,6 @@ VIEWS = {
 
 def closure(sql: str) -> list[str]:
     """Names of the views that ``sql`` needs, in order."""
-    import re
-
     need: set[str] = set()
     todo = [sql]
     while todo:
@@ -70,9 +70,7 @@ def with_views(sql: str) -> str:
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The rows of ``sql`` over the tables of ``sf_dir``."""
-    full = with_views(sql)
-    import re
-
+    full = with_views(sql).replace("{", "{{").replace("}", "}}")
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b{t}\b", full)}
     return spark.sql(re.sub(r"\b(FROM|JOIN) (" + "|".join(TABLES) + r")\b", r"\1 {\2}", full), **tables)
 
