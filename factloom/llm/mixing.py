@@ -41,7 +41,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     below = Window.orderBy("at", "i").rowsBetween(Window.unboundedPreceding, -1)
     ranked = ranked.withColumn("capped", F.coalesce(F.sum("full").over(below), F.lit(0.0))).withColumn("open", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(below), F.lit(0.0)))
     level = (share * F.sum("source_size").over(every) - F.col("capped")) / F.col("open")
-    ranked = ranked.withColumn("level", level).withColumn("level", F.min(F.when(F.col("level") <= F.col("at"), F.col("level"))).over(every))
+    # the first source, in this order, whose own level leaves it open: all before it are capped, none after it
+    first = F.min(F.when(F.col("level") <= F.col("at"), F.struct("at", "i", "level"))).over(every)
+    ranked = ranked.withColumn("level", level).withColumn("level", first["level"])
     return ranked.select("source", "source_size", F.least("full", F.coalesce(F.col("level") * F.col("weight"), F.col("full"))).alias("target"))
 
 
@@ -103,7 +105,7 @@ w AS (SELECT *, [5.0, 2.0, 1.0][i % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * sour
 r AS (SELECT *, cap / weight AS brim,
     coalesce(sum(cap) OVER (ORDER BY cap / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
     sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS opened FROM w),
-l AS (SELECT min(level) AS level FROM (SELECT brim, (1.5::DOUBLE * (SELECT sum(source_size) FROM s) - capped) / opened AS level FROM r) WHERE level <= brim),
+l AS (SELECT arg_min(level, (brim, i)) AS level FROM (SELECT i, brim, (1.5::DOUBLE * (SELECT sum(source_size) FROM s) - capped) / opened AS level FROM r) WHERE level <= brim),
 t AS (SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target FROM r, l),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS times FROM t),
 x AS (SELECT source, h, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS upto FROM d GROUP BY source, h)

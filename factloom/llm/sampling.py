@@ -42,4 +42,5 @@ def fitted(sample: DataFrame, fit):
         model = fit(rows["label"].to_pylist(), rows["text"].combine_chunks()) if rows is not None else fit([], pa.array([], pa.string()))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").collect()[0]["model"])
+    rows = sample.repartition(1).mapInArrow(run, "model binary").collect()  # none if Spark sees that the sample is empty
+    return pickle.loads(rows[0]["model"]) if rows else fit([], pa.array([], pa.string()))
