@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.words import column, groups, mix, words
@@ -290,6 +290,25 @@ def _elements(k: int):
     return run
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rep, family, raw in zip(batch.column(0), batch.column(1), batch.column(2)):
+            own = np.frombuffer(raw.as_buffer(), np.int64)
+            n = len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rep.as_py())), pa.array(np.full(n, family.as_py())), pa.array(own)], ["rep", "family", "e"])
+
+
+def _supported(held: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """The sets of large families that can have a partner: of a linked set, at least ``percent`` of its elements are in another set of
+    its family. Sets that only share a passage go; what is left of a family is dealt into chunks anew."""
+    elements = held.select("rep", "family", "elements").mapInArrow(_unpacked, "rep long, family long, e long")
+    shared = elements.withColumn("c", F.count("*").over(Window.partitionBy("family", "e"))).where("c > 1").groupBy("rep").agg(F.count("*").alias("shared"))
+    good = held.join(cut(shared, "support"), "rep").where(F.col("shared") * 100 * 8 >= percent * F.octet_length("elements")).select("rep", "family", "elements")
+    good = cut(good, "supported")
+    sizes = good.groupBy("family").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    return good.join(sizes, "family").select("rep", "family", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), "chunks", "elements")
+
+
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``: components of the documents whose sets of distinct k-word
     shingles have a Jaccard similarity of ``percent`` or more, named by their smallest key."""
@@ -308,7 +327,8 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5
 
     near = among(docs, "doc_id", member.select("rep"))  # texts without a family stay where they are
     held = near.join(member, F.col("doc_id") == F.col("rep")).select("rep", "family", "chunk", "chunks", "text")
-    held = held.mapInArrow(_elements(k), "rep long, family long, chunk int, chunks int, elements binary")
+    held = cut(held.mapInArrow(_elements(k), "rep long, family long, chunk int, chunks int, elements binary"), "sets")
+    held = held.where("chunks = 1").unionByName(_supported(held.where("chunks > 1"), percent, chunk))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     held = held.withColumn("o", other).select("family", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "rep", "chunk", "elements")
     met = held.repartition(partitions(spark), "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_search(percent), "a long, b long")
