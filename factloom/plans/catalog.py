@@ -292,9 +292,9 @@ def align_relaxed_triples(spark, sf_dir):
 
 @query()
 def align_relaxed_similarity(spark, sf_dir):
-    # words of accepted documents against those of all other labelled ones
-    words = _words(spark, sf_dir).join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").select(F.lower("mention").alias("name"), "quality")
-    return align.relaxed_names(words.where("quality = 0"), words.where("quality = 1"), "similarity")
+    # words of benchmark items against those of conversations
+    words = lambda t: read(spark, sf_dir, t).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))).alias("name")).distinct()
+    return align.relaxed_names(words("benchmark"), words("conversations"), "similarity")
 
 
 # ---- structure ----
