@@ -3,8 +3,8 @@
 Every document gets a hash from its key, as hexadecimal digits. For a source that is to give less than a whole number of its
 sizes, the wanted rest is the sum over documents whose hash lies under a threshold. The threshold is found without
 sorting: sizes are summed by source and the first digits of the hash, running sums over the (at most 4096) buckets of a
-source find the bucket in which the budget ends, and only that bucket is looked at again, by its next digits. Smaller
-budgets have smaller thresholds, so their mixes are nested. Thresholds are one row a source and budget.
+source find the bucket in which the budget ends, and only that bucket is looked at again, by its next digits, until it holds one hash.
+Smaller budgets have smaller thresholds, so their mixes are nested. Thresholds are one row a source and budget.
 
 Sources are strings compared by code point, null last; a null or wordless text has size 0. Rows that share a key are taken
 or left together. An empty table gives an empty result.
@@ -56,13 +56,15 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
         # the buckets of all sources at the first pass, afterwards only those in which a budget ends
         edge = found.where("open").select(F.col("source").alias("s"), F.col("threshold").alias("t"), "budget", "left")
         part = sized.join(edge, sized["source"].eqNullSafe(F.col("s")) & (F.substring("hash", 1, n) == F.col("t")))
-        cells = part.groupBy("source", "budget", "t", "left", F.substring("hash", n + 1, DIGITS).alias("cell")).agg(F.sum("size").alias("size"))
+        cells = part.groupBy("source", "budget", "t", "left", F.substring("hash", n + 1, DIGITS).alias("cell")).agg(F.sum("size").alias("size"), (F.min("hash") == F.max("hash")).alias("one"))
         run = Window.partitionBy("source", "budget").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
         cells = cells.withColumn("sum", F.sum("size").over(run))
-        over = cells.where(F.col("sum") > F.col("left")).groupBy("source", "budget").agg(F.min_by(F.struct("cell", (F.col("sum") - F.col("size")).alias("under")), "cell").alias("o"))
+        over = cells.where(F.col("sum") > F.col("left")).groupBy("source", "budget").agg(F.min_by(F.struct("cell", (F.col("sum") - F.col("size")).alias("under"), "one"), "cell").alias("o"))
         step = over.select(F.col("source").alias("s"), F.col("budget").alias("b"), "o")
         new = found.join(step, found["source"].eqNullSafe(F.col("s")) & (F.col("budget") == F.col("b")), "left")
-        found = cut(new.select("source", "budget", F.when(F.col("open") & F.col("o").isNotNull(), F.concat("threshold", "o.cell")).otherwise(F.col("threshold")).alias("threshold"), F.when(F.col("o").isNotNull(), F.col("left") - F.col("o.under")).otherwise(F.col("left")).alias("left"), (F.col("open") & F.col("o").isNotNull()).alias("open"), *(["all"] if level else [F.col("o").isNull().alias("all")])), "mix")
+        found = cut(new.select("source", "budget", F.when(F.col("open") & F.col("o").isNotNull(), F.concat("threshold", "o.cell")).otherwise(F.col("threshold")).alias("threshold"), F.when(F.col("o").isNotNull(), F.col("left") - F.col("o.under")).otherwise(F.col("left")).alias("left"), (F.col("open") & F.col("o").isNotNull() & ~F.coalesce("o.one", F.lit(True))).alias("open"), *(["all"] if level else [F.col("o").isNull().alias("all")])), "mix")
+        if found.where("open").isEmpty():  # a boundary bucket of one hash can't be split: its digits so far are the threshold
+            break
     return found.select("source", "budget", F.when(~F.col("all"), F.col("threshold")).alias("threshold"))
 
 
