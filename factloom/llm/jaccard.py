@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.words import column, groups, mix, words
@@ -279,6 +279,8 @@ def _sized(k: int):
 
 
 def _elements(k: int):
+    """Batches of (rep, family, chunk, chunks, text), with the set of each text in its place."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = column(batch.column(4))
@@ -290,23 +292,75 @@ def _elements(k: int):
     return run
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _dealt(k: int, blocks: int):
+    """Batches of (rep, text) to packed blocks of (block number, reps, 32 bits of each element, which rep has it)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reps = batch.column(0).to_numpy()
+            data, offs = column(batch.column(1))
+            for i, j in groups(offs):
+                sets, at = shingle_sets(data, offs[i : j + 1], k)
+                owner = np.repeat(np.arange(i, j), np.diff(at))
+                h = mix(sets ^ U(0x2545F4914F6CDD1D))
+                block = (h % U(blocks)).astype(np.int64)
+                order = np.argsort(block, kind="stable")
+                owner, block, four = owner[order], block[order], (h[order] >> U(32)).astype(np.uint32)
+                edge = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]) if len(block) else [0]
+                rows = []
+                for a, b in zip(edge[:-1], edge[1:]):
+                    who, ref = np.unique(owner[a:b], return_inverse=True)
+                    rows.append((int(block[a]), np.array([b - a, len(who)], np.int64).tobytes() + reps[who].astype(np.int64).tobytes() + four[a:b].tobytes() + ref.astype(np.uint16 if len(who) <= 1 << 16 else np.uint32).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "packed"])
+
+    return run
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed blocks, those of a block together, to (rep, how many of its elements there are in another set)."""
+
+    def done(held: list) -> pa.RecordBatch:
+        four, rep = (np.concatenate([x[c] for x in held]) if held else np.zeros(0, np.int64) for c in (0, 1))
+        _, which, n = np.unique(four, return_inverse=True, return_counts=True)
+        who, shared = np.unique(rep[n[which] > 1] if len(rep) else rep, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(who), pa.array(shared)], ["rep", "shared"])
+
+    now, held = None, []
     for batch in batches:
-        for rep, family, raw in zip(batch.column(0), batch.column(1), batch.column(2)):
-            own = np.frombuffer(raw.as_buffer(), np.int64)
-            n = len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rep.as_py())), pa.array(np.full(n, family.as_py())), pa.array(own)], ["rep", "family", "e"])
-
-
-def _supported(held: DataFrame, percent: int, chunk: int) -> DataFrame:
-    """The sets of large families that can have a partner: of a linked set, at least ``percent`` of its elements are in another set of
-    its family. Sets that only share a passage go; what is left of a family is dealt into chunks anew."""
-    elements = held.select("rep", "family", "elements").mapInArrow(_unpacked, "rep long, family long, e long")
-    shared = elements.withColumn("c", F.count("*").over(Window.partitionBy("family", "e"))).where("c > 1").groupBy("rep").agg(F.count("*").alias("shared"))
-    good = held.join(cut(shared, "support"), "rep").where(F.col("shared") * 100 * 8 >= percent * F.octet_length("elements")).select("rep", "family", "elements")
-    good = cut(good, "supported")
+        for block, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if block != now and held:
+                yield done(held)
+                held = []
+            now, raw = block, x.as_buffer()
+            n, m = np.frombuffer(raw, np.int64, 2)
+            who = np.frombuffer(raw, np.int64, m, 16)
+            ref = np.frombuffer(raw, np.uint16 if m <= 1 << 16 else np.uint32, n, 16 + 8 * m + 4 * n)
+            held.append((np.frombuffer(raw, np.uint32, n, 16 + 8 * m), who[ref]))
+    yield done(held)
+
+
+def _let_go(spark: SparkSession) -> None:
+    """Shuffle files of finished plans stay on every disk until the driver's garbage is collected; after a large one it is time."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def _supported(docs: DataFrame, member: DataFrame, k: int, percent: int, chunk: int) -> DataFrame:
+    """``member`` (rep, n, family, chunk, chunks) without those sets of large families that can't have a partner: of a linked set, at
+    least ``percent`` of the elements are in another set. Sets that only share a passage go; what is left of a
+    family is dealt into chunks anew. Elements that share a hash are counted as one, which keeps sets but drops none."""
+    spark = docs.sparkSession
+    big = member.where("chunks > 1")
+    if big.isEmpty():
+        return member
+    blocks = 4 * partitions(spark)
+    texts = among(docs, "doc_id", big.select("rep")).join(big.select("rep"), F.col("doc_id") == F.col("rep")).select("rep", "text")
+    dealt = texts.mapInArrow(_dealt(k, blocks), "block int, packed binary").repartition(blocks // 4, "block").sortWithinPartitions("block")
+    shared = cut(dealt.mapInArrow(_counted, "rep long, shared long").groupBy("rep").agg(F.sum("shared").alias("shared")), "support")
+    _let_go(spark)
+    good = cut(big.join(shared, "rep").where(F.col("shared") * 100 >= percent * F.col("n")).select("rep", "n", "family"), "supported")
     sizes = good.groupBy("family").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    return good.join(sizes, "family").select("rep", "family", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), "chunks", "elements")
+    good = good.join(sizes, "family").select("rep", "n", "family", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), "chunks")
+    return cut(member.where("chunks = 1").unionByName(good), "members")
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, chunk: int = CHUNK) -> DataFrame:
@@ -320,19 +374,23 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5
 
     packed = docs.select("text").mapInArrow(_sets_of(k, percent, blocks), "block int, packed binary")
     ties = packed.repartition(blocks // 4, "block").mapInArrow(_ties, "a long, b long")
-    families = cut(components(cut(ties.distinct(), "ties")), "families")
-    member = reps.where("rep is not null").join(families, F.col("c") == F.col("node")).select("rep", F.col("component").alias("family"))
+    ties = cut(ties.distinct(), "ties")
+    _let_go(spark)
+    families = cut(components(ties), "families")
+    member = reps.where("rep is not null").join(families, F.col("c") == F.col("node")).select("rep", "n", F.col("component").alias("family"))
     sizes = member.groupBy("family").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    member = cut(member.join(sizes, "family").select("rep", "family", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), "chunks"), "members")
+    member = cut(member.join(sizes, "family").select("rep", "n", "family", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), "chunks"), "members")
+    member = _supported(docs, member, k, percent, chunk)
 
     near = among(docs, "doc_id", member.select("rep"))  # texts without a family stay where they are
     held = near.join(member, F.col("doc_id") == F.col("rep")).select("rep", "family", "chunk", "chunks", "text")
-    held = cut(held.mapInArrow(_elements(k), "rep long, family long, chunk int, chunks int, elements binary"), "sets")
-    held = held.where("chunks = 1").unionByName(_supported(held.where("chunks > 1"), percent, chunk))
+    held = held.mapInArrow(_elements(k), "rep long, family long, chunk int, chunks int, elements binary")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     held = held.withColumn("o", other).select("family", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "rep", "chunk", "elements")
     met = held.repartition(partitions(spark), "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_search(percent), "a long, b long")
-    joined = components(cut(met, "links"))
+    links = cut(met, "links")
+    _let_go(spark)
+    joined = components(links)
 
     named = cut(reps.join(joined, F.col("rep") == F.col("node"), "left").select("c", "d", F.col("n").alias("m"), F.coalesce("component", "rep").alias("component")), "named")
     out = sized.alias("s").join(named.alias("r"), (F.col("s.c") == F.col("r.c")) & (F.col("s.d") == F.col("r.d")) & (F.col("n") == F.col("m")), "left")
