@@ -4,11 +4,13 @@ Counting. Tasks count words and word pairs of whole batches by 64-bit hash and s
 hash range, so what is shuffled is a few bytes a distinct pair and batch. The owner of a range sums them. Word counts
 become an exact table; both become the filter: a count c is held as its level 1 + floor(log2 c), by inserting the n-gram with every
 level up to it, and read back by probing level after level until one is missing. The filter has a segment for each hash
-range, so its owner builds it alone; its size is the parameter ``bits`` whatever the corpus is. A segment that more
-n-grams would overfill leaves out its rarest pairs, by a count limit taken from its own counts of the whole corpus.
+range, so its owner builds it alone; all have ``bits`` bits together, and a segment whose words would fill more than half of
+it gets as many more as they need. Pairs that would overfill a segment, the rarest by a count limit taken from its own counts of
+the whole corpus, are not lost: they go with their counts to an exact table, which grows with the corpus.
 
 Scoring. Word probabilities are (c + 1) / (N + V + 1); a pair's is interpolated with it, with a weight c(v) / (c(v) + K) of the
-context v; all counts come from the filter. The exact base score takes word counts from a broadcast of the most frequent
+context v; word counts come from the filter, pair counts too unless the filter holds the pair at no level that its segment's limit
+allows: such a pair is looked up in the exact table by an equi-join, and is 0 only if it is not there either. The exact base score takes word counts from a broadcast of the most frequent
 words, at most ``head`` of them, and for the rest from an equi-join of the remaining words with the exact table.
 
 Null and empty texts consist of the end alone. Every row of the input gives one row.
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -97,19 +99,23 @@ def level(counts: np.ndarray) -> np.ndarray:
 
 
 def _spots(keys: np.ndarray, at: int, probe: int, size: int) -> np.ndarray:
-    return ((mix(keys * _B + np.array([at * 8 + probe + 1], U) * _A) >> U(32)) * U(size)) >> U(32)
+    return ((mix(keys * _B + np.array([at * 8 + probe + 1], U) * _A) >> U(32)) * np.asarray(size, U)) >> U(32)
 
 
-def segment(one: np.ndarray, c1: np.ndarray, two: np.ndarray, c2: np.ndarray, size: int) -> np.ndarray:
-    """The packed bits of one segment of ``size`` bits."""
-    # the least count of a pair with which at most half of the bits can be set
+def least(c1: np.ndarray, c2: np.ndarray, size: int) -> int:
+    """The least count of a pair with which at most half of a segment's bits can be set."""
     room = size // 2 // PROBES - int(level(c1).sum())
     levels = level(c2)
     limit = 1
     while int(levels[c2 >= limit].sum()) > max(room, 0) and limit <= (int(c2.max()) if len(c2) else 0):
         limit += 1
+    return limit
+
+
+def segment(one: np.ndarray, c1: np.ndarray, two: np.ndarray, c2: np.ndarray, size: int) -> np.ndarray:
+    """The packed bits of one segment of ``size`` bits."""
     bits = np.zeros(size, np.uint8)
-    keep = c2 >= limit
+    keep = c2 >= least(c1, c2, size)
     for keys, levels in ((one, level(c1)), (two[keep], level(c2[keep]))):
         j = 1
         while len(keys):
@@ -134,51 +140,79 @@ def _build(size: int):
             a, b, c, d = (np.concatenate(x) for x in zip(*held.pop(k)))
             one, c1 = _summed(a, b.astype(np.int64))
             two, c2 = _summed(c, d.astype(np.int64))
-            bits = segment(one, c1, two, c2, size).tobytes()
-            n = len(one)
-            for i in range(0, n, 50_000):
-                part = slice(i, i + 50_000)
-                w = len(one[part])
-                yield pa.RecordBatch.from_arrays([pa.array(one[part].view(np.int64)), pa.array(c1[part]), pa.nulls(w, pa.int32()), pa.nulls(w, pa.binary())], ["word", "count", "block", "bits"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([bits], pa.binary())], ["word", "count", "block", "bits"])
+            own = max(size, -(-2 * PROBES * int(level(c1).sum()) // 8) * 8)  # words fill half of it at most
+            bits, limit = segment(one, c1, two, c2, own).tobytes(), least(c1, c2, own)
+            rare = c2 < limit
+            for name, keys, counts in (("word", one, c1), ("pair", two[rare], c2[rare])):
+                for i in range(0, len(keys), 50_000):
+                    part = pa.array(keys[i : i + 50_000].view(np.int64))
+                    none = pa.nulls(len(part), pa.int64())
+                    yield pa.RecordBatch.from_arrays([part if name == "word" else none, part if name == "pair" else none, pa.array(counts[i : i + 50_000]), pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.binary())], ["word", "pair", "count", "block", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([limit], pa.int64()), pa.array([k], pa.int32()), pa.array([bits], pa.binary())], ["word", "pair", "count", "block", "bits"])
 
     return run
 
 
 @dataclass
 class Filter:
-    """The filter's segments and the size of the corpus."""
+    """The filter's segments and the size of the corpus; what they leave out is in ``rare`` (pair, count), if anything is."""
 
     bits: np.ndarray
     size: int
     blocks: int
     total: int
     distinct: int
+    sizes: np.ndarray | None = None  # of the segments, where they differ
+    limits: np.ndarray | None = None  # the least count of a pair that each segment holds
+    rare: DataFrame | None = None
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The middle of each key's level, 0 for keys that are not held."""
+    def __post_init__(self):
+        self.sizes = np.full(self.blocks, self.size, U) if self.sizes is None else self.sizes.astype(U)
+        self.starts = np.concatenate([np.zeros(1, U), np.cumsum(self.sizes)])[:-1]
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The level at which each key is held, 0 for keys that are not."""
         out = np.zeros(len(keys), np.int64)
-        live, own, base = np.arange(len(keys)), keys, _block(keys, self.blocks).astype(U) * U(self.size)
+        at = _block(keys, self.blocks)
+        live, own, base, size = np.arange(len(keys)), keys, self.starts[at], self.sizes[at]
         for j in range(1, 64):
             for p in range(PROBES):
-                spot = base + _spots(own, j, p, self.size)
+                spot = base + _spots(own, j, p, size)
                 there = (self.bits[spot >> U(3)] >> (spot & U(7)).astype(np.uint8) & 1).astype(bool)
-                live, own, base = live[there], own[there], base[there]
+                live, own, base, size = live[there], own[there], base[there], size[there]
             if not len(live):
                 break
             out[live] = j
-        return np.where(out > 0, 1.5 * 2.0 ** (out - 1) - 0.5, 0.0)
+        return out
 
-    def logs(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability after the one before."""
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """The middle of each key's level, 0 for keys that are not held."""
+        return middle(self.levels(keys))
+
+    def logs(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log10 of each token's probability after the one before; the tokens, in order, whose pair is to be looked up in
+        ``rare``, with 0 for a log; for each of them its pair, its own level and that of its context in 48, 8 and 8 bits)."""
         kinds, which = np.unique(h, return_inverse=True)
-        single = self.counts(kinds)[which]
-        context = np.empty(len(h))
-        context[1:] = single[:-1]
-        context[at[:-1]] = self.counts(np.array([END]))[0]
-        both = np.minimum(self.counts(pairs(h, at)), context)
+        own = self.levels(kinds)[which]
+        before = np.empty_like(own)
+        before[1:] = own[:-1]
+        before[at[:-1]] = self.levels(np.array([END]))[0]
+        single, context = middle(own), middle(before)
+        two = pairs(h, at)
+        held = self.levels(two)
+        away = np.zeros(0, np.int64)
+        if self.limits is not None:  # a pair that is held is so at the level of the limit at least
+            limit = self.limits[_block(two, self.blocks)]
+            away = np.flatnonzero((limit > 1) & (held < level(limit)))
+        both = np.minimum(middle(held), context)
         low = (single + 1) / (self.total + self.distinct + 1)
-        return np.log10((both + CONTEXT * low) / (context + CONTEXT))
+        out = np.log10((both + CONTEXT * low) / (context + CONTEXT))
+        out[away] = 0
+        return out, away, two[away] | own[away].astype(U) << U(48) | before[away].astype(U) << U(56)
+
+
+def middle(levels: np.ndarray) -> np.ndarray:
+    return np.where(levels > 0, 1.5 * 2.0 ** (levels - 1) - 0.5, 0.0)
 
 
 def fit(docs: DataFrame, text: str = "text", bits: int = BITS) -> tuple[DataFrame, Filter]:
@@ -188,13 +222,17 @@ def fit(docs: DataFrame, text: str = "text", bits: int = BITS) -> tuple[DataFram
     blocks = max(64, 2 * n)
     size = bits // blocks // 8 * 8
     packed = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_counts(blocks), "block int, packed binary")
-    made = cut(packed.repartition(n, "block").mapInArrow(_build(size), "word long, count long, block int, bits binary"), "ngrams")
-    exact = made.where("block is null").select("word", "count")
+    made = cut(packed.repartition(n, "block").mapInArrow(_build(size), "word long, pair long, count long, block int, bits binary"), "ngrams")
+    exact = made.where("word is not null").select("word", "count")
     row = exact.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    held = np.zeros(blocks * size // 8, np.uint8)
+    sizes, limits = np.full(blocks, size, np.int64), np.ones(blocks, np.int64)
+    for x in made.where("block is not null").select("block", "count", F.octet_length("bits").alias("n")).collect():
+        sizes[x["block"]], limits[x["block"]] = 8 * x["n"], x["count"]
+    held, ends = np.zeros(int(sizes.sum()) // 8, np.uint8), np.cumsum(sizes) // 8
     for x in made.where("block is not null").select("block", "bits").toLocalIterator():
-        held[x["block"] * size // 8 : (x["block"] + 1) * size // 8] = np.frombuffer(x["bits"], np.uint8)
-    return exact, Filter(held, size, blocks, int(row[0]), int(row[1]))
+        held[ends[x["block"]] - len(x["bits"]) : ends[x["block"]]] = np.frombuffer(x["bits"], np.uint8)
+    rare = made.where("pair is not null").select("pair", "count") if limits.max() > 1 else None
+    return exact, Filter(held, size, blocks, int(row[0]), int(row[1]), sizes, limits, rare)
 
 
 def frequent(exact: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.ndarray, float]:
@@ -230,10 +268,12 @@ def _score(model, head):
                 cut_at = np.searchsorted(rest, at)
                 tail = pa.ListArray.from_arrays(pa.array(cut_at.astype(np.int32)), pa.array(h[rest].view(np.int64)))
                 begin = at[:-1]
+                scored, away, keys = lm.logs(h, at)
+                seek = pa.ListArray.from_arrays(pa.array(np.searchsorted(away, at).astype(np.int32)), pa.array(keys.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(row, row + j - i)), batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(at)),
-                    pa.array(np.add.reduceat(there.astype(np.int64), begin)), pa.array(np.add.reduceat(logs, begin)), pa.array(np.add.reduceat(lm.logs(h, at), begin)), tail,
-                ], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail"])
+                    pa.array(np.add.reduceat(there.astype(np.int64), begin)), pa.array(np.add.reduceat(logs, begin)), pa.array(np.add.reduceat(scored, begin)), tail, seek,
+                ], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail", "seek"])
                 row += j - i
 
     return run
@@ -243,13 +283,26 @@ def score(docs: DataFrame, exact: DataFrame, model: Filter, key: str = "doc_id",
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``, which has held_out."""
     spark = docs.sparkSession
     known, counts, limit = frequent(exact, head)
-    run = _score(spark.sparkContext.broadcast(model), spark.sparkContext.broadcast((known, counts)))
-    kinds = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>"
+    run = _score(spark.sparkContext.broadcast(replace(model, rare=None)), spark.sparkContext.broadcast((known, counts)))
+    kinds = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>, seek array<long>"
     told = cut(docs.select(F.col(key).cast("long").alias("doc_id"), "held_out", F.col(text).cast("string").alias("text")).mapInArrow(run, kinds), "scored")
     rare = exact.where(F.floor(F.log2("count") * 8) < limit) if limit < math.inf else exact
     rest = told.select("row", F.explode("tail").alias("word")).join(rare, "word").groupBy("row").agg(F.sum(F.log10(F.col("count") + 1.0)).alias("more"), F.count("*").alias("found"))
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * math.log10(model.total + model.distinct + 1)
-    return told.drop("tail").join(rest, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    if model.rare is not None:
+        told = _sought(told, model)
+    return told.drop("tail", "seek").join(rest, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+
+
+def _sought(told: DataFrame, model: Filter) -> DataFrame:
+    """``told`` with the logs of the tokens whose pairs are to be looked up added to the score."""
+    bits = lambda n: F.shiftrightunsigned("s", n).bitwiseAND(F.lit(255))
+    mid = lambda c: F.when(F.col(c) > 0, 1.5 * F.pow(F.lit(2.0), F.col(c) - 1) - 0.5).otherwise(0.0)
+    each = told.select("row", F.explode("seek").alias("s")).select("row", F.col("s").bitwiseAND(F.lit(int(PAIR))).alias("pair"), bits(48).alias("own"), bits(56).alias("before"))
+    each = each.join(model.rare, "pair", "left").withColumns({"context": mid("before"), "low": (mid("own") + 1) / (model.total + model.distinct + 1)})
+    both = F.least(F.coalesce(F.col("count"), F.lit(0)).cast("double"), "context")
+    more = each.groupBy("row").agg(F.sum(F.log10((both + CONTEXT * F.col("low")) / (F.col("context") + CONTEXT))).alias("found"))
+    return told.join(more, "row", "left").withColumn("score", F.col("score") + F.coalesce("found", F.lit(0.0))).drop("found")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,6 +178,31 @@ def test_language_model_matches_plain_counts(docs, monkeypatch):
     assert (f.counts(keys) >= 0.5 * counts).all() and np.mean(f.counts(keys) <= 2 * counts) > 0.95
 
 
+def test_language_model_keeps_pairs_that_its_filter_has_no_room_for(docs):
+    from pyspark.sql import functions as F
+
+    marked = docs.withColumn("held_out", F.col("doc_id") % 3 == 0)
+    made = {}
+    for bits in (1 << 24, 1 << 13):  # room for all n-grams; for few pairs beside the words
+        exact, model = lm.fit(docs.where("doc_id % 3 <> 0"), bits=bits)
+        made[bits] = model, {r["doc_id"]: r["score"] for r in lm.score(marked, exact, model).collect()}
+    (wide, want), (tight, got) = made.values()
+    assert wide.rare is None and (wide.limits == 1).all()
+    ones, twos = Counter(), Counter()
+    for i, t in plain(docs).items():
+        if i % 3:
+            w = [""] + re.findall(r"[^\x20\x09-\x0D]+", fold(t)) + [""]
+            ones.update(w[1:])
+            twos.update(zip(w, w[1:]))
+    left = Counter(r["count"] for r in tight.rare.collect())
+    assert not left - Counter(twos.values()) and left[1] > 3000
+    middle = lambda c: 1.5 * 2 ** math.floor(math.log2(c)) - 0.5 if c else 0.0
+    for i, t in plain(docs).items():
+        w = [""] + re.findall(r"[^\x20\x09-\x0D]+", fold(t)) + [""]
+        plainly = sum(math.log10((min(twos[a, b], middle(ones[a])) + 4 * (middle(ones[b]) + 1) / (tight.total + tight.distinct + 1)) / (middle(ones[a]) + 4)) for a, b in zip(w, w[1:]))
+        assert got[i] == pytest.approx(plainly, rel=0.1) and want[i] == pytest.approx(plainly, rel=0.15)
+
+
 def test_decontamination_matches_plain_windows(spark, docs):
     texts = plain(docs)
     items = spark.createDataFrame([(1, texts[5]), (2, texts[30].upper()[:120]), (3, "one"), (4, None), (5, "..."), (6, texts[5]), (7, "no such words at all in any of these texts here now")], "item_id long, text string")
