@@ -329,7 +329,7 @@ def struct_dups(spark, sf_dir):
     return r.select("n", "triples", "self_loops", F.round("duplicate_ratio", 9).alias("duplicate_ratio"), F.round("self_loop_ratio", 9).alias("self_loop_ratio"))
 
 
-# a sparse graph of suppliers and parts of one shipping month, so that there are components to find
+# a part of the graph only (suppliers and parts of 0.2 % of the lines), small enough for recursive SQL; struct_components_whole takes all of it
 _SPARSE = "sp AS (SELECT DISTINCT 's' || CAST(l_suppkey AS STRING) AS src_id, 'p' || CAST(l_partkey AS STRING) AS dst_id FROM lineitem WHERE l_quantity = 1 AND l_discount = 0.05)"
 
 
@@ -341,6 +341,11 @@ def struct_components(spark, sf_dir):
     return structure.component_sizes(nodes, frame(spark, sf_dir, f"WITH {_SPARSE} SELECT * FROM sp"))
 
 
+@query()
+def struct_components_whole(spark, sf_dir):
+    return structure.component_sizes(*graphs(spark, sf_dir)[:2])
+
+
 SQL["struct_components"] = SQL["struct_components"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 

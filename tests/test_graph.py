@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from factloom.operators import align, graph, mentions, structure
 from factloom.operators.components import components
 from factloom.operators.ids import ordinals
+from factloom.plans import catalog
+from factloom.plans.demo import graphs
 
 NODE, EDGE = "node_id string, name string, label string, ord long", "edge_id string, src_id string, dst_id string, relation_type string, confidence double, ord long"
 
@@ -144,3 +146,22 @@ def test_adjacent_pairs_skip_repeats_and_stop_at_the_limit(spark):
     want = [(a[1], b[1]) for a, b in itertools.pairwise(rows) if a[1] != b[1]][:20]
     assert got == want
     assert graph.adjacent_pairs(df.where(F.lit(False))).count() == 0
+
+
+def test_components_of_the_whole_graph_match_a_plain_search(spark):
+    at = "/root/testdata/sf0.001"
+    nodes, edges, _, _ = (x.collect() for x in graphs(spark, at))
+    near = {r["node_id"]: set() for r in nodes}
+    for r in edges:
+        if r["src_id"] in near and r["dst_id"] in near:
+            near[r["src_id"]].add(r["dst_id"])
+            near[r["dst_id"]].add(r["src_id"])
+    want = {}
+    for n in sorted(near):
+        todo = [n] if n not in want else []
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want[x] = n
+                todo += near[x]
+    assert {r["node_id"]: r["component"] for r in catalog.QUERIES["struct_components_whole"](spark, at).collect()} == want
