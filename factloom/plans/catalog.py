@@ -457,7 +457,7 @@ def judge_score(spark, sf_dir):
 
 
 # ---- change logs ----
-_REV = "SELECT CAST(o_orderkey AS STRING) AS qid, 'about ' || c_name || ' of ' || n_name || '.' AS original_question, 'about ' || c_name || ' of ' || n_name || ' in ' || r_name || '?' AS revised_question, CASE WHEN o_orderkey % 3 = 0 THEN 'no' ELSE 'yes' END AS changed, 'r' || CAST(o_orderkey AS STRING) AS revision_reason FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderpriority = '1-URGENT'"
+_REV = "SELECT CAST(o_orderkey AS STRING) AS qid, 'about ' || c_name || ' of ' || n_name || '.' AS original_question, 'about ' || c_name || ' of ' || n_name || ' in ' || r_name || '?' AS revised_question, CASE WHEN o_orderkey % 3 = 0 THEN 'no' ELSE 'yes' END AS changed, 'r' || CAST(o_orderkey AS STRING) AS revision_reason FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 
 
 @query()

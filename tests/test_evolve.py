@@ -3,6 +3,7 @@
 import random
 
 from factloom.operators import evolve, mcq
+from factloom.plans import catalog, demo
 
 NODE = "node_id string, label string, name string, page_no string, sentence_id string, ord long"
 EDGE = "edge_id string, src_id string, dst_id string, relation_type string, confidence string, page_no string, sentence_id string, ord long"
@@ -99,3 +100,9 @@ def test_dictionary_prefers_longer_names():
     assert d.find("xABC ab c") == ["abc", "ab", "c"]
     assert d.find("abc d") == ["bc d"]
     assert d.find(None) == []
+
+
+def test_every_order_yields_a_revision(spark):
+    at = "/root/testdata/sf0.001"
+    orders = {str(r[0]) for r in spark.read.parquet(f"{at}/orders.parquet").select("o_orderkey").collect()}
+    assert sorted(r["qid"] for r in demo.frame(spark, at, catalog._REV).collect()) == sorted(orders)
