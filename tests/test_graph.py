@@ -165,3 +165,13 @@ def test_components_of_the_whole_graph_match_a_plain_search(spark):
                 want[x] = n
                 todo += near[x]
     assert {r["node_id"]: r["component"] for r in catalog.QUERIES["struct_components_whole"](spark, at).collect()} == want
+
+
+def test_relaxed_queries_go_on_to_similarity(spark, monkeypatch):
+    b = nodes_edges(spark, [("1", "alpha beta gamma"), ("2", "delta"), ("3", "omega")], [("1", "r", "2"), ("3", "r", "2")])
+    t = nodes_edges(spark, [("1", "alpha bexa gamma"), ("2", "delta one")], [("1", "r", "2")])
+    monkeypatch.setattr(catalog, "graphs", lambda *_: (*b, *t))
+    got = {r["name"]: (r["target"], r["stage"], r["claimed"]) for r in catalog.QUERIES["align_relaxed_claim"](spark, "").collect()}
+    assert got == {"alpha beta gamma": ("alpha bexa gamma", "similarity", True), "delta": ("delta one", "substring", True), "omega": (None, "none", False)}
+    value = {r["metric_name"]: r["value"] for r in catalog.QUERIES["align_relaxed_triples"](spark, "").collect()}
+    assert (value["relaxed_entity_tp"], value["relaxed_entity_fp"], value["relaxed_relation_tp"], value["relaxed_relaxed_dropped_edges_unmapped_endpoints"]) == (2, 1, 1, 1)
