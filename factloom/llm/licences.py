@@ -1,7 +1,8 @@
 """Licence scan by sentence rules, in DataFrame functions only.
 
 A text's sentences (cut at line ends and at full stops before white space) are normalised to lower-case letters and digits with single
-spaces. A sentence that is a known licence sentence becomes its identifier; others break nothing and are left out. The
+spaces. A sentence that is a known licence sentence becomes its identifier, and so does a run of consecutive lines that makes one up,
+the longest from where it begins, so that wrapped texts are found; others break nothing and are left out. Blank lines (comment marks alone too) end a run. The
 sequence of a document's identifiers is then matched against licence rules in order: a rule that matches names its
 licence, once, and takes its identifiers out of the sequence before the next rule is tried.
 
@@ -60,7 +61,7 @@ RULES = [
     ("Proprietary", "reserved"),
 ]
 HINT = r"(?i)licen[sc]e|permi|softw|redistribut|warrant|rights reserved|cc0|copyright"
-END = r"[.!?]+(?=\s|$)|[\r\n]+"
+END, LINE = r"[.!?]+(?=\s|$)", r"\r\n|[\r\n]"
 
 
 def pattern(rule: str) -> str:
@@ -74,12 +75,15 @@ def scan(docs: DataFrame, text: str = "text", sentences: dict | None = None, rul
     known = [(s, i) for i, own in sentences.items() for s in own]
     table = F.map_from_arrays(F.array(*[F.lit(s) for s, _ in known]), F.array(*[F.lit(i) for _, i in known]))
     made = ["_parts", "_ids", "_left", "_found"]
-    # one pass over the text marks sentence ends, one normalises what lies between
-    marked = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(text, END, "\u0001")), "[^a-z0-9\u0001]+", " "), " ?\u0001 ?", "\u0001")
-    parts = F.when(F.col(text).rlike(HINT), F.split(F.trim(marked), "\u0001"))
-    df = docs.withColumn("_parts", parts)
-    hit = F.filter("_parts", lambda s: s.isin([s for s, _ in known]))
-    df = df.withColumn("_ids", F.coalesce(F.transform(hit, lambda s: table[s]), F.expr("cast(array() as array<string>)")))
+    # sentence ends and line ends are marked apart, what lies between is normalised, and line ends at blank lines or sentence ends become those
+    marked = F.lower(F.regexp_replace(F.regexp_replace(text, END, "\u0001"), LINE, "\u0002"))
+    marked = F.regexp_replace(F.regexp_replace(marked, "[^a-z0-9\u0001\u0002]+", " "), " ?([\u0001\u0002]) ?", "$1")
+    marked = F.regexp_replace(marked, "\u0002*\u0001[\u0001\u0002]*|\u0002{2,}", "\u0001")
+    one = "|".join(s.replace(" ", "[ \u0002]") for s, _ in sorted(known, key=lambda k: (-len(k[0]), k[0])))
+    # possible only from one end to another
+    hit = F.regexp_extract_all(F.trim(marked), F.lit(f"(?<![^\u0001\u0002])(?:{one})(?![^\u0001\u0002])"), F.lit(0))
+    df = docs.withColumn("_parts", F.when(F.col(text).rlike(HINT), hit))
+    df = df.withColumn("_ids", F.coalesce(F.transform("_parts", lambda s: table[F.translate(s, "\u0002", " ")]), F.expr("cast(array() as array<string>)")))
     seed = F.when(F.size("_ids") > 0, F.concat(F.lit(","), F.array_join("_ids", ",,"), F.lit(",")))
     df = df.withColumn("_left", seed).withColumn("_found", F.lit(""))
     plan = F.expr("array(" + ",".join(f"named_struct('n','{n}','p','{pattern(r)}')" for n, r in rules) + ")")

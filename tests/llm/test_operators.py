@@ -299,6 +299,23 @@ def test_licences(spark):
     assert got == {1: (3, "MIT"), 2: (2, "CC-BY-NC-4.0,Proprietary"), 3: (0, ""), 4: (0, ""), 5: (0, "")}
 
 
+def test_licences_of_wrapped_texts(spark):
+    import textwrap
+
+    s = {k: v[0] for k, v in licences.SENTENCES.items()}
+    wrap = lambda names, mark="", end="\n": end.join(mark + line for p in names for line in [*textwrap.wrap(s[p].capitalize() + ".", 60), ""])
+    texts = [
+        "Copyright (c) 2020 A\n" + wrap(["mit_grant", "mit_notice", "as_is"]),
+        wrap(["mit_grant", "as_is"], " * ", "\r\n"),
+        "# (c) A\n" + wrap(["bsd_grant", "bsd_source", "bsd_binary", "bsd_names"], "# "),
+        wrap(["gpl_free", "gpl_hope"], "// "),
+        "MIT License\nCopyright (c) 2020 A\nAll rights reserved",
+        s["bsd_grant"].replace(" ", "\n\n") + "\n" + s["gpl_free"][:-3],
+    ]
+    got = {r["doc_id"]: (r["sentence_ids"], r["licences"]) for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: ("mit_grant,mit_notice,as_is", "MIT"), 1: ("mit_grant,as_is", "MIT"), 2: ("bsd_grant,bsd_source,bsd_binary,bsd_names", "BSD-3-Clause"), 3: ("gpl_free,gpl_hope", "GPL-3.0-or-later"), 4: ("mit_name,reserved", "MIT,Proprietary"), 5: ("", "")}
+
+
 def test_quality_learns_junk(spark):
     good = [(i, prose(60, i).capitalize() + ".") for i in range(150)]
     bad = [(1000 + i, " ".join(x + "###" for x in prose(60, 500 + i).split())) for i in range(150)]
