@@ -60,7 +60,7 @@ RULES = [
     ("CC0-1.0", "cc0"), ("CC-BY-4.0", "cc_by"), ("CC-BY-SA-4.0", "cc_by_sa"), ("CC-BY-NC-4.0", "cc_by_nc"), ("CC-BY-NC-SA-4.0", "cc_by_nc_sa"), ("CC-BY-ND-4.0", "cc_by_nd"),
     ("Proprietary", "reserved"),
 ]
-HINT = r"(?i)licen[sc]e|permi|softw|redistribut|warrant|rights reserved|cc0|copyright"
+HINT = r"(?i)licen[sc]e|permi|softw|redistribut|warrant|reserved|cc0|copyright"
 END, LINE = r"[.!?]+(?=\s|$)", r"\r\n|[\r\n]"
 
 

@@ -316,6 +316,12 @@ def test_licences_of_wrapped_texts(spark):
     assert got == {0: ("mit_grant,mit_notice,as_is", "MIT"), 1: ("mit_grant,as_is", "MIT"), 2: ("bsd_grant,bsd_source,bsd_binary,bsd_names", "BSD-3-Clause"), 3: ("gpl_free,gpl_hope", "GPL-3.0-or-later"), 4: ("mit_name,reserved", "MIT,Proprietary"), 5: ("", "")}
 
 
+def test_licence_hint_holds_for_every_spacing(spark):
+    texts = ["All  rights reserved", "All Rights\tReserved.", "all rights\u00a0reserved", "ALL RIGHTS\nRESERVED"]
+    got = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r["licences"] for r in got] == ["Proprietary"] * len(texts)
+
+
 def test_quality_learns_junk(spark):
     good = [(i, prose(60, i).capitalize() + ".") for i in range(150)]
     bad = [(1000 + i, " ".join(x + "###" for x in prose(60, 500 + i).split())) for i in range(150)]
