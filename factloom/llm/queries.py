@@ -20,6 +20,5 @@ QUERIES = {
 SQL = {
     "op4_license_scan": licences.SQL,
     "op5_source_mix": mixing.SQL,
-    "op9_language_id": language.query,
     "op10_decontamination": decontaminate.SQL,
 }

@@ -349,3 +349,9 @@ def test_language_tells_families_and_relatives(spark):
     assert sum(got[i]["lang_pred"] == k for i, _, k in rows if i // 4 % 2) >= 0.95 * len(rows) / 2
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (9000, 9001, 9002))
     assert {r["lang_pred"] for r in language.identify(df, language.fit([], pa.array([], pa.string()))).collect()} == {"und"}
+
+
+def test_every_oracle_is_sql():
+    from factloom.llm import queries
+
+    assert all(isinstance(s, str) for s in queries.SQL.values()) and set(queries.SQL) <= set(queries.QUERIES)
