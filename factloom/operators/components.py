@@ -1,54 +1,96 @@
-"""Connected components by alternating large-star and small-star steps.
+"""Connected components: union-find within partitions, then alternating large-star and small-star steps between them.
 
-Each step is two equi-joins with a min that combines map-side, so no node's neighbourhood is ever collected;
-the edge list ends as one (node, smallest node) row per non-root after O(log^2) rounds. Each round is written to
-the shared folder, which keeps plans short and survives lost executors.
+A task first unites the edges that it holds and passes on one edge from each node to the least of its group, so the shuffled
+steps see what no single task could settle. A step is an equi-join with a min that combines map-side, so no node's neighbourhood
+is ever collected. A round is one write to the shared folder, which keeps plans short and survives lost executors; it also
+tells how many edges it moved, and a round that moves none is the last: then every edge leads from a node to the least of its component.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from factloom.shared import cut
+from factloom.shared import cut, drop
 
+#: Edges that a task holds before it unites them.
+HELD = 1 << 20
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, least): every node of the edges (a, b) that is not the least of its group, and that least."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    top, x, y = np.arange(len(names)), at[: len(a)], at[len(a) :]
+    while True:
+        x, y = top[x], top[y]
+        apart = x != y
+        if not apart.any():
+            break
+        x, y = x[apart], y[apart]
+        np.minimum.at(top, np.maximum(x, y), np.minimum(x, y))
+        while (top != (up := top[top])).any():
+            top = up
+    moved = np.flatnonzero(top != np.arange(len(names)))
+    return names[moved], names[top[moved]]
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n, loops = [], 0, [np.zeros(0, np.int64)]
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    def done() -> list[tuple[np.ndarray, np.ndarray]]:
+        return [forest(*(np.concatenate(c) for c in zip(*held)))] if held else []
 
+    for batch in batches:
+        a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        loops = [np.unique(np.concatenate([*loops, a[a == b]]))]
+        held.append((a, b))
+        n += len(batch)
+        if n > HELD:
+            held = done()
+            n = len(held[0][0]) // 2
+    for a, b in [*done(), *((x, x) for x in loops)]:
+        for i in range(0, len(a), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 50_000]), pa.array(b[i : i + 50_000])], ["a", "b"])
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
+def united(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect what those of each partition do: one from every node to the least of its group there, and the loops."""
+    return edges.mapInArrow(_united, edges.schema) if edges.schema["a"].dataType.simpleString() == "bigint" else edges.distinct()
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+
+def _round(edges: DataFrame) -> DataFrame:
+    """Large-star, then small-star; ``moved`` marks the edges that either step changed."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m"))
+    large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"), (F.col("m") < F.col("a")).alias("moved"))
+    least = large.groupBy("a").agg(F.min("b").alias("m"))
+    small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"), (F.col("moved") | (F.col("b") > F.col("m"))).alias("moved"))
+    return small.where("a <> b or moved").unionByName(least.select("a", F.col("m").alias("b"), F.lit(False).alias("moved")))
+
+
+def components(edges: DataFrame, max_rounds: int = 60, done: bool = False) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns a, b of one orderable type); component is the smallest node.
 
-    Self-loops name a node without linking it; null ends are dropped; an empty edge list gives an empty table.
+    Self-loops name a node without linking it; null ends are dropped; an empty edge list gives an empty table; repeated edges count once.
+    ``done``: the edges of each partition are united already.
     """
-    edges = edges.select("a", "b").where("a is not null and b is not null")
-    loops = edges.where("a = b").select("a")
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-    state = _state(now)
-    for _ in range(max_rounds):
-        if not state[0]:
-            break
-        now = cut(_small_star(_large_star(now)), "cc")
-        new = _state(now)
-        if new == state:
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null")
+    first = cut(edges if done else united(edges), "cc")
+    now = first.where("a <> b")
+    for i in range(max_rounds):
+        seen = Observation()
+        stepped = _round(now).observe(seen, F.coalesce(F.sum(F.col("moved").cast("long")), F.lit(0)).alias("moved"))
+        before, now = now, cut(united(stepped.where("a <> b").select("a", "b")), "cc")
+        if i:
+            drop(before)
+        if not seen.get["moved"]:
             break
-        state = new
     else:
         raise RuntimeError("components did not settle")
-    tops = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    stars = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(tops)
-    return stars.unionByName(loops.select(F.col("a").alias("node"), F.col("a").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    ends = now.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("component")), F.struct(F.col("b").alias("node"), F.col("b").alias("component")))).alias("x")).select("x.*")
+    loops = first.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
+    return ends.unionByName(loops).groupBy("node").agg(F.min("component").alias("component"))

@@ -1,24 +1,30 @@
 """Tables in the folder that driver and executors share, used to cut lineage.
 
 A long plan is cut by writing it as Parquet under ``spark.checkpoint.dir`` and reading it back: the files
-survive lost executors, and later stages see a plain scan. The folder is only chosen here when the session
-names none (tests on one machine).
+survive lost executors, and later stages see a plain scan. Shuffle files of a plan that ends in such a table go with it, as nothing reads
+them again. The folder is only chosen here when a session on one machine names none.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Whether Spark deletes the shuffle files of a command when it ends.
+_CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder, or one of our own where none is set."""
+    """The session's shared folder, or one of our own where a local session sets none; an error on a cluster without one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get()
@@ -29,8 +35,23 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of what was written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.conf.get(_CLEANED, "false")
+    spark.conf.set(_CLEANED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANED, held)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables of ``cut`` that nothing reads again."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._stored)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -43,16 +64,24 @@ _BITS = 1 << 26
 _PAGE = 1 << 15
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one where ``df`` has a column of that name."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def _tested(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, Column]:
     """``df`` beside the pages of a bit for each hash of ``ids`` (one column), and whether a row's key may be among them.
 
     The pages, at most 2048 of 4 KB, are broadcast, so the rows of ``df`` stay where they are."""
+    s, page, bits = (fresh(df, c) for c in ("_s", "_page", "_bits"))
     spot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(_BITS))
-    own = ids.select(F.col(ids.columns[0]).alias("_i")).where("_i is not null").select(spot("_i").alias("_s"))
-    pages = own.groupBy(F.expr(f"_s div {_PAGE}").alias("_page")).agg(F.bitmap_construct_agg(F.col("_s") % _PAGE).alias("_bits"))
-    beside = df.withColumn("_s", F.when(F.col(key).isNotNull(), spot(key)))
-    beside = beside.join(F.broadcast(pages), F.expr(f"_s div {_PAGE}") == F.col("_page"), "left")
-    bit = F.expr(f"_bits is not null and (shiftright(cast(conv(hex(substring(_bits, cast((_s % {_PAGE}) div 8 as int) + 1, 1)), 16, 10) as int), cast(_s % 8 as int)) & 1) = 1")
+    own = ids.select(F.col(ids.columns[0]).alias("i")).where("i is not null").select(spot("i").alias("t"))
+    pages = own.groupBy(F.expr(f"t div {_PAGE}").alias(page)).agg(F.bitmap_construct_agg(F.col("t") % _PAGE).alias(bits))
+    beside = df.withColumn(s, F.when(F.col(key).isNotNull(), spot(key)))
+    beside = beside.join(F.broadcast(pages), F.expr(f"{s} div {_PAGE}") == F.col(page), "left")
+    bit = F.expr(f"{bits} is not null and (shiftright(cast(conv(hex(substring({bits}, cast(({s} % {_PAGE}) div 8 as int) + 1, 1)), 16, 10) as int), cast({s} % 8 as int)) & 1) = 1")
     return beside, bit
 
 
