@@ -3,38 +3,44 @@
 Routing. Texts become sets of 64-bit shingle hashes. Sets of near sizes are cut by hash range into k parts, k being larger
 by a few than the most elements in which two linked sets of those sizes can differ; linked sets then share a part
 that is not empty. A part's signature stands for all its elements, so only sets that agree on a whole hash range meet,
-not sets that share a common passage. Equal sets are one class and send a signature once a batch. Signatures travel as packed
-blocks; a task that owns a range of signatures ties every class to the smallest class of the same signature, and the
-connected components of these ties are the families: linked classes are always in one family.
+not sets that share a common passage. Equal sets are one class. A task unites the classes that share a signature among its own, sends each signature once, for the
+group, as packed blocks, and the owner of a range of signatures unites groups; the connected components of what all tasks united are
+the families: linked classes are always in one family.
 
 Search. Each family is searched where its sets meet. Sets go in by size; for each, the required overlap T follows from
 the sizes, the longest inverted lists (at most T - 1) are set aside, the short ones are merged on a heap, and candidates
 with T - L occurrences there are probed in the long lists by binary search. Sets already connected are skipped, as only
-the links that join components matter for classes. A family above ``chunk`` sets is dealt into chunks and
-every pair of chunks is searched, so no task holds an unbounded family.
+the links that join components matter for classes.
 
-Null, empty and wordless texts have empty sets, linked with nothing. Rows that repeat a text are linked; a null key is kept and never
-the representative of a class with other keys.
+Large families. Of a linked set, at least the share ``percent`` of the elements is in another set, so sets that only share a passage
+are dropped first. What is left is dealt into chunks, and the best supported set of the family, its hub, goes to every
+chunk: a group of near copies, however large, becomes one component there, as its sets are linked with the hub. Only sets outside the
+family's largest component then have to meet the other chunks, so a pair of chunks that is already connected is never searched.
+
+Null, empty and wordless texts have empty sets, linked with nothing. Classes, not keys, are linked: rows that repeat a key but not a text are
+apart, rows that repeat a text are linked, and so are rows without a key. A component is named by its smallest key, null only if
+none of its rows has one. All columns but key and text are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.words import column, groups, mix, words
-from factloom.operators.components import components
-from factloom.shared import among, cut, partitions
+from factloom.operators.components import components, forest
+from factloom.shared import among, cut, fresh, partitions, without
 
 U = np.uint64
-#: Sets of a family that are searched together at most.
-CHUNK = 1000
+#: Sets of a chunk of a family; signatures that a task combines at a time.
+CHUNK, COMBINED = 250, 1 << 21
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,10 +120,43 @@ class Bands:
         return (np.concatenate(sigs), np.concatenate(owners)) if sigs else (np.zeros(0, U), np.zeros(0, np.int64))
 
 
+def _united(sig: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, classes, a, b): each signature once, with the least class of the group that shared signatures make, and the edges from the group's
+    other classes to it."""
+    order = np.argsort(sig, kind="stable")
+    sig, who = sig[order], who[order]
+    same = np.flatnonzero(sig[1:] == sig[:-1])
+    a, b = forest(who[same + 1].view(np.int64), who[same].view(np.int64))
+    one = np.ones(len(sig), bool)
+    one[same + 1] = False
+    sig, who = sig[one], who[one].view(np.int64)
+    spot = np.minimum(np.searchsorted(a, who), max(0, len(a) - 1))
+    return sig, np.where(a[spot] == who, b[spot], who) if len(a) else who, a, b
+
+
 def _sets_of(k: int, percent: int, blocks: int):
-    """Batches of (text) to packed blocks of (block number, signatures with their classes)."""
+    """Batches of (text) to packed blocks of (block number, signatures with their classes, edges between classes). Signatures are combined by as many as fit in memory
+    before they leave: what many texts of a task share is sent once, for all of them."""
+
+    def packed(held: list) -> pa.RecordBatch:
+        sig, who, a, b = _united(*(np.concatenate(x) for x in zip(*held)))
+        block = (sig % U(blocks)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        sig, who = sig[order], who[order]
+        at = np.searchsorted(block[order], np.arange(blocks + 1))
+        edge = np.searchsorted(np.arange(len(a)) * blocks // max(1, len(a)), np.arange(blocks + 1))  # edges go anywhere
+        rows = []
+        for x in range(blocks):
+            p, q, r, t = at[x], at[x + 1], edge[x], edge[x + 1]
+            if p < q or r < t:
+                own, ref = np.unique(who[p:q], return_inverse=True)
+                five = sig[p:q].view(np.uint8).reshape(-1, 8)[:, 3:]  # a block holds too few for 40 bits to clash often, and a clash only costs work
+                ref = ref.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32)
+                rows.append((x, b"".join(v.tobytes() for v in (np.array([q - p, len(own), t - r], np.int64), own, a[r:t], b[r:t], five, ref))))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
             data, offs = column(batch.column(0))
             for i, j in groups(offs):
@@ -130,46 +169,45 @@ def _sets_of(k: int, percent: int, blocks: int):
                 own = np.concatenate([sets[at[x] : at[x + 1]] for x in first])
                 size = np.diff(at)[first]
                 sig, owner = Bands(percent, int(size.max())).signatures(own, np.concatenate([[0], np.cumsum(size)]))
-                block = (sig % U(blocks)).astype(np.int64)
-                order = np.argsort(block, kind="stable")
-                sig, owner, block = sig[order], owner[order], block[order]
-                edge = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]) if len(block) else [0]
-                rows = []
-                for a, b in zip(edge[:-1], edge[1:]):
-                    who, ref = np.unique(owner[a:b], return_inverse=True)
-                    five = sig[a:b].view(np.uint8).reshape(-1, 8)[:, 3:]  # a block holds too few for 40 bits to clash often, and a clash only costs work
-                    rows.append((int(block[a]), np.array([b - a, len(who)], np.int64).tobytes() + cls[0][first[who]].tobytes() + five.tobytes() + ref.astype(np.uint16 if len(who) <= 1 << 16 else np.uint32).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "packed"])
+                held.append((sig, cls[0][first][owner]))
+                n += len(sig)
+                if n > COMBINED:
+                    yield packed(held)
+                    held, n = [], 0
+        if held:
+            yield packed(held)
 
     return run
 
 
 def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed blocks to (a, b): every class that shares a signature, and the smallest class that does."""
-    sigs, owners = [], []
+    """Packed blocks, those of a block together, to (a, b): from every class that shares a signature, the least class of its group."""
+    edges: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(held: list) -> None:
+        _, _, a, b = _united(*(np.concatenate(x) for x in zip(*held)))
+        edges.append((a, b))
+        edges[:] = [forest(*(np.concatenate(c) for c in zip(*edges)))]
+
+    now, held = None, []
     for batch in batches:
         for block, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-            raw = x.as_buffer()
-            n, m = np.frombuffer(raw, np.int64, 2)
-            who = np.frombuffer(raw, U, m, 16)
+            if block != now and held:
+                add(held)
+                held = []
+            now, raw = block, x.as_buffer()
+            n, m, e = (int(v) for v in np.frombuffer(raw, np.int64, 3))
+            who = np.frombuffer(raw, U, m, 24)
+            edges.append((np.frombuffer(raw, np.int64, e, 24 + 8 * m), np.frombuffer(raw, np.int64, e, 24 + 8 * m + 8 * e)))
             five = np.zeros((n, 8), np.uint8)
-            five[:, 3:] = np.frombuffer(raw, np.uint8, 5 * n, 16 + 8 * m).reshape(-1, 5)
-            five[:, :3] = np.frombuffer(np.int64(block).tobytes(), np.uint8, 3)  # signatures of different blocks never meet
-            sigs.append(five.view(U).ravel())
-            owners.append(who[np.frombuffer(raw, np.uint16 if m <= 1 << 16 else np.uint32, n, 16 + 8 * m + 5 * n)])
-    if not sigs:
-        return
-    sig, who = np.concatenate(sigs), np.concatenate(owners)
-    sigs.clear(), owners.clear()
-    order = np.argsort(sig, kind="stable")
-    sig, who = sig[order], who[order]
-    head = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1])
-    least = np.repeat(np.minimum.reduceat(who, head), np.diff(np.append(head, len(sig))))
-    tied = who != least
-    pairs = np.unique(np.stack([who[tied], least[tied]], 1), axis=0)
-    for i in range(0, len(pairs), 50_000):
-        part = pairs[i : i + 50_000].view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], ["a", "b"])
+            at = 24 + 8 * m + 16 * e
+            five[:, 3:] = np.frombuffer(raw, np.uint8, 5 * n, at).reshape(-1, 5)
+            held.append((five.view(U).ravel(), who[np.frombuffer(raw, np.uint16 if m <= 1 << 16 else np.uint32, n, at + 5 * n)]))
+    if held:
+        add(held)
+    for a, b in edges:
+        for i in range(0, len(a), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 50_000]), pa.array(b[i : i + 50_000])], ["a", "b"])
 
 
 def required(percent: int, a: int, b: int) -> int:
@@ -177,11 +215,20 @@ def required(percent: int, a: int, b: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def divide_skip(sets: list[np.ndarray], percent: int, side: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links (indices) that connect the sets exactly as all linked pairs do; with ``side``, only pairs of different sides are looked at."""
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    top = list(range(len(sets)))
+def divide_skip(sets: list[np.ndarray], percent: int, side: list[int] | None = None, label: list | None = None) -> list[tuple[int, int]]:
+    """Links (indices) that connect the sets exactly as all linked pairs do; with ``side``, only pairs of different sides are looked at,
+    and sets of one ``label`` are connected from the start."""
     sizes = np.array([len(s) for s in sets], np.int64)
+    # elements of one set only are in no overlap, and a set with too few others has no partner here
+    _, which, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, U), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = n[which] > 1
+    live = np.bincount(owner[shared], minlength=len(sets)) * 100 >= percent * sizes
+    keep = shared & live[owner]
+    held = np.split(which[keep], np.cumsum(np.bincount(owner[keep], minlength=len(sets)))[:-1]) if len(sets) else []
+    order = [int(i) for i in np.argsort(sizes, kind="stable") if live[i]]
+    first: dict = {}
+    top = [first.setdefault(x, i) for i, x in enumerate(label)] if label else list(range(len(sets)))
 
     def find(i: int) -> int:
         while top[i] != i:
@@ -190,11 +237,10 @@ def divide_skip(sets: list[np.ndarray], percent: int, side: list[int] | None = N
         return i
 
     lists: dict[int, list[int]] = {}
-    rank = {i: r for r, i in enumerate(order)}
     links = []
     for r, q in enumerate(order):
-        elements = sets[q].tolist()
-        n = len(elements)
+        elements = held[q].tolist()
+        n = int(sizes[q])
         least_size = -(-percent * n // 100)
         known = [lists[e] for e in elements if e in lists]
         low = required(percent, n, least_size)
@@ -204,16 +250,16 @@ def divide_skip(sets: list[np.ndarray], percent: int, side: list[int] | None = N
             skip = min(low - 1, int(low / (0.0085 * math.log2(longest + 1) + 1)), len(known))
             short, long = known[: len(known) - skip], known[len(known) - skip :]
             mine = find(q)
-            live = [x for x in ([i for i in run if find(order[i]) != mine] for run in short) if x]
-            heap = [(run[0], k, 0) for k, run in enumerate(live)]
+            live_runs = [x for x in ([i for i in run if find(order[i]) != mine] for run in short) if x]
+            heap = [(run[0], k, 0) for k, run in enumerate(live_runs)]
             heapq.heapify(heap)
             while heap:
                 at, seen = heap[0][0], 0
                 while heap and heap[0][0] == at:
                     _, k, p = heap[0]
                     seen += 1
-                    if p + 1 < len(live[k]):
-                        heapq.heapreplace(heap, (live[k][p + 1], k, p + 1))
+                    if p + 1 < len(live_runs[k]):
+                        heapq.heapreplace(heap, (live_runs[k][p + 1], k, p + 1))
                     else:
                         heapq.heappop(heap)
                 c = order[at]
@@ -225,14 +271,8 @@ def divide_skip(sets: list[np.ndarray], percent: int, side: list[int] | None = N
                     if seen >= need or seen + left < need:
                         break
                     left -= 1
-                    lo, hi = 0, len(run)
-                    while lo < hi:
-                        mid = (lo + hi) // 2
-                        if run[mid] < at:
-                            lo = mid + 1
-                        else:
-                            hi = mid
-                    seen += lo < len(run) and run[lo] == at
+                    p = bisect.bisect_left(run, at)
+                    seen += p < len(run) and run[p] == at
                 if seen >= need:
                     links.append((q, c))
                     top[max(find(q), find(c))] = min(find(q), find(c))
@@ -241,68 +281,75 @@ def divide_skip(sets: list[np.ndarray], percent: int, side: list[int] | None = N
     return links
 
 
-def _search(percent: int):
-    """Rows (family, i, j, rep, chunk, elements), those of a group together, to the links of each group."""
-
-    def done(rows: list) -> list[tuple[int, int]]:
-        rows = list({r[0]: r for r in rows}.values())
-        side = [r[1] for r in rows] if rows and rows[0][3] else None
-        return [(rows[a][0], rows[b][0]) for a, b in divide_skip([r[2] for r in rows], percent, side)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
-        for batch in batches:
-            out = []
-            cols = [batch.column(i).to_pylist() for i in range(5)]
-            for family, i, j, rep, chunk, raw in zip(*cols, batch.column(5)):
-                if (family, i, j) != key:
-                    out += done(rows)
-                    key, rows = (family, i, j), []
-                rows.append((rep, chunk, np.frombuffer(raw.as_buffer(), U), i != j))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
-        out = done(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
-
-    return run
+def _search(k: int, percent: int):
+    """Rows (family, i, j, side, label, c, text), those of a group (family, i, j) together, to the links of each group; of rows with one
+    side and class, one counts. Pairs of one side are looked at only where i = j."""
 
+    def done(held: list) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        both, label, c = (rows[x].to_numpy() for x in ("side", "label", "c"))
+        _, one = np.unique(np.stack([both, c]), axis=1, return_index=True)
+        data, offs = column(rows["text"])
+        sets, at = shingle_sets(data, offs, k)
+        side = both[one].tolist() if rows["i"][0] != rows["j"][0] else None
+        links = divide_skip([sets[at[x] : at[x + 1]] for x in one], percent, side, label[one].tolist()) if len(one) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([c[one[x[e]]] for x in links], pa.int64()) for e in (0, 1)], ["a", "b"])
 
-def _sized(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for batch in batches:
-            data, offs = column(batch.column(1))
-            for i, j in groups(offs):
-                sets, at = shingle_sets(data, offs[i : j + 1], k)
-                cls = classes(sets, at).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(cls[0]), pa.array(cls[1])], ["doc_id", "n", "c", "d"])
+            if not len(batch):
+                continue
+            key = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            edge = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), len(batch)]
+            for a, b in zip(edge[:-1], edge[1:]):
+                if held and tuple(key[:, a]) != now:
+                    yield done(held)
+                    held = []
+                now = tuple(key[:, a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield done(held)
 
     return run
 
 
-def _elements(k: int):
-    """Batches of (rep, family, chunk, chunks, text), with the set of each text in its place."""
+def _sized(k: int, first: bool = False):
+    """Batches of (columns..., text) to the same columns with n, c and d of each text's set; ``first`` keeps the text, and one row of each class of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = column(batch.column(4))
+            data, offs = column(batch.column(batch.num_columns - 1))
             for i, j in groups(offs):
                 sets, at = shingle_sets(data, offs[i : j + 1], k)
-                held = [sets[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(i, j - i) for x in range(4)), pa.array(held, pa.binary())], ["rep", "family", "chunk", "chunks", "elements"])
+                cls = classes(sets, at).view(np.int64)
+                rows = batch.slice(i, j - i)
+                cols = [*rows.columns[: None if first else -1], pa.array(np.diff(at)), pa.array(cls[0]), pa.array(cls[1])]
+                names = [*batch.schema.names[: None if first else -1], "n", "c", "d"]
+                out = pa.RecordBatch.from_arrays(cols, names)
+                if first:
+                    at = pa.Table.from_batches([out.append_column("_at", pa.array(np.arange(j - i)))]).group_by(["k", "c", "d"]).aggregate([("_at", "min")])["_at_min"]
+                    out = out.take(at.combine_chunks())
+                yield out
 
     return run
 
 
 def _dealt(k: int, blocks: int):
-    """Batches of (rep, text) to packed blocks of (block number, reps, 32 bits of each element, which rep has it)."""
+    """Batches of (text) to packed blocks of (block number, classes, 32 bits of each element, which class has it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reps = batch.column(0).to_numpy()
-            data, offs = column(batch.column(1))
+            data, offs = column(batch.column(0))
             for i, j in groups(offs):
                 sets, at = shingle_sets(data, offs[i : j + 1], k)
-                owner = np.repeat(np.arange(i, j), np.diff(at))
-                h = mix(sets ^ U(0x2545F4914F6CDD1D))
+                cls = classes(sets, at)[0]
+                _, one = np.unique(cls, return_index=True)
+                once = np.zeros(j - i, bool)
+                once[one] = True
+                owner = np.repeat(np.arange(j - i), np.diff(at))
+                h, owner = sets[once[owner]], owner[once[owner]]
+                h = mix(h ^ U(0x2545F4914F6CDD1D))
                 block = (h % U(blocks)).astype(np.int64)
                 order = np.argsort(block, kind="stable")
                 owner, block, four = owner[order], block[order], (h[order] >> U(32)).astype(np.uint32)
@@ -310,20 +357,26 @@ def _dealt(k: int, blocks: int):
                 rows = []
                 for a, b in zip(edge[:-1], edge[1:]):
                     who, ref = np.unique(owner[a:b], return_inverse=True)
-                    rows.append((int(block[a]), np.array([b - a, len(who)], np.int64).tobytes() + reps[who].astype(np.int64).tobytes() + four[a:b].tobytes() + ref.astype(np.uint16 if len(who) <= 1 << 16 else np.uint32).tobytes()))
+                    rows.append((int(block[a]), np.array([b - a, len(who)], np.int64).tobytes() + cls[who].tobytes() + four[a:b].tobytes() + ref.astype(np.uint16 if len(who) <= 1 << 16 else np.uint32).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "packed"])
 
     return run
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed blocks, those of a block together, to (rep, how many of its elements there are in another set)."""
+    """Packed blocks, those of a block together, to (c, how many of its elements there are in another class)."""
 
     def done(held: list) -> pa.RecordBatch:
-        four, rep = (np.concatenate([x[c] for x in held]) if held else np.zeros(0, np.int64) for c in (0, 1))
-        _, which, n = np.unique(four, return_inverse=True, return_counts=True)
-        who, shared = np.unique(rep[n[which] > 1] if len(rep) else rep, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(who), pa.array(shared)], ["rep", "shared"])
+        four, who = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+        order = np.lexsort((who, four))
+        four, who = four[order], who[order]
+        new = np.concatenate([[True], (four[1:] != four[:-1]) | (who[1:] != who[:-1])])  # a class counts once, however many rows it has
+        four, who = four[new], who[new]
+        again = np.zeros(len(four), bool)
+        again[1:] = four[1:] == four[:-1]
+        again[:-1] |= again[1:]
+        c, shared = np.unique(who[again], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(shared)], ["c", "shared"])
 
     now, held = None, []
     for batch in batches:
@@ -333,68 +386,131 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = []
             now, raw = block, x.as_buffer()
             n, m = np.frombuffer(raw, np.int64, 2)
-            who = np.frombuffer(raw, np.int64, m, 16)
+            who = np.frombuffer(raw, U, m, 16)
             ref = np.frombuffer(raw, np.uint16 if m <= 1 << 16 else np.uint32, n, 16 + 8 * m + 4 * n)
             held.append((np.frombuffer(raw, np.uint32, n, 16 + 8 * m), who[ref]))
-    yield done(held)
-
-
-def _let_go(spark: SparkSession) -> None:
-    """Shuffle files of finished plans stay on every disk until the driver's garbage is collected; after a large one it is time."""
-    spark.sparkContext._jvm.System.gc()
-
-
-def _supported(docs: DataFrame, member: DataFrame, k: int, percent: int, chunk: int) -> DataFrame:
-    """``member`` (rep, n, family, chunk, chunks) without those sets of large families that can't have a partner: of a linked set, at
-    least ``percent`` of the elements are in another set. Sets that only share a passage go; what is left of a
-    family is dealt into chunks anew. Elements that share a hash are counted as one, which keeps sets but drops none."""
-    spark = docs.sparkSession
-    big = member.where("chunks > 1")
-    if big.isEmpty():
-        return member
-    blocks = 4 * partitions(spark)
-    texts = among(docs, "doc_id", big.select("rep")).join(big.select("rep"), F.col("doc_id") == F.col("rep")).select("rep", "text")
-    dealt = texts.mapInArrow(_dealt(k, blocks), "block int, packed binary").repartition(blocks // 4, "block").sortWithinPartitions("block")
-    shared = cut(dealt.mapInArrow(_counted, "rep long, shared long").groupBy("rep").agg(F.sum("shared").alias("shared")), "support")
-    _let_go(spark)
-    good = cut(big.join(shared, "rep").where(F.col("shared") * 100 >= percent * F.col("n")).select("rep", "n", "family"), "supported")
-    sizes = good.groupBy("family").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    good = good.join(sizes, "family").select("rep", "n", "family", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), "chunks")
-    return cut(member.where("chunks = 1").unionByName(good), "members")
+    if held:
+        yield done(held)
+
+
+def _families(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, component): the family of every class of ``texts`` (text) that shares a signature with another."""
+    blocks = partitions(texts.sparkSession)
+    packed = texts.mapInArrow(_sets_of(k, percent, blocks), "block int, packed binary")
+    return components(packed.repartitionById(blocks, "block").mapInArrow(_ties, "a long, b long"), done=True)
+
+
+def _supported(texts: DataFrame, big: DataFrame, k: int, percent: int) -> DataFrame:
+    """``big`` (c, n, ...), members of large families, with ``share``, how many of a set's elements are in another set of ``texts``, and without those
+    sets that can't have a partner. Elements that share a hash are counted as one, which keeps sets but drops none."""
+    blocks = partitions(texts.sparkSession)
+    dealt = texts.mapInArrow(_dealt(k, blocks), "block int, packed binary")
+    shared = dealt.repartitionById(blocks, "block").mapInArrow(_counted, "c long, shared long").groupBy("c").agg(F.sum("shared").alias("shared"))
+    return big.join(shared, "c").where(F.col("shared") * 100 >= percent * F.col("n")).withColumn("share", F.col("shared") / F.col("n")).drop("shared")
+
+
+def _chunked(rows: DataFrame, by: list[str], chunk: int) -> DataFrame:
+    """``rows`` with the number of chunks of their group, and theirs."""
+    sizes = rows.groupBy(*by).agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    return rows.join(sizes, by).withColumn("chunk", F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int"))
+
+
+_GROUP = ["family", "i", "j"]
+
+
+def _linked(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) of classes in each group of rows (family, i, j, side, label, c, text)."""
+    rows = rows.select(*_GROUP, "side", "label", "c", "text")
+    return rows.repartition(partitions(rows.sparkSession), *_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_search(k, percent), "a long, b long")
+
+
+def _links(docs: DataFrame, member: DataFrame, k: int, percent: int, chunk: int) -> DataFrame:
+    """Links that connect the classes of ``member`` (c, d, n, k, family) exactly as all linked pairs do."""
+    sizes = lambda rows: rows.groupBy("family").agg((F.count("*") > chunk).alias("large"))
+    member = cut(member.join(sizes(member), "family"), "members")
+    big = member.where("large")
+    some = cut(_supported(among(docs, "k", big.select("k")).select("text"), big, k, percent).drop("share").unionByName(member.where("not large")), "some")
+
+    near = among(docs, "k", some.select("k")).select("k", "text")  # other texts stay where they are
+    near = near.mapInArrow(_sized(k, True), "k string, text string, n long, c long, d long").drop("n")  # a key may have several texts
+    one = [F.first(x).alias(x) for x in ("n", "family", "large", "text")]  # and several rows of one text
+    held = cut(near.join(some, ["k", "c", "d"]).groupBy("k", "c", "d").agg(*one), "texts")
+
+    # without the sets that were dropped, what chained large families together is mostly gone: their rest is routed once more
+    texts = held.where("large").select("c", "n", "text")
+    again = texts.select("c", "n").join(_families(texts.select("text"), k, percent), F.col("c") == F.col("node")).select("c", "n", F.col("component").alias("family"))
+    again = cut(again.join(sizes(again), "family"), "members")
+    big = cut(_supported(texts.select("text"), again.where("large"), k, percent), "supported")
+    hubs = big.groupBy("family").agg(F.max_by("c", F.struct("share", "c")).alias("hub"))
+    dealt = _chunked(big, ["family"], chunk).join(hubs, "family").select("c", "family", "chunk", "chunks", "hub")
+    dealt = again.where("not large").select("c", "family", F.lit(0).alias("chunk"), F.lit(1).alias("chunks"), F.lit(None).cast("long").alias("hub")).unionByName(dealt)
+    dealt = cut(texts.select("c", "text").join(dealt, "c"), "dealt")
+    every = F.expr("explode(if(c = hub, sequence(0, chunks - 1), array(chunk)))")
+    first = held.where("not large").select("c", "text", "family", F.lit(0).alias("i")).unionByName(dealt.select("c", "text", "family", every.alias("i")))
+    links = cut(_linked(first.select("family", "i", F.col("i").alias("j"), F.lit(0).alias("side"), F.col("c").alias("label"), "c", "text"), k, percent), "links")
+
+    # what the largest component of a large family leaves out meets all its chunks
+    dealt = dealt.where("hub is not null").select("c", "family", "text")
+    told = dealt.select("c", "family").join(components(links), F.col("c") == F.col("node"), "left").select("c", "family", F.coalesce("component", "c").alias("label"))
+    told = cut(told, "labels")
+    most = told.groupBy("family", "label").agg(F.count("*").alias("size")).groupBy("family").agg(F.max_by("label", F.struct("size", "label")).alias("most"), F.count("*").alias("labels"))
+    told = told.join(most.where("labels > 1"), "family").select("c", "family", "label", (F.col("label") != F.col("most")).alias("rest"))
+    told = cut(_chunked(told, ["family", "rest"], 4 * chunk), "rest")
+    ends = told.groupBy("family").agg(F.max(F.when(F.col("rest"), F.col("chunks"))).alias("rests"), F.max(F.when(~F.col("rest"), F.col("chunks"))).alias("mains"))
+    told = told.join(ends, "family").select("c", "label", "rest", F.when(F.col("rest"), F.col("chunk")).otherwise(F.col("chunk") + F.col("rests")).alias("x"), "rests", (F.col("rests") + F.col("mains")).alias("all"))
+    other = F.expr("explode(sequence(0, if(rest, all, rests) - 1))")
+    met = dealt.join(told, "c").withColumn("o", other)
+    met = met.select("family", F.least("x", "o").alias("i"), F.greatest("x", "o").alias("j"), (F.col("x") > F.col("o")).cast("int").alias("side"), "label", "c", "text")
+    return links.unionByName(cut(_linked(met, k, percent), "links"))
+
+
+def _key(key: str, text: str) -> Column:
+    """A row's key as text, or a name from the text where it has none."""
+    return F.coalesce(F.col(key).cast("long").cast("string"), F.concat(F.lit("~"), F.xxhash64(F.col(text).cast("string")).cast("string")))
+
+
+def resolved(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, chunk: int = CHUNK) -> DataFrame:
+    """(k, doc_id, n, c, d, component_id, first) for every row of ``docs``: its key as text, the size and name of its set, the smallest key
+    of its component, and whether it is the component's first, that is, has this key and the first set of this key."""
+    docs = docs.select(_key(key, text).alias("k"), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    sized = cut(docs.mapInArrow(_sized(k), "k string, doc_id long, n long, c long, d long"), "sized")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("head")
+    reps = cut(sized.where("n > 0").groupBy("c", "d", "n").agg(head), "classes")
+
+    member = reps.join(_families(docs.select("text"), k, percent), F.col("c") == F.col("node")).select("c", "d", "n", F.col("head.k").alias("k"), F.col("component").alias("family"))
+    tops = components(_links(docs, member, k, percent, chunk))
+
+    rooted = cut(reps.join(tops, F.col("c") == F.col("node"), "left").select("c", "d", "n", "head", F.coalesce("component", "c").alias("root")), "rooted")
+    heads = rooted.groupBy("root").agg(F.min(F.struct("head", "c", "d")).alias("least"))
+    own = (F.col("c") == F.col("least.c")) & (F.col("d") == F.col("least.d"))
+    named = rooted.join(heads, "root").select("c", "d", "n", F.col("least.head.doc_id").alias("component_id"), F.when(own, F.col("least.head.k")).alias("kept"))
+    out = sized.join(named, ["c", "d", "n"], "left")
+    return out.select("k", "doc_id", "n", "c", "d", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), ((F.col("n") == 0) | F.coalesce(F.col("kept") == F.col("k"), F.lit(False))).alias("first"))
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``: components of the documents whose sets of distinct k-word
     shingles have a Jaccard similarity of ``percent`` or more, named by their smallest key."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    blocks = 4 * partitions(spark)
-    sized = cut(docs.mapInArrow(_sized(k), "doc_id long, n long, c long, d long"), "sized")
-    reps = cut(sized.where("n > 0").groupBy("c", "d", "n").agg(F.min("doc_id").alias("rep")), "classes")
-
-    packed = docs.select("text").mapInArrow(_sets_of(k, percent, blocks), "block int, packed binary")
-    ties = packed.repartition(blocks // 4, "block").mapInArrow(_ties, "a long, b long")
-    ties = cut(ties.distinct(), "ties")
-    _let_go(spark)
-    families = cut(components(ties), "families")
-    member = reps.where("rep is not null").join(families, F.col("c") == F.col("node")).select("rep", "n", F.col("component").alias("family"))
-    sizes = member.groupBy("family").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    member = cut(member.join(sizes, "family").select("rep", "n", "family", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), "chunks"), "members")
-    member = _supported(docs, member, k, percent, chunk)
-
-    near = among(docs, "doc_id", member.select("rep"))  # texts without a family stay where they are
-    held = near.join(member, F.col("doc_id") == F.col("rep")).select("rep", "family", "chunk", "chunks", "text")
-    held = held.mapInArrow(_elements(k), "rep long, family long, chunk int, chunks int, elements binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    held = held.withColumn("o", other).select("family", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "rep", "chunk", "elements")
-    met = held.repartition(partitions(spark), "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_search(percent), "a long, b long")
-    links = cut(met, "links")
-    _let_go(spark)
-    joined = components(links)
-
-    named = cut(reps.join(joined, F.col("rep") == F.col("node"), "left").select("c", "d", F.col("n").alias("m"), F.coalesce("component", "rep").alias("component")), "named")
-    out = sized.alias("s").join(named.alias("r"), (F.col("s.c") == F.col("r.c")) & (F.col("s.d") == F.col("r.d")) & (F.col("n") == F.col("m")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return resolved(docs, key, text, k, percent, chunk).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, with one row of each component: that of its smallest key. Of several rows with this key and set the one
+    that comes first as JSON stays; rows with empty sets all stay. Texts are shuffled only where several rows share a key."""
+    found = cut(resolved(docs, key, text, k, percent), "found")
+    keys = cut(found.groupBy("k").agg(F.count("*").alias("rows"), F.count_if("first").alias("firsts"), F.count_if(F.col("n") > 0).alias("full")), "keys")
+    stay = (F.col("firsts") == F.col("rows")) & ((F.col("rows") == 1) | (F.col("full") == 0))
+    name = fresh(docs, "_k")
+    marked = docs.withColumn(name, _key(key, text))
+    kept = without(marked, name, keys.where(~stay).select("k"))
+    mixed = keys.where(~stay & (F.col("firsts") > 0)).select(F.col("k").alias(name))
+    some = among(marked, name, mixed).join(mixed, name, "left_semi")
+    rows = some.select(F.struct(*docs.columns).alias("row"), F.col(name).alias("k"), F.col(text).cast("string").alias("text"))
+    sets = rows.mapInArrow(_sized(k), rows.drop("text").schema.add("n", "long").add("c", "long").add("d", "long"))
+    good = found.where("first and n > 0").select("k", "c", "d").distinct()
+    one = sets.where("n > 0").join(good, ["k", "c", "d"], "left_semi").groupBy("k", "c", "d").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    rest = one.select("row.*").unionByName(sets.where("n = 0").select("row.*"))
+    return kept.select(docs.columns).unionByName(rest.select(docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

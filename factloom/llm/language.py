@@ -13,7 +13,6 @@ The fit sees a bounded sample (``EACH`` texts a language); every text is scored
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,7 +39,8 @@ FAMILIES = {
 }
 OF = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
 EACH, FEATURES, ROUNDS = 600, 1 << 12, 16
-_LETTER = re.compile(r"[^\W\d_]")
+#: Any letter, of any script; numbers and numeral signs are none.
+LETTER = r"\p{L}"
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[:128] = [ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(128)]
 
@@ -164,14 +164,15 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
                     lang, score = ["und"] * (b - a), np.zeros(b - a)
                     if held.value is not None:
                         lang, score = held.value.predict(features(data, offs[a : b + 1]))
-                        for k, t in enumerate(col.slice(a, b - a)):
-                            t = t.as_py()
-                            if t is None or not _LETTER.search(t):
-                                lang[k], score[k] = "und", 0.0
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in range(batch.num_columns - 1)), pa.array(lang, pa.string()), pa.array(score.astype(float))], names)
-
-    kept = docs.select(F.col(key).alias("doc_id"), *extra, F.col(text).cast("string").alias("text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
+                    none = np.flatnonzero(~batch.column(batch.num_columns - 2).slice(a, b - a).to_numpy(zero_copy_only=False))
+                    score[none] = 0.0
+                    for k in none:
+                        lang[k] = "und"
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in range(batch.num_columns - 2)), pa.array(lang, pa.string()), pa.array(score.astype(float))], names)
+
+    lettered = F.coalesce(F.col(text).cast("string").rlike(LETTER), F.lit(False))
+    kept = docs.select(F.col(key).alias("doc_id"), *extra, lettered.alias("lettered"), F.col(text).cast("string").alias("text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-2])
     return kept.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 

@@ -62,6 +62,24 @@ def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     return keys[head], np.add.reduceat(counts, head) if len(head) else counts
 
 
+class _Sums:
+    """Counts by key, summed whenever as many have come as were kept before: memory follows the distinct keys, not the blocks that bring them."""
+
+    def __init__(self):
+        self.held, self.size, self.kept = [], 0, 1 << 18
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.held.append((keys, counts.astype(np.int64)))
+        self.size += len(keys)
+        if self.size > 2 * self.kept:
+            self.held = [self.total()]
+            self.size = len(self.held[0][0])
+            self.kept = max(self.kept, self.size)
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        return _summed(*(np.concatenate(x) for x in zip(*self.held))) if self.held else (np.zeros(0, U), np.zeros(0, np.int64))
+
+
 def _block(keys: np.ndarray, blocks: int) -> np.ndarray:
     return (mix(keys ^ _C) % U(blocks)).astype(np.int64)
 
@@ -128,27 +146,33 @@ def segment(one: np.ndarray, c1: np.ndarray, two: np.ndarray, c2: np.ndarray, si
 
 def _build(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        now, ones, twos = None, _Sums(), _Sums()
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = x.as_buffer()
+                if now is not None and k != now:
+                    yield from done(now, ones, twos)
+                    ones, twos = _Sums(), _Sums()
+                now, raw = k, x.as_buffer()
                 n, m = (int(v) for v in np.frombuffer(raw, np.int64, 2))
                 six = np.zeros((m, 8), np.uint8)
                 six[:, :6] = np.frombuffer(raw, np.uint8, 6 * m, 16 + 12 * n).reshape(-1, 6)
-                held.setdefault(k, []).append((np.frombuffer(raw, U, n, 16), np.frombuffer(raw, np.uint32, n, 16 + 8 * n), six.view(U).ravel(), np.frombuffer(raw, np.uint8, m, 16 + 12 * n + 6 * m)))
-        for k in list(held):
-            a, b, c, d = (np.concatenate(x) for x in zip(*held.pop(k)))
-            one, c1 = _summed(a, b.astype(np.int64))
-            two, c2 = _summed(c, d.astype(np.int64))
-            own = max(size, -(-2 * PROBES * int(level(c1).sum()) // 8) * 8)  # words fill half of it at most
-            bits, limit = segment(one, c1, two, c2, own).tobytes(), least(c1, c2, own)
-            rare = c2 < limit
-            for name, keys, counts in (("word", one, c1), ("pair", two[rare], c2[rare])):
-                for i in range(0, len(keys), 50_000):
-                    part = pa.array(keys[i : i + 50_000].view(np.int64))
-                    none = pa.nulls(len(part), pa.int64())
-                    yield pa.RecordBatch.from_arrays([part if name == "word" else none, part if name == "pair" else none, pa.array(counts[i : i + 50_000]), pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.binary())], ["word", "pair", "count", "block", "bits"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([limit], pa.int64()), pa.array([k], pa.int32()), pa.array([bits], pa.binary())], ["word", "pair", "count", "block", "bits"])
+                ones.add(np.frombuffer(raw, U, n, 16), np.frombuffer(raw, np.uint32, n, 16 + 8 * n))
+                twos.add(six.view(U).ravel(), np.frombuffer(raw, np.uint8, m, 16 + 12 * n + 6 * m))
+        if now is not None:
+            yield from done(now, ones, twos)
+
+    def done(k: int, ones: _Sums, twos: _Sums) -> Iterator[pa.RecordBatch]:
+        one, c1 = ones.total()
+        two, c2 = twos.total()
+        own = max(size, -(-2 * PROBES * int(level(c1).sum()) // 8) * 8)  # words fill half of it at most
+        bits, limit = segment(one, c1, two, c2, own).tobytes(), least(c1, c2, own)
+        rare = c2 < limit
+        for name, keys, counts in (("word", one, c1), ("pair", two[rare], c2[rare])):
+            for i in range(0, len(keys), 50_000):
+                part = pa.array(keys[i : i + 50_000].view(np.int64))
+                none = pa.nulls(len(part), pa.int64())
+                yield pa.RecordBatch.from_arrays([part if name == "word" else none, part if name == "pair" else none, pa.array(counts[i : i + 50_000]), pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.binary())], ["word", "pair", "count", "block", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([limit], pa.int64()), pa.array([k], pa.int32()), pa.array([bits], pa.binary())], ["word", "pair", "count", "block", "bits"])
 
     return run
 
@@ -218,11 +242,10 @@ def middle(levels: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, text: str = "text", bits: int = BITS) -> tuple[DataFrame, Filter]:
     """(exact word counts as a table of word, count; the filter) of the texts."""
     spark = docs.sparkSession
-    n = partitions(spark)
-    blocks = max(64, 2 * n)
+    blocks = partitions(spark)
     size = bits // blocks // 8 * 8
     packed = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_counts(blocks), "block int, packed binary")
-    made = cut(packed.repartition(n, "block").mapInArrow(_build(size), "word long, pair long, count long, block int, bits binary"), "ngrams")
+    made = cut(packed.repartitionById(blocks, "block").mapInArrow(_build(size), "word long, pair long, count long, block int, bits binary"), "ngrams")
     exact = made.where("word is not null").select("word", "count")
     row = exact.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     sizes, limits = np.full(blocks, size, np.int64), np.ones(blocks, np.int64)

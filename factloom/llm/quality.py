@@ -58,7 +58,7 @@ def shapes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Vectors:
-    """Word vectors by hash in an open table; what does not find a slot counts as unknown."""
+    """Word vectors by hash; a word without one has its index vector."""
 
     def __init__(self, h: np.ndarray, rows: np.ndarray):
         kinds, which, counts = np.unique(h, return_inverse=True, return_counts=True)
@@ -81,34 +81,46 @@ class Vectors:
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
         own = index_vectors(kinds[best])
         sums = np.where(norm > 0, sums / np.maximum(norm, 1e-9), own)
-        self.keys = np.zeros(_SLOTS, U)
-        self.table = np.zeros(_SLOTS, np.int32)
-        slot = (kinds[best] % U(_SLOTS)).astype(np.int64)
-        for turn in (slice(None, None, -1),):  # the more frequent word keeps the slot
-            self.keys[slot[turn]] = kinds[best][turn]
-            self.table[slot[turn]] = np.arange(len(best), dtype=np.int32)[turn]
+        if not len(best):  # nothing to learn from: a vector for a hash that no word is likely to have
+            kinds, best, sums, own = np.zeros(1, U), np.zeros(1, np.int64), np.zeros((1, DIM), np.float32), np.zeros((1, DIM), np.float32)
         self.vectors, self.own = sums.astype(np.float32), own
+        # a slot for most words, and a short sorted list of those whose slot another one has
+        self.keys, self.table = np.zeros(_SLOTS, U), np.zeros(_SLOTS, np.int32)
+        slot = (kinds[best] % U(_SLOTS)).astype(np.int64)
+        self.keys[slot], self.table[slot] = kinds[best], np.arange(len(best), dtype=np.int32)
+        away = np.flatnonzero(self.keys[slot] != kinds[best])
+        self.away = away[np.argsort(kinds[best][away])].astype(np.int32)
+        self.away_keys = kinds[best][self.away]
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 for words without a vector."""
+        slot = (h % U(_SLOTS)).astype(np.int64)
+        out = np.where(self.keys[slot] == h, self.table[slot], -1)
+        rest = np.flatnonzero(out < 0)
+        if len(rest) and len(self.away):
+            spot = np.minimum(np.searchsorted(self.away_keys, h[rest]), len(self.away) - 1)
+            out[rest] = np.where(self.away_keys[spot] == h[rest], self.away[spot], -1)
+        return out
 
     def pooled(self, h: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Mean vector of each text and its length, and the length of the mean index vector; zero for no words."""
         out = np.zeros((len(rows) - 1, DIM + 2), np.float32)
-        for i in range(len(rows) - 1):
+        place = self.places(h)
+        for i in np.flatnonzero(rows[1:] > rows[:-1]):
             raw = np.zeros(DIM, np.float32)
             for a in range(rows[i], rows[i + 1], 1 << 16):
-                own = h[a : min(rows[i + 1], a + (1 << 16))]
-                slot = (own % U(_SLOTS)).astype(np.int64)
-                known = self.keys[slot] == own
-                vec = np.bincount(self.table[slot[known]], minlength=1)
-                use = np.flatnonzero(vec)
+                own = place[a : min(rows[i + 1], a + (1 << 16))]
+                n = np.bincount(own[own >= 0])
+                use = np.flatnonzero(n)
                 if len(use):
-                    out[i, :DIM] += vec[use].astype(np.float32) @ self.vectors[use]
-                    raw += vec[use].astype(np.float32) @ self.own[use]
-                rest = own[~known]
+                    out[i, :DIM] += n[use].astype(np.float32) @ self.vectors[use]
+                    raw += n[use].astype(np.float32) @ self.own[use]
+                rest = h[a : a + len(own)][own < 0]
                 if len(rest):
                     more = index_vectors(rest).sum(0)
                     out[i, :DIM] += more
                     raw += more
-            out[i, DIM + 1] = np.log(1 + raw @ raw / max(1, rows[i + 1] - rows[i]))  # 1 + words a distinct word
+            out[i, DIM + 1] = np.log(1 + raw @ raw / (rows[i + 1] - rows[i]))  # 1 + words a distinct word
         out[:, :DIM] /= np.maximum(1, np.diff(rows))[:, None]
         out[:, DIM] = np.linalg.norm(out[:, :DIM], axis=1)
         return out
@@ -207,7 +219,7 @@ def held_out():
 def train(docs: DataFrame, labels: DataFrame, each: int = EACH) -> Model | None:
     """A model from the labelled rows of ``docs`` that are not held out."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & ~held_out())
-    drawn = draw(known, F.col("quality"), "doc_id", each).groupBy(F.col("doc_id").alias("i")).agg(F.min("quality").alias("quality"))
+    drawn = draw(known, F.col("quality"), "doc_id", each)[0].groupBy(F.col("doc_id").alias("i")).agg(F.min("quality").alias("quality"))
     # about `each` keys for each of two labels, so small enough for every worker: the texts stay where they are
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("i"))
     return fitted(labelled(rows, F.col("quality"), each=2 * each), fit)

@@ -15,6 +15,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard.query,
     "op9_language_id": language.query,
     "op10_decontamination": decontaminate.query,
+    "decontamination_near": decontaminate.near_query,
 }
 
 SQL = {

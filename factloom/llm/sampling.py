@@ -5,32 +5,30 @@ from __future__ import annotations
 import pickle
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def draw(rows: DataFrame, label: Column, key: str, each: int) -> DataFrame:
-    """The rows with ``label`` and ``u``, their place in 0..1 by the hash of their key: about ``each`` a label, all if there are fewer."""
+def draw(rows: DataFrame, label: Column, key: str, each: int) -> tuple[DataFrame, int]:
+    """The rows with ``label`` and ``u``, their place in 0..1 by the hash of their key: about ``each`` a label, all if there are fewer; the number of labels."""
     rows = rows.withColumns({"label": label, "u": F.xxhash64(F.lit("fit"), F.col(key)).bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)}).where("label is not null")
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # a row a label
     if not sizes:
-        return rows.where("false")
+        return rows.where("false"), 0
     share = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items(), key=str) for x in (k, min(1.0, each / n))])[F.col("label")]
-    return rows.where(F.col("u") < share)
+    return rows.where(F.col("u") < share), len(sizes)
 
 
 def labelled(docs: DataFrame, label: Column, text: str = "text", key: str = "doc_id", each: int = 2000, most_bytes: int = 12 << 20) -> DataFrame:
-    """(label, text, u) of about ``each`` rows a label and at most ``most_bytes`` of text in all.
-
-    Every row with a label may be drawn, by the hash of its key. The longest texts leave first where the bytes would not fit."""
-    drawn = draw(docs.where(F.col(text).isNotNull()), label, key, each).select("label", F.col(text).alias("text"), "u")
-    limit = 1 << 40
-    while True:
-        total = drawn.where(F.octet_length("text") <= limit).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        if total <= most_bytes:
-            break
-        limit = min(limit, most_bytes) // 2
-    return drawn.where(F.octet_length("text") <= limit)
+    """(label, text, u) of about ``each`` keys a label, in order of the hash of the key as long as the texts before take less than the label's share of
+    ``most_bytes``: the length of a text has no part in whether it is drawn, and every label has one text at least. Rows that share a key and
+    label count as one, with the least of their texts; null texts are left out."""
+    drawn, labels = draw(docs.where(F.col(text).isNotNull()), label, key, each)
+    before = Window.partitionBy("label").orderBy("u").rowsBetween(Window.unboundedPreceding, -1)
+    sized = drawn.groupBy("label", "u").agg(F.max(F.octet_length(text)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    ends = sized.where(F.col("before") < most_bytes / max(1, labels)).groupBy(F.col("label").alias("l")).agg(F.max("u").alias("end"))
+    kept = drawn.join(F.broadcast(ends), (F.col("label") == F.col("l")) & (F.col("u") <= F.col("end")))  # ends: a row a label
+    return kept.groupBy("label", "u").agg(F.min(text).alias("text")).select("label", "text", "u")
 
 
 def fitted(sample: DataFrame, fit):

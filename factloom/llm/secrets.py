@@ -6,8 +6,9 @@ by character are carried from window to window, one leaving and one entering, an
 in whole millionths, so the entropy of every window costs one update and the comparison is exact. A candidate's span runs from
 its first to its last window that reaches the class's threshold, unless an allow-list entry covers it.
 
-Offsets are code points, end exclusive. Null and empty texts have no spans. All columns of the input, whatever their names,
-are kept beside the result; a clash with a result name is resolved in favour of the result.
+Offsets are code points, end exclusive. Null and empty texts have no spans; each of repeated rows has its own; an empty table gives an empty
+result. All columns of the input, whatever their names, are kept beside the result; a column ``spans`` is replaced. The cost of a
+text is in proportion to its length and spans, however long a candidate is.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.shared import fresh
+
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"
@@ -39,60 +42,67 @@ def _limit(bits: float) -> int:
     return math.floor((math.log2(WINDOW) - bits) * WINDOW * 1e6)
 
 
-def _spans(text: Column, found: Column, gaps: Column, kind: str, keep: Column | None = None) -> Column:
-    """Spans of all matches from the pieces between them; ``keep`` flags by match, in order."""
-    seed = F.struct(F.lit(0).alias("p"), F.expr("cast(array() as array<struct<s:int,k:int,e:int>>)").alias("a"))
+#: Values that a running sum or maximum takes at a time, so that its array is never copied as a whole.
+_RUN = 128
 
-    def step(acc, i):
-        s = acc["p"] + F.length(gaps[i])
-        e = s + F.length(found[i])
-        one = F.array(F.struct(s.cast("int").alias("s"), F.lit(KINDS.index(kind)).alias("k"), e.cast("int").alias("e")))
-        more = F.concat(acc["a"], one)
-        return F.struct(e.cast("int").alias("p"), (F.when(keep[i], more).otherwise(acc["a"]) if keep is not None else more).alias("a"))
 
-    none = F.expr("cast(array() as array<struct<s:int,k:int,e:int>>)")
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), seed, step, lambda acc: acc["a"])).otherwise(none)
+def _running(values: str, step: str) -> str:
+    """An array: for each of the ints ``values`` what ``step`` (of z and y) makes of 0 and those before it."""
+    part = f"slice({values}, b * {_RUN} + 1, {_RUN})"
+    grow = f"(z, y) -> named_struct('p', {step.replace('z', 'z.p')}, 'a', array_append(z.a, z.p)), z -> z.a"
+    none = "cast(array() as array<int>)"
+    sums = f"transform(sequence(0, greatest(0, (size({values}) - 1) div {_RUN})), b -> aggregate({part}, 0, (z, y) -> {step}))"
+    heads = f"aggregate({sums}, named_struct('p', 0, 'a', {none}), {grow})"
+    return f"flatten(transform({heads}, (h, b) -> aggregate({part}, named_struct('p', h, 'a', {none}), {grow})))"
+
+
+def _spans(found: str, gaps: str, sizes: str, kind: str, values: str | None = None) -> str:
+    """Spans (s, k, e) of the matches ``found`` between the pieces ``gaps``, ``sizes`` being what each takes with the piece before it; of those
+    whose ``values`` have 12 characters or more."""
+    spans = f"transform({_running(sizes, 'z + y')}, (p, i) -> named_struct('s', p + length({gaps}[i]), 'k', {KINDS.index(kind)}, 'e', p + {sizes}[i]))"
+    kept = f"filter({spans}, (x, i) -> length({values}[i]) >= 12)" if values else spans
+    return f"if(size({found}) > 0, {kept}, cast(array() as array<struct<s:int,k:int,e:int>>))"
 
 
 def scan(docs: DataFrame, text: str = "text", allow_values: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with ``spans``: array<struct<s,k,e>> by start, then kind (index into KINDS)."""
-    raw = "_secret_text"
+    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "entropy": f"(?<![{RUN}])[{RUN}]{{20,}}"}
+    raw, value, base, end, ends, more = (fresh(docs, f"_secret_{x}") for x in ("text", "value", "base", "end", "ends", "more"))
+    m, g, n, s = ([fresh(docs, f"_secret_{x}{i}") for i in range(4)] for x in "mgns")
     df = docs.withColumn(raw, F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumns({
-        "_m0": F.regexp_extract_all(raw, F.lit(ASSIGN), F.lit(0)), "_m1": F.regexp_extract_all(raw, F.lit(ACCESS), F.lit(0)),
-        "_m2": F.regexp_extract_all(raw, F.lit(HEX), F.lit(0)), "_m3": F.regexp_extract_all(raw, F.lit(f"(?<![{RUN}])[{RUN}]{{20,}}"), F.lit(0)),
-    })
-    pat = {"_m0": ASSIGN, "_m1": ACCESS, "_m2": HEX, "_m3": f"(?<![{RUN}])[{RUN}]{{20,}}"}
-    df = df.withColumns({f"_g{m[2]}": F.when(F.size(m) > 0, F.split(raw, p, -1)) for m, p in pat.items()} | {"_v0": F.when(F.size("_m0") > 0, F.regexp_extract_all(raw, F.lit(ASSIGN), F.lit(2)))})
-    df = df.withColumns({
-        "_s0": _spans(F.col(raw), F.col("_m0"), F.col("_g0"), "assign", F.transform("_v0", lambda v: F.length(v) >= 12)),
-        "_s1": _spans(F.col(raw), F.col("_m1"), F.col("_g1"), "access"), "_s2": _spans(F.col(raw), F.col("_m2"), F.col("_g2"), "hex"),
-        "_s3": _spans(F.col(raw), F.col("_m3"), F.col("_g3"), "entropy"),
-    })
-    df = df.withColumn("_base", F.concat("_s0", "_s1", "_s2")).withColumn("_extra", F.when(F.size("_m3") > 0, F.expr(_entropy_sql(allow_values))).otherwise(F.expr("cast(array() as array<struct<s:int,k:int,e:int>>)")))
-    return df.withColumn("spans", F.array_sort(F.concat("_base", "_extra"))).drop(raw, "_base", "_extra", *pat, *(f"_g{i}" for i in range(4)), *(f"_s{i}" for i in range(4)), "_v0")
-
-
-def _entropy_sql(allow_values: tuple[str, ...]) -> str:
-    """The entropy spans of a row from its candidates ``_m3`` and their spans ``_s3``, without those that touch ``_base``."""
+    df = df.withColumns({m[i]: F.regexp_extract_all(raw, F.lit(p), F.lit(0)) for i, p in enumerate(patterns.values())})
+    df = df.withColumns({g[i]: F.when(F.size(m[i]) > 0, F.split(raw, p, -1)) for i, p in enumerate(patterns.values())} | {value: F.when(F.size(m[0]) > 0, F.regexp_extract_all(raw, F.lit(ASSIGN), F.lit(2)))})
+    df = df.withColumns({n[i]: F.expr(f"transform({m[i]}, (x, i) -> length({g[i]}[i]) + length(x))") for i in range(4)})
+    df = df.withColumns({s[i]: F.expr(_spans(m[i], g[i], n[i], kind, None if i else value)) for i, kind in enumerate(patterns)})
+    df = df.withColumn(base, F.array_sort(F.concat(*s[:3]))).withColumn(end, F.transform(base, lambda x: x["e"]))
+    df = df.withColumn(ends, F.when(F.size(m[3]) > 0, F.concat(F.expr(_running(end, "greatest(z, y)")), F.array(F.array_max(end)))))
+    none = F.expr("cast(array() as array<struct<s:int,k:int,e:int>>)")
+    df = df.withColumn(more, F.when(F.size(m[3]) > 0, F.expr(_entropy_sql(m[3], s[3], base, ends, allow_values))).otherwise(none))
+    return df.withColumn("spans", F.array_sort(F.concat(base, more))).drop(raw, value, base, end, ends, more, *m, *g, *n, *s)
+
+
+def _entropy_sql(found: str, at: str, base: str, ends: str, allow_values: tuple[str, ...]) -> str:
+    """The entropy spans of a row from its candidates and their spans, without those that touch a span of ``base``; ``ends`` has the largest end of
+    the first i of these."""
     quoted = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
     weights = f"array({','.join(f'{_weight(c)}L' for c in range(WINDOW + 2))})"
     allow = f"rlike(x.c, {quoted(ALLOW)})" + (f" or x.c in ({','.join(map(quoted, allow_values))})" if allow_values else "")
     limit = f"case when rlike(x.c, '^[0-9a-fA-F]+$') then {_limit(BITS['hex'])}L when rlike(x.c, '^[A-Za-z0-9]+$') then {_limit(BITS['alnum'])}L else {_limit(BITS['base64'])}L end"
-    # w: weights by count, n: counts by character, t: their weights' sum; each step takes one character out and one in
-    hot = f"""aggregate(sequence(0, length(x.c) - {WINDOW}),
-      named_struct('n', cast(null as array<int>), 't', 0L, 'f', -1, 'l', -1),
-      (acc, i) -> transform(array(if(i = 0,
-          transform(array(transform(split('{ALPHABET}', ''), h -> {WINDOW} - length(replace(substring(x.c, 1, {WINDOW}), h, '')))), n -> named_struct('n', n, 't', aggregate(n, 0L, (z, c) -> z + x.w[c])))[0],
-          transform(array(named_struct('o', instr('{ALPHABET}', substring(x.c, i, 1)) - 1, 'j', instr('{ALPHABET}', substring(x.c, i + {WINDOW}, 1)) - 1)), m -> if(m.o = m.j, named_struct('n', acc.n, 't', acc.t), named_struct(
-              'n', transform(acc.n, (c, k) -> c - if(k = m.o, 1, 0) + if(k = m.j, 1, 0)),
-              't', acc.t - x.w[acc.n[m.o]] + x.w[acc.n[m.o] - 1] - x.w[acc.n[m.j]] + x.w[acc.n[m.j] + 1])))[0])),
-        y -> named_struct('n', y.n, 't', y.t, 'f', if(acc.f < 0 and y.t <= x.t, i, acc.f), 'l', if(y.t <= x.t, i, acc.l)))[0],
-      acc -> named_struct('f', acc.f, 'l', acc.l))"""
-    rows = "filter(transform(_m3, (c, i) -> named_struct('c', c, 's', _s3[i].s)), x -> rlike(x.c, '[0-9]') and rlike(x.c, '[A-Za-z]'))"
-    told = f"transform(filter({rows}, x -> not ({allow})), x -> named_struct('c', x.c, 's', x.s, 'w', {weights}, 't', {limit}))"
-    spans = f"transform(transform({told}, x -> named_struct('s', x.s, 'h', {hot})), x -> named_struct('s', cast(x.s + x.h.f as int), 'k', 3, 'e', cast(x.s + x.h.l + {WINDOW} as int), 'f', x.h.f))"
-    return f"transform(filter({spans}, x -> x.f >= 0 and not exists(_base, b -> b.s < x.e and x.s < b.e)), x -> named_struct('s', x.s, 'k', x.k, 'e', x.e))"
+    # the counts of all characters are held in longs, five bits each; t: the sum of their weights. Each step takes one character in and one out
+    longs = range(-(-len(ALPHABET) // 12))
+    count = lambda c: "(shiftright(case " + " ".join(f"when {c} < {12 * q + 12} then acc.n{q}" for q in longs) + f" end, 5 * ({c} % 12)) & 31)"
+    moved = lambda q: f"acc.n{q} + if(m.j div 12 = {q}, shiftleft(1L, 5 * (m.j % 12)), 0L) - if(m.o div 12 = {q}, shiftleft(1L, 5 * (m.o % 12)), 0L)"
+    change = f"if(m.o = m.j, 0L, x.w[cast({count('m.j')} + 1 as int)] - x.w[cast({count('m.j')} as int)] + if(m.o < 0, 0L, x.w[cast({count('m.o')} - 1 as int)] - x.w[cast({count('m.o')} as int)]))"
+    step = f"""(acc, i) -> transform(array(named_struct('j', x.z[i], 'o', if(i < {WINDOW}, -12, x.z[greatest(0, i - {WINDOW})]))), m -> transform(array(acc.t + {change}),
+      t -> named_struct({', '.join(f"'n{q}', {moved(q)}" for q in longs)}, 't', t, 'f', if(acc.f < 0 and i >= {WINDOW - 1} and t <= x.t, i - {WINDOW - 1}, acc.f), 'l', if(i >= {WINDOW - 1} and t <= x.t, i - {WINDOW - 1}, acc.l)))[0])[0]"""
+    start = f"named_struct({', '.join(f"'n{q}', 0L" for q in longs)}, 't', 0L, 'f', -1, 'l', -1)"
+    hot = f"aggregate(sequence(0, size(x.z) - 1), {start}, {step}, acc -> named_struct('f', acc.f, 'l', acc.l))"
+    rows = f"filter(transform({found}, (c, i) -> named_struct('c', c, 's', {at}[i].s)), x -> rlike(x.c, '[0-9]') and rlike(x.c, '[A-Za-z]'))"
+    told = f"transform(filter({rows}, x -> not ({allow})), x -> named_struct('z', transform(split(x.c, ''), h -> instr('{ALPHABET}', h) - 1), 's', x.s, 'w', {weights}, 't', {limit}))"
+    spans = f"filter(transform(transform({told}, x -> named_struct('s', x.s, 'h', {hot})), x -> named_struct('s', cast(x.s + x.h.f as int), 'k', 3, 'e', cast(x.s + x.h.l + {WINDOW} as int), 'f', x.h.f)), x -> x.f >= 0)"
+    # spans of the base that begin before x ends, by bisection
+    before = f"aggregate(sequence(0, 30), 0, (p, q) -> if(p + shiftleft(1, 30 - q) <= size({base}) and {base}[least(p + shiftleft(1, 30 - q), size({base})) - 1].s < x.e, p + shiftleft(1, 30 - q), p))"
+    return f"transform(filter({spans}, x -> size({base}) = 0 or {ends}[{before}] <= x.s), x -> named_struct('s', x.s, 'k', x.k, 'e', x.e))"
 
 
 def joined(spans: str, kinds: int = len(KINDS)) -> Column:
@@ -104,15 +114,12 @@ def joined(spans: str, kinds: int = len(KINDS)) -> Column:
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of ``scan`` replaced by ``mark`` in the text; overlapping spans become one. Null stays null."""
     found = scan(docs, text)
-    seed = F.struct(F.lit(0).alias("p"), F.lit("").alias("t"))
-
-    def step(acc, x):
-        gap = F.when(x["s"] > acc["p"], F.concat(F.substring(F.col(text), acc["p"] + 1, x["s"] - acc["p"]), F.lit(mark)))
-        more = F.when(x["s"] > acc["p"], gap).when((acc["p"] == 0) | (x["s"] == acc["p"]), F.lit(mark)).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["p"], x["e"]).alias("p"), F.concat(acc["t"], more).alias("t"))
-
-    clean = F.aggregate("spans", seed, step, lambda acc: F.concat(acc["t"], F.substring(F.col(text), acc["p"] + 1, F.length(text))))
-    return found.withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(F.col(text))).drop("spans")
+    chars, end, done = (fresh(docs, f"_secret_{x}") for x in ("chars", "end", "done"))
+    some = F.size("spans") > 0
+    found = found.withColumns({chars: F.when(some, F.split(text, "")), end: F.transform("spans", lambda x: x["e"])}).withColumn(done, F.when(some, F.expr(_running(end, "greatest(z, y)"))))
+    pieces = F.expr(f"transform(spans, (x, i) -> if(x.s >= {done}[i], concat(array_join(slice({chars}, {done}[i] + 1, x.s - {done}[i]), ''), '{mark}'), ''))")
+    rest = F.expr(f"array_join(slice({chars}, array_max({end}) + 1, size({chars})), '')")
+    return found.withColumn(text, F.when(some, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col(text))).drop("spans", chars, end, done)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes hashed at a time, and bytes of text that are held as word arrays at a time.
-PIECE, GROUP = 1 << 20, 6 << 20
+PIECE, GROUP = 1 << 20, 2 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 

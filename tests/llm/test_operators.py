@@ -134,6 +134,29 @@ def test_jaccard_keeps_repeated_and_keyless_rows(spark):
     assert jaccard.similar(df.where("false")).count() == 0
 
 
+def test_jaccard_keeps_sets_of_a_repeated_key_apart(spark):
+    a, b = prose(58, 8), prose(58, 9)
+    df = spark.createDataFrame([(1, a, 0), (1, b, 1), (7, a + " x", 2), (9, b + " y", 3), (None, a + " z", 4), (12, "", 5), (12, None, 6), (None, "own words of it", 7)], "doc_id long, text string, _k long")
+    got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in jaccard.similar(df, k=3, percent=80).collect())
+    assert got == [("1", "1"), ("1", "1"), ("12", "12"), ("12", "12"), ("7", "1"), ("9", "1"), ("None", "1"), ("None", "None")]
+    assert sorted(r["_k"] for r in jaccard.keep_first(df.unionByName(df), k=3).collect()) == [0, 1, 5, 5, 6, 6, 7]
+    assert jaccard.keep_first(df.where("false")).count() == 0
+
+
+def test_jaccard_links_across_chunks(spark):
+    r = random.Random(4)
+    texts = {}
+    for i in range(120):  # chains of copies of copies, and sets that share half of their words with many
+        old = texts[r.randrange(i)].split() if i > 4 else prose(60, i).split()
+        for _ in range(r.choice([0, 1, 2, 4, 30])):
+            old[r.randrange(len(old))] = f"w{r.randrange(5000)}"
+        texts[i] = " ".join(old)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for k, percent, chunk in ((2, 80, 5), (3, 90, 7)):
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.similar(df, k=k, percent=percent, chunk=chunk).collect()}
+        assert got == plain_groups(texts, k, percent)
+
+
 def test_matroska_round_trip_and_lacings(spark, docs):
     r = random.Random(3)
     for n in (64, 1024, 1088, 5 * 1024, 17 * 1024 + 64, 1 << 20):
