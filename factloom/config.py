@@ -39,6 +39,8 @@ class Config:
     mentions_used: int = 10
     relation_candidates: int = 10
     relations_kept: int = 6
+    truth_batch: int = 10
+    truth_mentions: int = 10
     batch_sentences: int = 8
     batch_relations: int = 120
     entity_confidence: float = 0.85

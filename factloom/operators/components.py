@@ -1,9 +1,9 @@
-"""Connected components: union-find within partitions, then alternating large-star and small-star steps between them.
+"""Connected components: union-find within tasks, and alternating large-star and small-star steps between them.
 
-A task first unites the edges that it holds and passes on one edge from each node to the least of its group, so the shuffled
-steps see what no single task could settle. A step is an equi-join with a min that combines map-side, so no node's neighbourhood
-is ever collected. A round is one write to the shared folder, which keeps plans short and survives lost executors; it also
-tells how many edges it moved, and a round that moves none is the last: then every edge leads from a node to the least of its component.
+A task unites up to ``HELD`` edges and passes on one edge from each node to the least of its group. A graph that fits into one such task is settled by it; a larger one takes
+shuffled rounds besides. A step of a round is an equi-join with a min that combines map-side, so no node's neighbourhood is
+ever collected. A round is one write to the shared folder, which keeps plans short and survives lost executors; it also tells how many
+edges it moved, and a round that moves none is the last: then every edge leads from a node to the least of its component.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from factloom.shared import cut, drop
 
-#: Edges that a task holds before it unites them.
+#: Edges that a task unites at a time.
 HELD = 1 << 20
 
 
@@ -39,27 +39,35 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, n, loops = [], 0, [np.zeros(0, np.int64)]
+    held, n, kind, loops = [], 0, None, None
 
     def done() -> list[tuple[np.ndarray, np.ndarray]]:
         return [forest(*(np.concatenate(c) for c in zip(*held)))] if held else []
 
     for batch in batches:
         a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-        loops = [np.unique(np.concatenate([*loops, a[a == b]]))]
+        kind, same = batch.column(0).type, a[a == b]
+        loops = np.unique(same if loops is None else np.concatenate([loops, same]))
         held.append((a, b))
         n += len(batch)
         if n > HELD:
             held = done()
             n = len(held[0][0]) // 2
-    for a, b in [*done(), *((x, x) for x in loops)]:
+    for a, b in [*done(), *([(loops, loops)] if loops is not None else [])]:
         for i in range(0, len(a), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 50_000]), pa.array(b[i : i + 50_000])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 50_000], kind), pa.array(b[i : i + 50_000], kind)], ["a", "b"])
+
+
+def _counted(edges: DataFrame) -> tuple[DataFrame, int]:
+    """The edges stored, and how many there are."""
+    seen = Observation()
+    stored = cut(edges.observe(seen, F.count("*").alias("n")), "cc")
+    return stored, seen.get["n"]
 
 
 def united(edges: DataFrame) -> DataFrame:
     """Edges (a, b) that connect what those of each partition do: one from every node to the least of its group there, and the loops."""
-    return edges.mapInArrow(_united, edges.schema) if edges.schema["a"].dataType.simpleString() == "bigint" else edges.distinct()
+    return edges.mapInArrow(_united, edges.schema)
 
 
 def _round(edges: DataFrame) -> DataFrame:
@@ -78,19 +86,23 @@ def components(edges: DataFrame, max_rounds: int = 60, done: bool = False) -> Da
     Self-loops name a node without linking it; null ends are dropped; an empty edge list gives an empty table; repeated edges count once.
     ``done``: the edges of each partition are united already.
     """
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null")
-    first = cut(edges if done else united(edges), "cc")
-    now = first.where("a <> b")
-    for i in range(max_rounds):
-        seen = Observation()
-        stepped = _round(now).observe(seen, F.coalesce(F.sum(F.col("moved").cast("long")), F.lit(0)).alias("moved"))
-        before, now = now, cut(united(stepped.where("a <> b").select("a", "b")), "cc")
-        if i:
+    edges = edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    first, n = _counted(edges if done else united(edges))
+    now = first
+    for _ in range(max_rounds):
+        if n <= HELD:  # one task settles what is left
+            now = cut(united(now.coalesce(1)), "cc")
+            break
+        seen, before = Observation(), now
+        stepped = _round(now.where("a <> b")).observe(seen, F.count_if("moved").alias("moved"))
+        now, n = _counted(united(stepped.where("a <> b").select("a", "b")))
+        if before is not first:
             drop(before)
         if not seen.get["moved"]:
             break
     else:
         raise RuntimeError("components did not settle")
+    now = now.where("a <> b")
     ends = now.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("component")), F.struct(F.col("b").alias("node"), F.col("b").alias("component")))).alias("x")).select("x.*")
     loops = first.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
     return ends.unionByName(loops).groupBy("node").agg(F.min("component").alias("component"))

@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 from factloom.config import CONFIG
 from factloom.functions import text as T
 from factloom.operators.ids import first_by, last_by, ordinals, top_by
+from factloom.shared import cut
+
+
+def mention_ids(mentions: DataFrame, keys: list[str], order: list, prefix: str = "e") -> DataFrame:
+    """The first mention of each of ``keys`` with an identifier that counted all mentions, so that dropped ones leave gaps."""
+    return first_by(ordinals(mentions, order, "_n").withColumn("entity_id", T.numbered(prefix, F.col("_n"))), keys, ["_n"]).drop("_n")
 
 
 def nodes_of(mentions: DataFrame, order: list, name: str = "mention", label: str = "ent_type", prefix: str = "n") -> DataFrame:
@@ -96,9 +102,9 @@ def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
 
 
-def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node_id, degree) of every node: distinct neighbours."""
-    d = neighbours(nodes, edges).groupBy(F.col("u").alias("node_id")).agg(F.count("*").alias("degree"))
+def degrees(nodes: DataFrame, edges: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """(node_id, degree) of every node: distinct neighbours. ``near``: the neighbours, if they are there."""
+    d = (neighbours(nodes, edges) if near is None else near).groupBy(F.col("u").alias("node_id")).agg(F.count("*").alias("degree"))
     return nodes.select("node_id").distinct().join(d, "node_id", "left").select("node_id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
@@ -121,9 +127,16 @@ def changed_nodes(changes: DataFrame) -> DataFrame:
     return c.select(F.col("src_id").alias("node_id")).unionByName(c.select(F.col("dst_id").alias("node_id"))).distinct()
 
 
-def within(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, k: int = 1) -> DataFrame:
-    """(node_id, hops) of the nodes at most ``k`` undirected steps from a seed that is in the graph."""
-    n = neighbours(nodes, edges)
+def seeds(changes: DataFrame, nodes: DataFrame, fallback: int = 5) -> DataFrame:
+    """Ends of changed edges; where nothing changed, the first ``fallback`` nodes."""
+    found = changed_nodes(changes)
+    none = found.agg(F.count("*").alias("n")).scalar() == 0
+    return found.unionByName(nodes.orderBy("ord").limit(fallback).where(none).select("node_id"))
+
+
+def within(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, k: int = 1, near: DataFrame | None = None) -> DataFrame:
+    """(node_id, hops) of the nodes at most ``k`` undirected steps from a seed that is in the graph. ``near``: the neighbours, if they are there."""
+    n = cut(neighbours(nodes, edges), "near") if near is None else near
     at = seeds.select("node_id").distinct().join(nodes.select("node_id").distinct(), "node_id", "left_semi").withColumn("hops", F.lit(0))
     for i in range(1, k + 1):
         step = at.where(F.col("hops") == i - 1).join(n, F.col("node_id") == F.col("u")).select(F.col("v").alias("node_id"), F.lit(i).alias("hops"))
@@ -131,9 +144,9 @@ def within(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, k: int = 1) ->
     return at
 
 
-def focus(nodes: DataFrame, edges: DataFrame, found: DataFrame, most: int) -> DataFrame:
+def focus(nodes: DataFrame, edges: DataFrame, found: DataFrame, most: int, near: DataFrame | None = None) -> DataFrame:
     """The first ``most`` of found nodes: changed ones (hops 0) first, then by degree, then id."""
-    return found.join(degrees(nodes, edges), "node_id").orderBy(F.expr("hops > 0"), F.desc("degree"), "node_id").limit(most)
+    return found.join(degrees(nodes, edges, near), "node_id").orderBy(F.expr("hops > 0"), F.desc("degree"), "node_id").limit(most)
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.config import CONFIG, Config
 from factloom.functions import text as T
+from factloom.operators import models, oracle
 from factloom.operators.ids import first_by, ordinals, top_by
 
 
@@ -76,3 +79,17 @@ def verified(candidates: DataFrame, answers: DataFrame, keys: list[str]) -> Data
 def budgeted(candidates: DataFrame, batch: str, sentence: str, order: list, most: int = CONFIG.batch_relations) -> DataFrame:
     """Candidates of a batch up to ``most`` in all, in order of sentence; the sentence at the limit is cut."""
     return top_by(candidates, [batch], [sentence, *order], most)
+
+
+def tagged(sentences: DataFrame, ask: Callable[[dict], str] = models.recognise, least: float = CONFIG.ner_least_score) -> DataFrame:
+    """Mentions (columns of ``sentences`` without text, mention, start_char, end_char, ent_type, confidence) of a tagger, those with a score of ``least`` or more."""
+    said = oracle.asked(sentences, ask, ["text"])
+    spans = F.from_json(T.json_array("reply"), "array<struct<word:string,start:int,end:int,score:double,group:string>>")
+    keys = [c for c in sentences.columns if c != "text"]
+    rows = said.select(*keys, F.explode(spans).alias("x")).where(F.col("x.score") >= least)
+    return rows.select(*keys, F.col("x.word").alias("mention"), F.col("x.start").alias("start_char"), F.col("x.end").alias("end_char"), F.col("x.group").alias("ent_type"), F.col("x.score").alias("confidence"))
+
+
+def with_sentences(mentions: DataFrame, sentences: DataFrame, keys: list[str]) -> DataFrame:
+    """Mentions with the text of their sentence; those of sentences that are not there go."""
+    return mentions.join(sentences.select(*keys, "text"), keys)

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from factloom import config as C
 from factloom.functions import text as T
-from factloom.operators import align, evolve, graph, mcq, mentions, structure, study
-from factloom.operators.ids import first_by, ordinals, top_by
+from factloom.operators import align, evolve, graph, mcq, mentions, models, oracle, structure, study, truth
+from factloom.operators.ids import top_by
 from factloom.plans.demo import frame, graphs, table, with_views
+from factloom.shared import cut
 from factloom.sources import tables as sources
 
 QUERIES: dict = {}
@@ -131,11 +132,20 @@ def mention_dedup(spark, sf_dir):
     return mentions.first_mentions(_words(spark, sf_dir), "doc_id", ["pos", "start_char", "ord"]).select("doc_id", "mention", "ent_type", F.col("pos").cast("long").alias("pos"), F.col("ord").cast("long").alias("ord"))
 
 
-@query()
+@query(f"""WITH {_MENTIONS}, w0 AS (SELECT doc_id || ':' || pos AS sentence_id, ent_type, start_char, end_char, ord, mention, 0.85::DOUBLE AS confidence FROM mm),
+w1 AS (SELECT * FROM w0 UNION ALL SELECT sentence_id, 'Concept', start_char, end_char + ord % 9, ord, mention, 0.5 + (ord % 5)::DOUBLE / 10 FROM w0),
+w2 AS (SELECT sentence_id, ent_type, list({{'s': start_char, 'l': start_char - end_char, 'o': ord, 'e': end_char, 'c': confidence, 'm': mention}} ORDER BY start_char, start_char - end_char, ord, end_char, confidence) AS items FROM w1 GROUP BY ALL),
+w3 AS (SELECT sentence_id, ent_type, list_reduce(list_transform(items, lambda x: [x]), lambda acc, y: CASE
+  WHEN len(list_filter(acc, lambda k: y[1].e > k.s AND y[1].s < k.e)) = 0 THEN list_concat(acc, y)
+  WHEN y[1].l > list_filter(acc, lambda k: y[1].e > k.s AND y[1].s < k.e)[1].l OR (y[1].l = list_filter(acc, lambda k: y[1].e > k.s AND y[1].s < k.e)[1].l AND y[1].c <= list_filter(acc, lambda k: y[1].e > k.s AND y[1].s < k.e)[1].c) THEN acc
+  ELSE list_concat(list_filter(acc, lambda k: k <> list_filter(acc, lambda k2: y[1].e > k2.s AND y[1].s < k2.e)[1]), y) END) AS kept FROM w2),
+w4 AS (SELECT sentence_id, ent_type, unnest(kept) AS k FROM w3)
+SELECT sentence_id, ent_type, k.s AS start_char, k.e AS end_char, k.m AS mention FROM w4""")
 def mention_overlap(spark, sf_dir):
     w = _words(spark, sf_dir).withColumn("sentence_id", F.concat_ws(":", "doc_id", "pos"))
     longer = w.withColumns({"end_char": F.col("end_char") + F.col("ord") % 9, "confidence": 0.5 + (F.col("ord") % 5) / 10, "ent_type": F.lit("Concept")})
-    return mentions.resolve_overlaps(w.unionByName(longer)).select("sentence_id", "ent_type", "start_char", "end_char", "mention")
+    found = mentions.resolve_overlaps(w.unionByName(longer))
+    return found.select("sentence_id", "ent_type", F.col("start_char").cast("long").alias("start_char"), F.col("end_char").cast("long").alias("end_char"), "mention")
 
 
 @query(f"WITH {_MENTIONS} SELECT doc_id, pos, ord FROM mm WHERE doc_id % 3 <> 1 QUALIFY row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id, pos, ord) <= 120")
@@ -147,8 +157,8 @@ def kg_edges_budget(spark, sf_dir):
 
 
 # ---- graphs from text ----
-def _text_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.nodes_of(_words(spark, sf_dir).withColumn("start_char", F.col("start_char")), _ORDER)
+def _text_nodes(spark: SparkSession, sf_dir: str, words: DataFrame | None = None) -> DataFrame:
+    return graph.nodes_of(_words(spark, sf_dir) if words is None else words, _ORDER)
 
 
 @query(f"""WITH {_MENTIONS}, f AS (SELECT * FROM mm QUALIFY row_number() OVER (PARTITION BY mention, ent_type ORDER BY doc_id, pos, start_char, ord) = 1)
@@ -161,8 +171,8 @@ _PAIRS = """pp AS (SELECT doc_id, pos, row_number() OVER w AS pair, mention AS h
 pk AS (SELECT * FROM pp WHERE tail IS NOT NULL AND (head <> tail OR ht <> tt) QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY pair) <= 20)"""
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _words(spark, sf_dir).withColumn("sentence", F.struct("doc_id", "pos"))
+def _pairs(spark: SparkSession, sf_dir: str, words: DataFrame | None = None) -> DataFrame:
+    w = (_words(spark, sf_dir) if words is None else words).withColumn("sentence", F.struct("doc_id", "pos"))
     return graph.adjacent_pairs(w, "sentence").select("sentence.doc_id", "sentence.pos", *["pair", "head", "head_type", "tail", "tail_type", "head_conf", "tail_conf"])
 
 
@@ -174,7 +184,8 @@ def kg_edges_adjacent(spark, sf_dir):
 @query(f"""WITH {_MENTIONS}, {_PAIRS} SELECT 'e' || CASE WHEN r < 100000 THEN lpad(r::VARCHAR, 5, '0') ELSE r::VARCHAR END AS edge_id, head, tail, CASE WHEN ht = tt THEN 'related_to' WHEN ht = 'Law' THEN 'defines' WHEN tt = 'Law' THEN 'part_of' ELSE 'includes' END AS relation_type, 0.8::DOUBLE AS confidence
 FROM (SELECT *, row_number() OVER (ORDER BY doc_id, pos, pair) AS r FROM pk)""")
 def kg_edges(spark, sf_dir):
-    edges = graph.edges_of(graph.classified(_pairs(spark, sf_dir)), _text_nodes(spark, sf_dir), ["doc_id", "pos", "pair"])
+    words = cut(_words(spark, sf_dir), "words")
+    edges = graph.edges_of(graph.classified(_pairs(spark, sf_dir, words)), _text_nodes(spark, sf_dir, words), ["doc_id", "pos", "pair"])
     return edges.select("edge_id", "head", "tail", "relation_type", "confidence")
 
 
@@ -342,18 +353,31 @@ def struct_components(spark, sf_dir):
     return structure.component_sizes(nodes, frame(spark, sf_dir, f"WITH {_SPARSE} SELECT * FROM sp"))
 
 
-@query()
+# labels spread along the edges until none falls
+_WHOLE = f"{_NEAR}, lb(node_id, c) USING KEY (node_id) AS (SELECT node_id, node_id FROM bn UNION SELECT x.v, min(x.c) FROM (SELECT nb.v, lb.c FROM lb JOIN nb ON lb.node_id = nb.u) x JOIN recurring.lb y ON x.v = y.node_id WHERE x.c < y.c GROUP BY x.v)"
+
+
+@query(f"WITH {_WHOLE} SELECT node_id, c AS component FROM lb")
 def struct_components_whole(spark, sf_dir):
     return structure.component_sizes(*graphs(spark, sf_dir)[:2])
 
 
-SQL["struct_components"] = SQL["struct_components"].replace("WITH ", "WITH RECURSIVE ", 1)
+_QUALITY = f"""{_WHOLE}, {_CLU.removeprefix(_NEAR + ', ')}, {_REP},
+v0 AS (SELECT (SELECT avg(confidence) FROM rp) AS accuracy, (SELECT avg(degree) FROM dg) AS avg_degree, (SELECT coalesce(avg(coefficient), 0) FROM cl) AS clustering_coefficient,
+  (SELECT max(n) FROM (SELECT count(*) AS n FROM lb GROUP BY c))::DOUBLE / (SELECT count(*) FROM dg) AS giant_component_ratio, (n - triples)::DOUBLE / n AS duplicate_ratio, self_loops::DOUBLE / n AS self_loop_ratio FROM rq),
+v1 AS (SELECT *, least(1.0::DOUBLE, avg_degree / 10) AS avg_degree_score, greatest(0::DOUBLE, 1 - self_loop_ratio - duplicate_ratio) AS consistency_score, 1 - duplicate_ratio AS conciseness_score FROM v0),
+v2 AS (SELECT *, (avg_degree_score + clustering_coefficient + giant_component_ratio) / 3 AS completeness_score FROM v1),
+v3 AS (SELECT *, 0.35::DOUBLE * accuracy + 0.30::DOUBLE * completeness_score + 0.25::DOUBLE * consistency_score + 0.10::DOUBLE * conciseness_score AS overall_quality_score FROM v2)"""
 
 
-@query()
+@query(f"WITH {_QUALITY} SELECT metric, round(value, 9) AS value FROM (UNPIVOT v3 ON COLUMNS(*) INTO NAME metric VALUE value)")
 def struct_overall(spark, sf_dir):
     bn, be, _, _ = graphs(spark, sf_dir)
-    return structure.quality(bn, _repeated(be))
+    return structure.quality(bn, _repeated(be)).select("metric", F.round("value", 9).alias("value"))
+
+
+for _name in ("struct_components", "struct_components_whole", "struct_overall"):
+    SQL[_name] = SQL[_name].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 # ---- facts and questions ----
@@ -393,7 +417,13 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.withColumn("qid", T.numbered("q", F.row_number().over(Window.orderBy("ord")), 4))
 
 
-@query()
+_TEMPLATE = f"""{_FACTS}, fc AS (SELECT *, (r - 1) // 5 AS chunk, (r - 1) % 5 AS place FROM (SELECT *, row_number() OVER (ORDER BY ord) AS r FROM fx)),
+fo AS (SELECT *, [coalesce(lead(dst_name, 1) OVER w, 'none of 1'), coalesce(lead(dst_name, 2) OVER w, 'none of 2'), coalesce(lead(dst_name, 3) OVER w, 'none of 3')] AS o FROM fc WINDOW w AS (PARTITION BY chunk ORDER BY place)),
+fq AS (SELECT *, (ord % 4)::INT AS spot FROM fo WHERE place < 3 ORDER BY chunk, place LIMIT 50),
+qt AS (SELECT ord, row_number() OVER (ORDER BY ord) AS q, list_concat(list_slice(o, 1, spot), [dst_name], list_slice(o, spot + 1, 3)) AS x, src_name, rel, spot, kg_fact FROM fq)"""
+
+
+@query(f"""WITH {_TEMPLATE} SELECT 'q' || lpad(q::VARCHAR, 4, '0') AS qid, 'Which entity does "' || src_name || '" stand in relation ' || rel || ' to?' AS question, x[1] AS option_a, x[2] AS option_b, x[3] AS option_c, x[4] AS option_d, substr('ABCD', spot + 1, 1) AS answer, kg_fact, '' AS context FROM qt""")
 def mcq_template(spark, sf_dir):
     return _questions(spark, sf_dir).drop("ord")
 
@@ -440,7 +470,7 @@ def revision_gate(spark, sf_dir):
 
 @query("SELECT id, CASE turn % 4 WHEN 0 THEN 'B' WHEN 1 THEN 'C' WHEN 2 THEN 'A' ELSE 'NONE' END AS letter FROM qs")
 def answer_letter(spark, sf_dir):
-    return table(spark, sf_dir, "qs").select("id", F.when(F.col("turn") % 4 == 1, T.answer(F.regexp_replace("answer", "The answer is", ":"))).otherwise(T.answer("answer")).alias("letter"))
+    return table(spark, sf_dir, "qs").select("id", T.answer("answer").alias("letter"))
 
 
 @query("SELECT edge_id, src_id AS fact_src, relation_type AS fact_rel, dst_id AS fact_dst FROM be")
@@ -541,7 +571,8 @@ def khop_nodes(spark, sf_dir):
 @query(f"WITH {_HOP} SELECT node_id, hops, degree FROM hh JOIN dg USING (node_id) ORDER BY hops > 0, degree DESC, node_id LIMIT 60")
 def khop_focus(spark, sf_dir):
     bn, be, _, _ = graphs(spark, sf_dir)
-    return graph.focus(bn, be, khop_nodes(spark, sf_dir), 60).select("node_id", "hops", "degree")
+    near = cut(graph.neighbours(bn, be), "near")
+    return graph.focus(bn, be, graph.within(bn, be, bn.where("label = 'region'"), 2, near), 60, near).select("node_id", "hops", "degree")
 
 
 @query("SELECT edge_id FROM be WHERE src_id IN (SELECT node_id FROM bn WHERE ord % 2 = 0) AND dst_id IN (SELECT node_id FROM bn WHERE ord % 2 = 0)")
@@ -608,3 +639,140 @@ def action_counts(spark, sf_dir):
 def alias_split(spark, sf_dir):
     a = F.when(F.col("id") % 2 == 0, "Building, x  y ,").otherwise(" one ")
     return table(spark, sf_dir, "ms").select("id", F.explode(T.aliases(a)).alias("alias"))
+
+
+@query()
+def align_relaxed_labels(spark, sf_dir):
+    bn, _, tn, _ = graphs(spark, sf_dir)
+    return align.relaxed_keys(align.node_keys(bn), align.node_keys(tn))
+
+
+# ---- model-backed steps, with the offline models ----
+_TYPE = "CASE WHEN length({0}) <= 7 THEN 'Concept' WHEN length({0}) <= 9 THEN 'Org' ELSE 'Law' END"
+_HEARD = f"hw AS (SELECT doc_id, pos, sentence, unnest(list_transform(regexp_extract_all(sentence, '{_WORD}'), lambda x, i: {{'w': x, 'i': i}})) AS x FROM ss), hd AS (SELECT doc_id, pos, any_value(sentence) AS sentence, x.w AS w, min(x.i) AS i FROM hw GROUP BY doc_id, pos, x.w)"
+
+
+@query(f"WITH {_SENTENCES}, {_HEARD} SELECT doc_id, pos, w AS mention, {_TYPE.format('w')} AS ent_type FROM hd QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY i) <= 8")
+def mention_extract(spark, sf_dir):
+    said = oracle.asked(_sentences(spark, sf_dir), models.extract, ["text"])
+    items = said.select("doc_id", "pos", F.explode(F.from_json(T.json_array("reply"), "array<struct<mention:string,ent_type:string>>")).alias("x"))
+    return items.select("doc_id", F.col("pos").cast("long").alias("pos"), "x.*")
+
+
+@query(f"WITH {_MENTIONS} SELECT doc_id, pos, mention, ent_type, round(least(0.99::DOUBLE, 0.05::DOUBLE * length(mention)), 4) AS confidence FROM mm WHERE least(0.99::DOUBLE, 0.05::DOUBLE * length(mention)) >= 0.5")
+def ner_mentions(spark, sf_dir):
+    return mentions.tagged(_sentences(spark, sf_dir)).select("doc_id", F.col("pos").cast("long").alias("pos"), "mention", "ent_type", F.round("confidence", 4).alias("confidence"))
+
+
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mentions.sentence_table(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return rows.withColumn("sentence_id", F.concat_ws(":", "doc_id", "pos"))
+
+
+@query(f"""WITH {_SENTENCES}, {_HEARD}, td AS (SELECT *, count(*) OVER (PARTITION BY doc_id, pos) AS n FROM hd WHERE length(w) <= 20 AND doc_id % 3 <> 1)
+SELECT doc_id || ':' || pos AS sentence_id, w AS mention, instr(sentence, w) - 1 AS start_char, CASE WHEN n <= 1 THEN 'Other' ELSE {_TYPE.format('w')} END AS ent_type, 0.95::DOUBLE AS confidence FROM td WHERE n <= 1 OR length(w) >= 7""")
+def truth_entities(spark, sf_dir):
+    rows = _numbered(spark, sf_dir)
+    return truth.entities(rows, rows.where("doc_id % 3 = 1")).select("sentence_id", "mention", F.col("start_char").cast("long").alias("start_char"), "ent_type", "confidence")
+
+
+_RELS = "['" + "', '".join((*C.TRUTH_RELATIONS, "unheard_of")) + "']"
+
+
+@query(f"""WITH {_MENTIONS}, sn AS (SELECT doc_id, pos, row_number() OVER (ORDER BY doc_id, pos) AS n FROM ss),
+te1 AS (SELECT * FROM mm QUALIFY count(*) OVER (PARTITION BY doc_id, pos) >= 2), te2 AS (SELECT * FROM te1 QUALIFY row_number() OVER (PARTITION BY doc_id, pos, mention ORDER BY ord) = 1),
+te3 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY ord) AS i FROM te2 QUALIFY i <= 10),
+te4 AS (SELECT doc_id, pos, i, mention AS head, lead(mention) OVER (PARTITION BY doc_id, pos ORDER BY i) AS tail FROM te3),
+te5 AS (SELECT *, {_RELS}[(length(head) + length(tail)) % 8 + 1] AS rel FROM te4 WHERE tail IS NOT NULL),
+te6 AS (SELECT te5.*, n FROM te5 JOIN sn USING (doc_id, pos) WHERE rel <> 'unheard_of' QUALIFY row_number() OVER (PARTITION BY (n - 1) // 8 ORDER BY n, i) <= 20),
+te7 AS (SELECT * FROM te6 WHERE (length(head) + 2 * length(tail)) % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY i) <= 6)
+SELECT doc_id || ':' || pos AS sentence_id, head, rel AS relation_type, tail FROM te7""")
+def truth_edges(spark, sf_dir):
+    rows = _numbered(spark, sf_dir)
+    words = mentions.word_mentions(rows, ["sentence_id", "sent_ord"], _WORD)
+    return truth.relations(words, most=20).select("sentence_id", "head", "relation_type", "tail")
+
+
+@query(f"WITH {_MENTIONS}, {_PAIRS} SELECT doc_id, pos, pair, CASE WHEN ht = tt THEN 'related_to' WHEN ht = 'Law' THEN 'defines' WHEN tt = 'Law' THEN 'part_of' ELSE 'includes' END AS relation_type, 0.8::DOUBLE AS confidence FROM pk")
+def relation_classify(spark, sf_dir):
+    said = oracle.asked(_pairs(spark, sf_dir), models.relation, ["head", "tail", "head_type", "tail_type"])
+    reply = F.from_json(T.json_object("reply"), "relation_type string, confidence double")
+    return said.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("pair").cast("long").alias("pair"), T.relation(reply["relation_type"]).alias("relation_type"), T.confidence(reply["confidence"]).alias("confidence"))
+
+
+_WRITTEN = f"""{_FACTS}, fc AS (SELECT *, (r - 1) // 5 AS chunk, (r - 1) % 5 AS place FROM (SELECT *, row_number() OVER (ORDER BY ord) AS r FROM fx)),
+fo AS (SELECT *, [coalesce(lead(dst_name, 1) OVER w, 'none of 1'), coalesce(lead(dst_name, 2) OVER w, 'none of 2'), coalesce(lead(dst_name, 3) OVER w, 'none of 3')] AS o FROM fc WINDOW w AS (PARTITION BY chunk ORDER BY place)),
+fw AS (SELECT *, place AS spot, list_concat(list_slice(o, 1, place), [dst_name], list_slice(o, place + 1, 3)) AS x, 'Which entity does "' || src_name || '" stand in relation ' || rel || ' to?' AS question FROM fo WHERE place < 3)"""
+
+
+def _asked_chunks(spark: SparkSession, sf_dir: str, model) -> DataFrame:
+    bn, be, _, _ = graphs(spark, sf_dir)
+    return mcq.generated(mcq.chunked(mcq.facts(bn, be), ["ord"]), model)
+
+
+@query(f"WITH {_WRITTEN} SELECT 'q' || lpad(row_number() OVER (ORDER BY chunk, place)::VARCHAR, 4, '0') AS qid, question, x[1] AS option_a, x[4] AS option_d, substr('ABCD', spot::INT + 1, 1) AS answer, kg_fact FROM (SELECT * FROM fw ORDER BY chunk, place LIMIT 50)")
+def mcq_generate(spark, sf_dir):
+    return mcq.capped(_asked_chunks(spark, sf_dir, models.write_questions)).select("qid", "question", "option_a", "option_d", "answer", "kg_fact")
+
+
+@query(f"WITH {_WRITTEN} SELECT chunk, question, x[1] AS option_a, substr('abcd', spot::INT + 1, 1) AS answer FROM fw")
+def mcq_generate_legacy(spark, sf_dir):
+    bn, be, _, _ = graphs(spark, sf_dir)
+    return mcq.generated_legacy(mcq.chunked(mcq.facts(bn, be), ["ord"])).select("chunk", "question", "option_a", "answer")
+
+
+@query(f"WITH {_WRITTEN} SELECT chunk, question, 'B' || (spot + 1)::VARCHAR AS bloom_level, ['Remember', 'Understand'][spot + 1] AS bloom_label, x[1] AS option_a, kg_fact FROM fw WHERE spot < 2")
+def bloom_generate(spark, sf_dir):
+    return mcq.bloom_valid(_asked_chunks(spark, sf_dir, models.write_questions_bloom), ["B1", "B2", "B3"]).select("chunk", "question", "bloom_level", "bloom_label", "option_a", "kg_fact")
+
+
+@query("SELECT id, CASE WHEN list_has_any(list_filter(string_split_regex(lower(trim(question)), '\\s+'), lambda x: length(x) > 3), string_split_regex(lower(trim(question)), '\\s+')) AND turn % 2 = 0 THEN 80 ELSE 60 END AS score FROM qs")
+def judge_coherence(spark, sf_dir):
+    rows = table(spark, sf_dir, "qs").withColumn("context", F.when(F.col("turn") % 2 == 0, F.col("question")))
+    return oracle.asked(rows, oracle.rule_judge, ["question", "context"]).select("id", T.percent("reply", "score").alias("score"))
+
+
+@query("SELECT id, least(5, greatest(1, n % 7))::INT AS faithfulness, (1 + n % 5)::INT AS distractor, (n % 5 + 1)::INT AS coverage, 3 AS fluency FROM qs")
+def judge_rubric(spark, sf_dir):
+    said = oracle.asked(table(spark, sf_dir, "qs"), models.judge_rubric, ["question"])
+    return said.select("id", *[T.rubric("reply", k).alias(k) for k in ("faithfulness", "distractor", "coverage", "fluency")])
+
+
+@query("SELECT qid, CASE WHEN n % 100 < 85 AND n % 5 <> 0 AND n % 3 <> 0 THEN 'Clearer: ' || question ELSE question END AS revised_question, CASE WHEN n % 100 < 85 AND n % 5 <> 0 AND n % 3 <> 0 THEN 'yes' ELSE 'no' END AS changed, CASE WHEN n % 100 >= 85 THEN '' WHEN n % 5 = 0 THEN 'LLM_FAILED' ELSE 'clearer' END AS reason FROM qs")
+def rewrite_questions(spark, sf_dir):
+    q = table(spark, sf_dir, "qs").withColumns({f"option_{x}": F.lit(x) for x in "abcd"} | {"Q_total": (F.col("n") % 100).cast("double")})
+    r = mcq.rewritten(q, models.rewrite, pause=0.0)
+    return r.select("qid", "revised_question", "changed", F.split("revision_reason", ":")[0].alias("reason"))
+
+
+# ---- the rest ----
+@query(f"WITH {_MENTIONS} SELECT 'e' || CASE WHEN r < 100000 THEN lpad(r::VARCHAR, 5, '0') ELSE r::VARCHAR END AS entity_id, doc_id, mention, ent_type FROM (SELECT *, row_number() OVER (ORDER BY doc_id, pos, start_char, ord) AS r FROM mm) QUALIFY row_number() OVER (PARTITION BY doc_id, mention, ent_type ORDER BY r) = 1")
+def mention_ids(spark, sf_dir):
+    return graph.mention_ids(_words(spark, sf_dir), ["doc_id", "mention", "ent_type"], _ORDER).select("entity_id", "doc_id", "mention", "ent_type")
+
+
+@query(f"WITH {_MENTIONS}, {_PAIRS} SELECT doc_id || ':' || pos || ':' || pair AS edge_id, '事实：' || head || ' --links--> ' || tail || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '来源原句：' || sentence ELSE '' END AS display_text, CASE WHEN doc_id % 2 = 0 THEN sentence ELSE '' END AS context FROM pk JOIN ss USING (doc_id, pos)")
+def fact_context(spark, sf_dir):
+    words = cut(_words(spark, sf_dir), "words")
+    pairs = _pairs(spark, sf_dir, words)
+    nodes = words.select(F.col("mention").alias("node_id"), F.col("mention").alias("name")).distinct()
+    edges = pairs.select(F.concat_ws(":", "doc_id", "pos", "pair").alias("edge_id"), F.col("head").alias("src_id"), F.col("tail").alias("dst_id"), F.lit("links").alias("relation_type"), F.concat_ws(":", "doc_id", "pos").alias("sentence_id"), F.lit(0).alias("ord"))
+    sentences = _sentences(spark, sf_dir).where("doc_id % 2 = 0").select(F.concat_ws(":", "doc_id", "pos").alias("sentence_id"), "text")
+    return mcq.facts(nodes, edges, sentences).select("edge_id", "display_text", "context")
+
+
+@query(f"WITH {_MENTIONS} SELECT doc_id, pos, ord, mention FROM mm WHERE doc_id % 2 = 0")
+def mention_sentences(spark, sf_dir):
+    m = mentions.with_sentences(_words(spark, sf_dir), _sentences(spark, sf_dir).where("doc_id % 2 = 0"), ["doc_id", "pos"])
+    return m.where(F.expr("contains(text, mention)")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("ord").cast("long").alias("ord"), "mention")
+
+
+@query("SELECT node_id FROM tn ORDER BY ord LIMIT 5")
+def seed_fallback(spark, sf_dir):
+    _, _, tn, te = graphs(spark, sf_dir)
+    return graph.seeds(graph.diff(te, te, ["src_id", "relation_type", "dst_id"]), tn)
+
+
+@query()
+def suggestion_log(spark, sf_dir):
+    return evolve.suggestions(frame(spark, sf_dir, _REV), *graphs(spark, sf_dir))

@@ -23,6 +23,17 @@ def read_tsv(spark: SparkSession, path: str, quoted: bool = True, missing: bool
     return df.withColumn("ord", F.monotonically_increasing_id())
 
 
+def read_positional(spark: SparkSession, path: str, names: list[str], ints: tuple[str, ...] = ("page_no",)) -> DataFrame:
+    """Lines of tab-separated fields by place, quotes being plain characters: the header goes, and lines with fewer fields than ``names``; more fields are
+    ignored. Named ``ints`` are whole numbers, null where they can't be read; ``ord`` is file order."""
+    lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()).withColumn("_at", F.col("_metadata.file_block_start"))
+    lines = lines.withColumn("_f", F.split(F.regexp_replace("value", "^\ufeff|[\r\n]+$", ""), "\t", -1))
+    first = lines.where("_at = 0").groupBy(F.input_file_name().alias("_file")).agg(F.min("ord").alias("ord"))
+    rows = lines.join(F.broadcast(first.select("ord")), "ord", "left_anti").where(F.size("_f") >= len(names))  # a line a file
+    fields = [F.get("_f", F.lit(i)).alias(n) for i, n in enumerate(names)]
+    return rows.select(*[f.try_cast("int").alias(n) if n in ints else f for f, n in zip(fields, names)], "ord")
+
+
 def typed(df: DataFrame, ints: dict[str, int] = {}, doubles: dict[str, float] = {}) -> DataFrame:  # noqa: B006
     """Columns as numbers, with defaults where they can't be read."""
     made = {c: F.coalesce(F.col(c).cast("string").try_cast("int"), F.lit(d)) for c, d in ints.items()}
@@ -114,6 +125,23 @@ def write_json(df: DataFrame, path: str, one: bool = True) -> None:
     (df.coalesce(1) if one else df).write.mode("overwrite").json(path)
 
 
+def export_csv(df: DataFrame, path: str, columns: list[str]) -> None:
+    """A table as CSV whose files begin with a byte order mark, for spreadsheets: the mark is part of the first column's name."""
+    first, *rest = columns
+    df.select(F.col(first).alias("\ufeff" + first), *rest).coalesce(1).write.mode("overwrite").option("header", True).option("quoteAll", False).csv(path)
+
+
+def write_object(row: DataFrame, path: str) -> None:
+    """The first row as one JSON object, nulls kept."""
+    row.limit(1).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_prompts(spark: SparkSession, path: str) -> dict[str, str]:
+    """Prompt texts by file name without its ending: configuration, so on the driver."""
+    rows = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("n"), "value")
+    return {r["n"]: r["value"] for r in rows.collect()}
+
+
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """(metric_name, value) of a file with metric records or with one object of numbers."""
     df = spark.read.option("multiLine", True).json(path)
