@@ -58,10 +58,10 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 50_000], kind), pa.array(b[i : i + 50_000], kind)], ["a", "b"])
 
 
-def _counted(edges: DataFrame) -> tuple[DataFrame, int]:
-    """The edges stored, and how many there are."""
+def counted(edges: DataFrame, name: str = "cc", which: str = "true") -> tuple[DataFrame, int]:
+    """The rows stored, and of how many ``which`` holds."""
     seen = Observation()
-    stored = cut(edges.observe(seen, F.count("*").alias("n")), "cc")
+    stored = cut(edges.observe(seen, F.count_if(F.expr(which)).alias("n")), name)
     return stored, seen.get["n"]
 
 
@@ -80,14 +80,14 @@ def _round(edges: DataFrame) -> DataFrame:
     return small.where("a <> b or moved").unionByName(least.select("a", F.col("m").alias("b"), F.lit(False).alias("moved")))
 
 
-def components(edges: DataFrame, max_rounds: int = 60, done: bool = False) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, done: bool = False, size: int | None = None) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns a, b of one orderable type); component is the smallest node.
 
     Self-loops name a node without linking it; null ends are dropped; an empty edge list gives an empty table; repeated edges count once.
-    ``done``: the edges of each partition are united already.
+    ``done``: the edges of each partition are united already. ``size``: the edges are stored, and so many.
     """
     edges = edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    first, n = _counted(edges if done else united(edges))
+    first, n = (edges, size) if size is not None else counted(edges if done else united(edges))
     now = first
     for _ in range(max_rounds):
         if n <= HELD:  # one task settles what is left
@@ -95,7 +95,7 @@ def components(edges: DataFrame, max_rounds: int = 60, done: bool = False) -> Da
             break
         seen, before = Observation(), now
         stepped = _round(now.where("a <> b")).observe(seen, F.count_if("moved").alias("moved"))
-        now, n = _counted(united(stepped.where("a <> b").select("a", "b")))
+        now, n = counted(united(stepped.where("a <> b").select("a", "b")))
         if before is not first:
             drop(before)
         if not seen.get["moved"]:

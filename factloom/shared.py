@@ -94,5 +94,8 @@ def among(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
 def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """The rows of ``df`` whose key is not among ``ids`` (exactly). Only rows that the filter can't clear are shuffled."""
     beside, bit = _tested(df, key, ids)
-    ids = ids.select(F.col(ids.columns[0]).alias(key)).distinct()
-    return beside.where(~bit).select(df.columns).unionByName(beside.where(bit).select(df.columns).join(ids, key, "left_anti").select(df.columns))
+    name, mark = fresh(beside, "_i"), fresh(beside, "_in")
+    ids = ids.select(F.col(ids.columns[0]).alias(name)).distinct().withColumn(mark, F.lit(1))
+    # an anti join would be moved below the filter, to all rows
+    left = beside.where(bit).join(ids, F.col(key) == F.col(name), "left").where(F.col(mark).isNull())
+    return beside.where(~bit).select(df.columns).unionByName(left.select(df.columns))
