@@ -180,6 +180,12 @@ def numbered(prefix: str, n: Column, width: int = 5) -> Column:
     return F.format_string(f"{prefix}%0{width}d", n)
 
 
+def key_parts(col: Column | str, unknown: str = "UNK_LABEL") -> Column:
+    """struct<name,label> of a node key ``name||label``, cut at the first mark; a key without one is a name with the label ``unknown``."""
+    parts = F.split(_s(col), r"\|\|", 2)
+    return F.struct(F.get(parts, F.lit(0)).alias("name"), F.coalesce(F.get(parts, F.lit(1)), F.lit(unknown)).alias("label"))
+
+
 def wrapped(col: Column | str, width: int = 8, lines: int = 2) -> Column:
     """A label on at most two lines of ``width`` characters, cut with an ellipsis."""
     s = _s(col)

@@ -776,3 +776,9 @@ def seed_fallback(spark, sf_dir):
 @query()
 def suggestion_log(spark, sf_dir):
     return evolve.suggestions(frame(spark, sf_dir, _REV), *graphs(spark, sf_dir))
+
+
+@query("SELECT id, mention AS name, CASE WHEN id % 3 = 0 THEN 'UNK_LABEL' WHEN id % 3 = 1 THEN ent_type ELSE ent_type || '||x' END AS label FROM ms")
+def key_split(spark, sf_dir):
+    key = F.when(F.col("id") % 3 == 0, F.col("mention")).when(F.col("id") % 3 == 1, F.concat_ws("||", "mention", "ent_type")).otherwise(F.concat_ws("||", "mention", "ent_type", F.lit("x")))
+    return table(spark, sf_dir, "ms").select("id", T.key_parts(key).alias("k")).select("id", "k.*")

@@ -87,3 +87,8 @@ def test_names(spark):
     assert one(spark, T.wrapped("t"), t="abcdefghijklmnopqrst") == "abcdefgh\nijklmnop…"
     assert one(spark, ratio("a", "b"), a="abcd", b="bcde") == 0.75
     assert one(spark, ratio("a", "b"), a=None, b="x") is None
+
+
+@pytest.mark.parametrize(("key", "parts"), [("a||b||c", ("a", "b||c")), ("a", ("a", "UNK_LABEL")), (None, ("", "UNK_LABEL")), ("||", ("", ""))])
+def test_key_parts(spark, key, parts):
+    assert tuple(one(spark, T.key_parts("k"), k=key)) == parts
