@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.words import column, groups, mix, words
-from factloom.operators.components import components, forest
+from factloom.operators.components import components, counted, forest
 from factloom.shared import among, cut, fresh, partitions, without
 
 U = np.uint64
@@ -363,8 +363,8 @@ def _dealt(k: int, blocks: int):
     return run
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed blocks, those of a block together, to (c, how many of its elements there are in another class)."""
+def _counted(blocks: int):
+    """Packed blocks, those of a block together, to packed (number of a block of classes, how many elements of each are in another class)."""
 
     def done(held: list) -> pa.RecordBatch:
         four, who = (np.concatenate([x[i] for x in held]) for i in (0, 1))
@@ -376,21 +376,44 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again[1:] = four[1:] == four[:-1]
         again[:-1] |= again[1:]
         c, shared = np.unique(who[again], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(shared)], ["c", "shared"])
+        to = (mix(c) % U(blocks)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        at = np.searchsorted(to[order], np.arange(blocks + 1))
+        c, shared = c[order], shared[order].astype(np.uint32)
+        full = [x for x in range(blocks) if at[x] < at[x + 1]]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([c[at[x] : at[x + 1]].tobytes() + shared[at[x] : at[x + 1]].tobytes() for x in full], pa.binary())], ["block", "packed"])
 
-    now, held = None, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for block, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if block != now and held:
+                    yield done(held)
+                    held = []
+                now, raw = block, x.as_buffer()
+                n, m = (int(v) for v in np.frombuffer(raw, np.int64, 2))
+                who = np.frombuffer(raw, U, m, 16)
+                ref = np.frombuffer(raw, np.uint16 if m <= 1 << 16 else np.uint32, n, 16 + 8 * m + 4 * n)
+                held.append((np.frombuffer(raw, np.uint32, n, 16 + 8 * m), who[ref]))
+        if held:
+            yield done(held)
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed counts, those of a block of classes in one partition, to (c, shared)."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
-        for block, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-            if block != now and held:
-                yield done(held)
-                held = []
-            now, raw = block, x.as_buffer()
-            n, m = np.frombuffer(raw, np.int64, 2)
-            who = np.frombuffer(raw, U, m, 16)
-            ref = np.frombuffer(raw, np.uint16 if m <= 1 << 16 else np.uint32, n, 16 + 8 * m + 4 * n)
-            held.append((np.frombuffer(raw, np.uint32, n, 16 + 8 * m), who[ref]))
-    if held:
-        yield done(held)
+        for x in batch.column(1):
+            raw = x.as_buffer()
+            n = raw.size // 12
+            held.append((np.frombuffer(raw, U, n), np.frombuffer(raw, np.uint32, n, 8 * n)))
+        if held:
+            c, which = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+            held = [(c, np.bincount(which, np.concatenate([x[1] for x in held])).astype(np.uint32))]
+    for c, shared in held:
+        yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(shared.astype(np.int64))], ["c", "shared"])
 
 
 def _families(texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -405,7 +428,8 @@ def _supported(texts: DataFrame, big: DataFrame, k: int, percent: int) -> DataFr
     sets that can't have a partner. Elements that share a hash are counted as one, which keeps sets but drops none."""
     blocks = partitions(texts.sparkSession)
     dealt = texts.mapInArrow(_dealt(k, blocks), "block int, packed binary")
-    shared = dealt.repartitionById(blocks, "block").mapInArrow(_counted, "c long, shared long").groupBy("c").agg(F.sum("shared").alias("shared"))
+    counted = dealt.repartitionById(blocks, "block").mapInArrow(_counted(blocks), "block int, packed binary")
+    shared = counted.repartitionById(blocks, "block").mapInArrow(_summed, "c long, shared long")
     return big.join(shared, "c").where(F.col("shared") * 100 >= percent * F.col("n")).withColumn("share", F.col("shared") / F.col("n")).drop("shared")
 
 
@@ -424,22 +448,30 @@ def _linked(rows: DataFrame, k: int, percent: int) -> DataFrame:
     return rows.repartition(partitions(rows.sparkSession), *_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_search(k, percent), "a long, b long")
 
 
-def _links(docs: DataFrame, member: DataFrame, k: int, percent: int, chunk: int) -> DataFrame:
-    """Links that connect the classes of ``member`` (c, d, n, k, family) exactly as all linked pairs do."""
+def _links(docs: DataFrame, member: DataFrame, k: int, percent: int, chunk: int) -> tuple[DataFrame, int]:
+    """Links that connect the classes of ``member`` (c, d, n, k, family) exactly as all linked pairs do, stored, and their number."""
+    alone = lambda rows: rows.select("family", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), F.col("c").alias("label"), "c", "text")
     sizes = lambda rows: rows.groupBy("family").agg((F.count("*") > chunk).alias("large"))
-    member = cut(member.join(sizes(member), "family"), "members")
-    big = member.where("large")
-    some = cut(_supported(among(docs, "k", big.select("k")).select("text"), big, k, percent).drop("share").unionByName(member.where("not large")), "some")
+    member, n = counted(member.join(sizes(member), "family"), "members", "large")
+    some = member
+    if n:  # else there is no large family
+        big = member.where("large")
+        some = cut(_supported(among(docs, "k", big.select("k")).select("text"), big, k, percent).drop("share").unionByName(member.where("not large")), "some")
 
     near = among(docs, "k", some.select("k")).select("k", "text")  # other texts stay where they are
     near = near.mapInArrow(_sized(k, True), "k string, text string, n long, c long, d long").drop("n")  # a key may have several texts
     one = [F.first(x).alias(x) for x in ("n", "family", "large", "text")]  # and several rows of one text
-    held = cut(near.join(some, ["k", "c", "d"]).groupBy("k", "c", "d").agg(*one), "texts")
+    held, n = counted(near.join(some, ["k", "c", "d"]).groupBy("k", "c", "d").agg(*one), "texts", "large")
+    if not n:
+        return counted(_linked(alone(held), k, percent), "links")
 
     # without the sets that were dropped, what chained large families together is mostly gone: their rest is routed once more
     texts = held.where("large").select("c", "n", "text")
     again = texts.select("c", "n").join(_families(texts.select("text"), k, percent), F.col("c") == F.col("node")).select("c", "n", F.col("component").alias("family"))
-    again = cut(again.join(sizes(again), "family"), "members")
+    again, n = counted(again.join(sizes(again), "family"), "members", "large")
+    if not n:
+        small = held.where("not large").select("family", "c", "text").unionByName(texts.select("c", "text").join(again.select("c", "family"), "c").select("family", "c", "text"))
+        return counted(_linked(alone(small), k, percent), "links")
     big = cut(_supported(texts.select("text"), again.where("large"), k, percent), "supported")
     hubs = big.groupBy("family").agg(F.max_by("c", F.struct("share", "c")).alias("hub"))
     dealt = _chunked(big, ["family"], chunk).join(hubs, "family").select("c", "family", "chunk", "chunks", "hub")
@@ -447,21 +479,24 @@ def _links(docs: DataFrame, member: DataFrame, k: int, percent: int, chunk: int)
     dealt = cut(texts.select("c", "text").join(dealt, "c"), "dealt")
     every = F.expr("explode(if(c = hub, sequence(0, chunks - 1), array(chunk)))")
     first = held.where("not large").select("c", "text", "family", F.lit(0).alias("i")).unionByName(dealt.select("c", "text", "family", every.alias("i")))
-    links = cut(_linked(first.select("family", "i", F.col("i").alias("j"), F.lit(0).alias("side"), F.col("c").alias("label"), "c", "text"), k, percent), "links")
+    links, n = counted(_linked(first.select("family", "i", F.col("i").alias("j"), F.lit(0).alias("side"), F.col("c").alias("label"), "c", "text"), k, percent), "links")
 
     # what the largest component of a large family leaves out meets all its chunks
     dealt = dealt.where("hub is not null").select("c", "family", "text")
-    told = dealt.select("c", "family").join(components(links), F.col("c") == F.col("node"), "left").select("c", "family", F.coalesce("component", "c").alias("label"))
+    told = dealt.select("c", "family").join(components(links, size=n), F.col("c") == F.col("node"), "left").select("c", "family", F.coalesce("component", "c").alias("label"))
     told = cut(told, "labels")
     most = told.groupBy("family", "label").agg(F.count("*").alias("size")).groupBy("family").agg(F.max_by("label", F.struct("size", "label")).alias("most"), F.count("*").alias("labels"))
     told = told.join(most.where("labels > 1"), "family").select("c", "family", "label", (F.col("label") != F.col("most")).alias("rest"))
-    told = cut(_chunked(told, ["family", "rest"], 4 * chunk), "rest")
+    told, left = counted(_chunked(told, ["family", "rest"], 4 * chunk), "rest", "rest")
+    if not left:
+        return links, n
     ends = told.groupBy("family").agg(F.max(F.when(F.col("rest"), F.col("chunks"))).alias("rests"), F.max(F.when(~F.col("rest"), F.col("chunks"))).alias("mains"))
     told = told.join(ends, "family").select("c", "label", "rest", F.when(F.col("rest"), F.col("chunk")).otherwise(F.col("chunk") + F.col("rests")).alias("x"), "rests", (F.col("rests") + F.col("mains")).alias("all"))
     other = F.expr("explode(sequence(0, if(rest, all, rests) - 1))")
     met = dealt.join(told, "c").withColumn("o", other)
     met = met.select("family", F.least("x", "o").alias("i"), F.greatest("x", "o").alias("j"), (F.col("x") > F.col("o")).cast("int").alias("side"), "label", "c", "text")
-    return links.unionByName(cut(_linked(met, k, percent), "links"))
+    more, m = counted(_linked(met, k, percent), "links")
+    return links.unionByName(more), n + m
 
 
 def _key(key: str, text: str) -> Column:
@@ -478,7 +513,8 @@ def resolved(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     reps = cut(sized.where("n > 0").groupBy("c", "d", "n").agg(head), "classes")
 
     member = reps.join(_families(docs.select("text"), k, percent), F.col("c") == F.col("node")).select("c", "d", "n", F.col("head.k").alias("k"), F.col("component").alias("family"))
-    tops = components(_links(docs, member, k, percent, chunk))
+    links, n = _links(docs, member, k, percent, chunk)
+    tops = components(links, size=n)
 
     rooted = cut(reps.join(tops, F.col("c") == F.col("node"), "left").select("c", "d", "n", "head", F.coalesce("component", "c").alias("root")), "rooted")
     heads = rooted.groupBy("root").agg(F.min(F.struct("head", "c", "d")).alias("least"))
@@ -504,7 +540,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     marked = docs.withColumn(name, _key(key, text))
     kept = without(marked, name, keys.where(~stay).select("k"))
     mixed = keys.where(~stay & (F.col("firsts") > 0)).select(F.col("k").alias(name))
-    some = among(marked, name, mixed).join(mixed, name, "left_semi")
+    some = among(marked, name, mixed).join(mixed, name)  # a semi join would be moved below the filter, to all rows
     rows = some.select(F.struct(*docs.columns).alias("row"), F.col(name).alias("k"), F.col(text).cast("string").alias("text"))
     sets = rows.mapInArrow(_sized(k), rows.drop("text").schema.add("n", "long").add("c", "long").add("d", "long"))
     good = found.where("first and n > 0").select("k", "c", "d").distinct()

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.shared import fresh
+
 #: Known sentences, normalised, by identifier; fixed values.
 SENTENCES = {
     "mit_name": ["released under the mit license", "licensed under the mit license", "this project is licensed under the mit license", "the mit license", "the mit license mit", "mit license", "distributed under the mit license"],
@@ -74,7 +76,7 @@ def scan(docs: DataFrame, text: str = "text", sentences: dict | None = None, rul
     sentences, rules = sentences or SENTENCES, rules or RULES
     known = [(s, i) for i, own in sentences.items() for s in own]
     table = F.map_from_arrays(F.array(*[F.lit(s) for s, _ in known]), F.array(*[F.lit(i) for _, i in known]))
-    made = ["_parts", "_ids", "_left", "_found"]
+    parts, ids, left = made = [fresh(docs, f"_licence_{x}") for x in ("parts", "ids", "left")]
     # sentence ends and line ends are marked apart, what lies between is normalised, and line ends at blank lines or sentence ends become those
     marked = F.lower(F.regexp_replace(F.regexp_replace(text, END, "\u0001"), LINE, "\u0002"))
     marked = F.regexp_replace(F.regexp_replace(marked, "[^a-z0-9\u0001\u0002]+", " "), " ?([\u0001\u0002]) ?", "$1")
@@ -82,10 +84,10 @@ def scan(docs: DataFrame, text: str = "text", sentences: dict | None = None, rul
     one = "|".join(s.replace(" ", "[ \u0002]") for s, _ in sorted(known, key=lambda k: (-len(k[0]), k[0])))
     # possible only from one end to another
     hit = F.regexp_extract_all(F.trim(marked), F.lit(f"(?<![^\u0001\u0002])(?:{one})(?![^\u0001\u0002])"), F.lit(0))
-    df = docs.withColumn("_parts", F.when(F.col(text).rlike(HINT), hit))
-    df = df.withColumn("_ids", F.coalesce(F.transform("_parts", lambda s: table[F.translate(s, "\u0002", " ")]), F.expr("cast(array() as array<string>)")))
-    seed = F.when(F.size("_ids") > 0, F.concat(F.lit(","), F.array_join("_ids", ",,"), F.lit(",")))
-    df = df.withColumn("_left", seed).withColumn("_found", F.lit(""))
+    df = docs.withColumn(parts, F.when(F.col(text).rlike(HINT), hit))
+    df = df.withColumn(ids, F.coalesce(F.transform(parts, lambda s: table[F.translate(s, "\u0002", " ")]), F.expr("cast(array() as array<string>)")))
+    seed = F.when(F.size(ids) > 0, F.concat(F.lit(","), F.array_join(ids, ",,"), F.lit(",")))
+    df = df.withColumn(left, seed)
     plan = F.expr("array(" + ",".join(f"named_struct('n','{n}','p','{pattern(r)}')" for n, r in rules) + ")")
 
     def step(acc, rule):
@@ -93,9 +95,9 @@ def scan(docs: DataFrame, text: str = "text", sentences: dict | None = None, rul
         new = there & ~F.array_contains(acc["names"], rule["n"])
         return F.struct(F.when(there, F.regexp_replace(acc["left"], rule["p"], F.lit(";"))).otherwise(acc["left"]).alias("left"), F.when(new, F.array_append(acc["names"], rule["n"])).otherwise(acc["names"]).alias("names"))
 
-    start = F.struct(F.col("_left").alias("left"), F.expr("cast(array() as array<string>)").alias("names"))
-    names = F.when(F.col("_left").isNotNull(), F.aggregate(plan, start, step, lambda acc: F.array_join(acc["names"], ","))).otherwise(F.lit(""))
-    return df.withColumns({"n_sentences": F.size("_ids").cast("long"), "sentence_ids": F.array_join("_ids", ","), "licences": names}).drop(*made)
+    start = F.struct(F.col(left).alias("left"), F.expr("cast(array() as array<string>)").alias("names"))
+    names = F.when(F.col(left).isNotNull(), F.aggregate(plan, start, step, lambda acc: F.array_join(acc["names"], ","))).otherwise(F.lit(""))
+    return df.withColumns({"n_sentences": F.size(ids).cast("long"), "sentence_ids": F.array_join(ids, ","), "licences": names}).drop(*made)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

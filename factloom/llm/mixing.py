@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.shared import cut
+from factloom.shared import cut, fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -83,14 +83,15 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     plan = aim.alias("a").join(under.alias("u"), F.col("a.source").eqNullSafe(F.col("u.source"))).select(F.col("a.source").alias("s"), "source_size", "target", "times", "threshold")
     # a table with a known size: Spark broadcasts it below its threshold and otherwise splits the skewed join
     plan = cut(plan, "plan")
-    again = lambda h: F.when(F.col("_t").isNull() | (h < F.col("_t")), 1).otherwise(0)
-    plan = plan.select(F.col("s").alias("_s"), F.col("source_size").alias("_z"), F.col("target").alias("_a"), F.col("times").alias("_n"), F.col("threshold").alias("_t"))
+    s, z, a, n, t = (fresh(docs, c) for c in ("_s", "_z", "_a", "_n", "_t"))
+    again = lambda h: F.when(F.col(t).isNull() | (h < F.col(t)), 1).otherwise(0)
+    plan = plan.select(F.col("s").alias(s), F.col("source_size").alias(z), F.col("target").alias(a), F.col("times").alias(n), F.col("threshold").alias(t))
     if whole:
-        made = {"size": size, "source_size": F.col("_z"), "target": F.col("_a"), "taken": (size * F.least(F.lit(int(cap)), F.col("_n") + again(hashed(F.col(key))))).cast("long")}
-        out = docs.join(plan, F.col(source).cast("string").eqNullSafe(F.col("_s")))
-        return out.select(*(c for c in docs.columns if c not in made), *(v.alias(k) for k, v in made.items()))
-    out = sized.join(plan, sized["source"].eqNullSafe(F.col("_s")))
-    return out.select("doc_id", "size", F.col("_z").alias("source_size"), F.col("_a").alias("target"), (F.col("size") * F.least(F.lit(int(cap)), F.col("_n") + again(F.col("hash")))).cast("long").alias("taken"))
+        made = {"size": size, "source_size": F.col(z), "target": F.col(a), "taken": (size * F.least(F.lit(int(cap)), F.col(n) + again(hashed(F.col(key))))).cast("long")}
+        out = docs.join(plan, F.col(source).cast("string").eqNullSafe(F.col(s)))
+        return out.select(*(c for c in docs.columns if c.lower() not in made), *(v.alias(k) for k, v in made.items()))
+    out = sized.join(plan, sized["source"].eqNullSafe(F.col(s)))
+    return out.select("doc_id", "size", F.col(z).alias("source_size"), F.col(a).alias("target"), (F.col("size") * F.least(F.lit(int(cap)), F.col(n) + again(F.col("hash")))).cast("long").alias("taken"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,9 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from factloom.llm.sampling import draw, fitted, labelled
 from factloom.llm.words import WHITE, column, groups, mix, words
+from factloom.shared import fresh
 
 U = np.uint64
 #: Labelled rows a label, dimensions, places of an index vector, words with vectors at most, words on each side, hidden units.
@@ -207,8 +209,15 @@ def classify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
                 score = held.value.score(data, offs[i : j + 1]).astype(float) if held.value is not None else np.full(j - i, 0.5)
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names)
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(run, f"{kinds}, score double, predicted int")
+    return kept.mapInArrow(run, StructType(list(kept.schema.fields)).add("score", "double").add("predicted", "integer"))
+
+
+def accepted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that the model accepts."""
+    clash = [c for c in docs.columns if c.lower() in ("score", "predicted")]
+    away = {c: fresh(docs, f"_{c}") for c in clash}
+    good = classify(docs.withColumnsRenamed(away), model, text).where("predicted = 1").drop("score", "predicted")
+    return good.withColumnsRenamed({v: k for k, v in away.items()}).select(docs.columns)
 
 
 def held_out():

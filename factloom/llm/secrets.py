@@ -64,8 +64,8 @@ def _spans(found: str, gaps: str, sizes: str, kind: str, values: str | None = No
     return f"if(size({found}) > 0, {kept}, cast(array() as array<struct<s:int,k:int,e:int>>))"
 
 
-def scan(docs: DataFrame, text: str = "text", allow_values: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` with ``spans``: array<struct<s,k,e>> by start, then kind (index into KINDS)."""
+def scan(docs: DataFrame, text: str = "text", allow_values: tuple[str, ...] = (), out: str = "spans") -> DataFrame:
+    """``docs`` with ``out``: array<struct<s,k,e>> by start, then kind (index into KINDS)."""
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "entropy": f"(?<![{RUN}])[{RUN}]{{20,}}"}
     raw, value, base, end, ends, more = (fresh(docs, f"_secret_{x}") for x in ("text", "value", "base", "end", "ends", "more"))
     m, g, n, s = ([fresh(docs, f"_secret_{x}{i}") for i in range(4)] for x in "mgns")
@@ -78,7 +78,7 @@ def scan(docs: DataFrame, text: str = "text", allow_values: tuple[str, ...] = ()
     df = df.withColumn(ends, F.when(F.size(m[3]) > 0, F.concat(F.expr(_running(end, "greatest(z, y)")), F.array(F.array_max(end)))))
     none = F.expr("cast(array() as array<struct<s:int,k:int,e:int>>)")
     df = df.withColumn(more, F.when(F.size(m[3]) > 0, F.expr(_entropy_sql(m[3], s[3], base, ends, allow_values))).otherwise(none))
-    return df.withColumn("spans", F.array_sort(F.concat(base, more))).drop(raw, value, base, end, ends, more, *m, *g, *n, *s)
+    return df.withColumn(out, F.array_sort(F.concat(base, more))).drop(raw, value, base, end, ends, more, *m, *g, *n, *s)
 
 
 def _entropy_sql(found: str, at: str, base: str, ends: str, allow_values: tuple[str, ...]) -> str:
@@ -113,13 +113,13 @@ def joined(spans: str, kinds: int = len(KINDS)) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of ``scan`` replaced by ``mark`` in the text; overlapping spans become one. Null stays null."""
-    found = scan(docs, text)
-    chars, end, done = (fresh(docs, f"_secret_{x}") for x in ("chars", "end", "done"))
-    some = F.size("spans") > 0
-    found = found.withColumns({chars: F.when(some, F.split(text, "")), end: F.transform("spans", lambda x: x["e"])}).withColumn(done, F.when(some, F.expr(_running(end, "greatest(z, y)"))))
-    pieces = F.expr(f"transform(spans, (x, i) -> if(x.s >= {done}[i], concat(array_join(slice({chars}, {done}[i] + 1, x.s - {done}[i]), ''), '{mark}'), ''))")
+    spans, chars, end, done = (fresh(docs, f"_secret_{x}") for x in ("spans", "chars", "end", "done"))
+    found = scan(docs, text, out=spans)
+    some = F.size(spans) > 0
+    found = found.withColumns({chars: F.when(some, F.split(text, "")), end: F.transform(spans, lambda x: x["e"])}).withColumn(done, F.when(some, F.expr(_running(end, "greatest(z, y)"))))
+    pieces = F.expr(f"transform({spans}, (x, i) -> if(x.s >= {done}[i], concat(array_join(slice({chars}, {done}[i] + 1, x.s - {done}[i]), ''), '{mark}'), ''))")
     rest = F.expr(f"array_join(slice({chars}, array_max({end}) + 1, size({chars})), '')")
-    return found.withColumn(text, F.when(some, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col(text))).drop("spans", chars, end, done)
+    return found.withColumn(text, F.when(some, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col(text))).drop(spans, chars, end, done)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
