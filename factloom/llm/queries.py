@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import decontaminate, jaccard, language, licences, lm, matroska, mixing, quality, secrets, tokens
+from factloom.llm import conversations, decontaminate, jaccard, language, licences, lm, matroska, mixing, quality, runs, secrets, tokens
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_jaccard_join": jaccard.query,
     "op9_language_id": language.query,
     "op10_decontamination": decontaminate.query,
+    "op11_periodic_runs": runs.query,
+    "op12_conversation_repair": conversations.query,
     "decontamination_near": decontaminate.near_query,
 }
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -207,13 +208,14 @@ def _found(keyed: bool):
 
 def _rows(lists: list[list[bytes]]) -> Iterator[tuple]:
     """(number of words, starts, lengths, periods of the runs, the text without repeats) of each list of words."""
-    numbers: dict[bytes, int] = {}
     sizes = np.array([len(w) for w in lists])
     starts = np.cumsum(sizes + 1) - sizes - 1
-    words = np.empty(int(sizes.sum()) + len(lists), np.int64)
-    for w, s in zip(lists, starts.tolist()):
-        words[s : s + len(w)] = [numbers.setdefault(x, len(numbers)) for x in w]
-    words[starts + sizes] = len(numbers) + np.arange(len(lists))
+    told = pa.array(chain.from_iterable(lists), pa.binary(), size=int(sizes.sum())).dictionary_encode()
+    words = np.empty(len(told) + len(lists), np.int64)
+    ends = np.zeros(len(words), bool)
+    ends[starts + sizes] = True
+    words[~ends] = told.indices.to_numpy()
+    words[ends] = len(told.dictionary) + np.arange(len(lists))
     found = runs(words, int(sizes.max()))
     cuts = np.searchsorted(found[:, 0], np.append(starts, len(words)))
     for k, w in enumerate(lists):
@@ -221,7 +223,7 @@ def _rows(lists: list[list[bytes]]) -> Iterator[tuple]:
         if len(own):
             stay = kept(len(w), own)
             w = [x for x, s in zip(w, stay.tolist()) if s]
-        yield len(sizes) and int(sizes[k]), own[:, 0], own[:, 1], own[:, 2], b" ".join(w)
+        yield int(sizes[k]), own[:, 0], own[:, 1], own[:, 2], b" ".join(w)
 
 
 _NAMES = ("_n", "_starts", "_lengths", "_periods", "_collapsed")
