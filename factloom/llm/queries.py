@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import conversations, decontaminate, jaccard, language, licences, lm, matroska, mixing, quality, runs, secrets, tokens
+from factloom.llm import conversations, decontaminate, extract, jaccard, language, licences, lm, matroska, mixing, quality, runs, secrets, tokens
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_decontamination": decontaminate.query,
     "op11_periodic_runs": runs.query,
     "op12_conversation_repair": conversations.query,
+    "op13_html_extraction": extract.query,
     "decontamination_near": decontaminate.near_query,
 }
 

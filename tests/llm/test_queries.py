@@ -38,6 +38,8 @@ def tables(spark, tmp_path_factory):
         "labels": spark.createDataFrame([(i, int(i < 44), 0, "x") for i in range(14, 74)] + [(None, 1, 0, "x"), (15, None, 0, "x")], "doc_id long, quality int, toxic int, text string"),
         "benchmark": spark.createDataFrame([(1, PASSAGE), (2, PASSAGE), (3, None), (4, "!"), (5, "one"), (6, prose(40, 77))], "item_id long, text string"),
     }
+    made["pages"] = spark.createDataFrame([(1, "http://h/", "<p>text</p>"), (None, None, None)], "page_id long, url string, html string")
+    made["conversations"] = spark.createDataFrame([(1, 1, "user", "Hi."), (None, None, None, None)], "conv_id long, turn long, role string, text string")
     for kind in ("full", "none"):
         for name, df in made.items():
             (df if kind == "full" else df.where("false")).write.parquet(f"file://{base}/{kind}/{name}.parquet")
