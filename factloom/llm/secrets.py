@@ -46,6 +46,14 @@ def _limit(bits: float) -> int:
 _RUN = 128
 
 
+def _once(columns: dict[str, str], body: str) -> str:
+    """``body`` with each name of ``columns`` bound to the value of its column. A column named inside a lambda and nowhere else is computed anew
+    by every call of it, as Spark puts its expression there; a bound one is computed once a row."""
+    for name, column in columns.items():
+        body = f"transform(array({column}), {name} -> {body})[0]"
+    return body
+
+
 def _running(values: str, step: str) -> str:
     """An array: for each of the ints ``values`` what ``step`` (of z and y) makes of 0 and those before it."""
     part = f"slice({values}, b * {_RUN} + 1, {_RUN})"
@@ -59,9 +67,10 @@ def _running(values: str, step: str) -> str:
 def _spans(found: str, gaps: str, sizes: str, kind: str, values: str | None = None) -> str:
     """Spans (s, k, e) of the matches ``found`` between the pieces ``gaps``, ``sizes`` being what each takes with the piece before it; of those
     whose ``values`` have 12 characters or more."""
-    spans = f"transform({_running(sizes, 'z + y')}, (p, i) -> named_struct('s', p + length({gaps}[i]), 'k', {KINDS.index(kind)}, 'e', p + {sizes}[i]))"
-    kept = f"filter({spans}, (x, i) -> length({values}[i]) >= 12)" if values else spans
-    return f"if(size({found}) > 0, {kept}, cast(array() as array<struct<s:int,k:int,e:int>>))"
+    spans = f"transform({_running('own_sizes', 'z + y')}, (p, i) -> named_struct('s', p + length(own_gaps[i]), 'k', {KINDS.index(kind)}, 'e', p + own_sizes[i]))"
+    kept = f"filter({spans}, (x, i) -> length(own_values[i]) >= 12)" if values else spans
+    bound = {"own_gaps": gaps, "own_sizes": sizes} | ({"own_values": values} if values else {})
+    return f"if(size({found}) > 0, {_once(bound, kept)}, cast(array() as array<struct<s:int,k:int,e:int>>))"
 
 
 def scan(docs: DataFrame, text: str = "text", allow_values: tuple[str, ...] = (), out: str = "spans") -> DataFrame:
@@ -97,12 +106,13 @@ def _entropy_sql(found: str, at: str, base: str, ends: str, allow_values: tuple[
       t -> named_struct({', '.join(f"'n{q}', {moved(q)}" for q in longs)}, 't', t, 'f', if(acc.f < 0 and i >= {WINDOW - 1} and t <= x.t, i - {WINDOW - 1}, acc.f), 'l', if(i >= {WINDOW - 1} and t <= x.t, i - {WINDOW - 1}, acc.l)))[0])[0]"""
     start = f"named_struct({', '.join(f"'n{q}', 0L" for q in longs)}, 't', 0L, 'f', -1, 'l', -1)"
     hot = f"aggregate(sequence(0, size(x.z) - 1), {start}, {step}, acc -> named_struct('f', acc.f, 'l', acc.l))"
-    rows = f"filter(transform({found}, (c, i) -> named_struct('c', c, 's', {at}[i].s)), x -> rlike(x.c, '[0-9]') and rlike(x.c, '[A-Za-z]'))"
+    rows = f"filter(transform({found}, (c, i) -> named_struct('c', c, 's', own_at[i].s)), x -> rlike(x.c, '[0-9]') and rlike(x.c, '[A-Za-z]'))"
     told = f"transform(filter({rows}, x -> not ({allow})), x -> named_struct('z', transform(split(x.c, ''), h -> instr('{ALPHABET}', h) - 1), 's', x.s, 'w', {weights}, 't', {limit}))"
     spans = f"filter(transform(transform({told}, x -> named_struct('s', x.s, 'h', {hot})), x -> named_struct('s', cast(x.s + x.h.f as int), 'k', 3, 'e', cast(x.s + x.h.l + {WINDOW} as int), 'f', x.h.f)), x -> x.f >= 0)"
     # spans of the base that begin before x ends, by bisection
-    before = f"aggregate(sequence(0, 30), 0, (p, q) -> if(p + shiftleft(1, 30 - q) <= size({base}) and {base}[least(p + shiftleft(1, 30 - q), size({base})) - 1].s < x.e, p + shiftleft(1, 30 - q), p))"
-    return f"transform(filter({spans}, x -> size({base}) = 0 or {ends}[{before}] <= x.s), x -> named_struct('s', x.s, 'k', x.k, 'e', x.e))"
+    before = "aggregate(sequence(0, 30), 0, (p, q) -> if(p + shiftleft(1, 30 - q) <= size(own_base) and own_base[least(p + shiftleft(1, 30 - q), size(own_base)) - 1].s < x.e, p + shiftleft(1, 30 - q), p))"
+    clear = f"transform(filter({spans}, x -> size(own_base) = 0 or own_ends[{before}] <= x.s), x -> named_struct('s', x.s, 'k', x.k, 'e', x.e))"
+    return _once({"own_at": at, "own_base": base, "own_ends": ends}, clear)
 
 
 def joined(spans: str, kinds: int = len(KINDS)) -> Column:
@@ -117,7 +127,8 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
     found = scan(docs, text, out=spans)
     some = F.size(spans) > 0
     found = found.withColumns({chars: F.when(some, F.split(text, "")), end: F.transform(spans, lambda x: x["e"])}).withColumn(done, F.when(some, F.expr(_running(end, "greatest(z, y)"))))
-    pieces = F.expr(f"transform({spans}, (x, i) -> if(x.s >= {done}[i], concat(array_join(slice({chars}, {done}[i] + 1, x.s - {done}[i]), ''), '{mark}'), ''))")
+    piece = f"if(x.s >= own_done[i], concat(array_join(slice(own_chars, own_done[i] + 1, x.s - own_done[i]), ''), '{mark}'), '')"
+    pieces = F.expr(_once({"own_done": done, "own_chars": chars}, f"transform({spans}, (x, i) -> {piece})"))
     rest = F.expr(f"array_join(slice({chars}, array_max({end}) + 1, size({chars})), '')")
     return found.withColumn(text, F.when(some, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col(text))).drop(spans, chars, end, done)
 
