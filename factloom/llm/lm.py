@@ -3,13 +3,14 @@
 Counting. Tasks count words and word pairs of whole batches by 64-bit hash and send the counts as packed blocks by
 hash range, so what is shuffled is a few bytes a distinct pair and batch. The owner of a range sums them. Word counts
 become an exact table; both become the filter: a count c is held as its level 1 + floor(log2 c), by inserting the n-gram with every
-level up to it, and read back by probing level after level until one is missing. The filter has a segment for each hash
+level up to it, and read back by probing level after level until one is missing. A level takes ``PROBES`` bits and at most half of a segment's
+bits are asked for, so a full segment has 0.39 of them set and reads an absent n-gram as present once in 280 (0.39 to the power of 6). The filter has a segment for each hash
 range, so its owner builds it alone; all have ``bits`` bits together, and a segment whose words would fill more than half of
 it gets as many more as they need. Pairs that would overfill a segment, the rarest by a count limit taken from its own counts of
 the whole corpus, are not lost: they go with their counts to an exact table, which grows with the corpus.
 
 Scoring. Word probabilities are (c + 1) / (N + V + 1); a pair's is interpolated with it, with a weight c(v) / (c(v) + K) of the
-context v; word counts come from the filter, pair counts too unless the filter holds the pair at no level that its segment's limit
+context v; the counts of the most frequent words come from their exact table, quantised like the others, those of other words from the filter, pair counts too unless the filter holds the pair at no level that its segment's limit
 allows: such a pair is looked up in the exact table by an equi-join, and is 0 only if it is not there either. The exact base score takes word counts from a broadcast of the most frequent
 words, at most ``head`` of them, and for the rest from an equi-join of the remaining words with the exact table.
 
@@ -33,7 +34,7 @@ from factloom.shared import cut, partitions
 
 U = np.uint64
 #: Bits of the filter, probes a level, words that are broadcast with exact counts at most, words of context weight K.
-BITS, PROBES, HEAD, CONTEXT = 1 << 29, 2, 1 << 18, 4.0
+BITS, PROBES, HEAD, CONTEXT = 1 << 29, 6, 1 << 18, 4.0
 END = U(0x5851F42D4C957F2D)
 PAIR = U((1 << 48) - 1)
 _A, _B, _C = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
@@ -213,14 +214,19 @@ class Filter:
         """The middle of each key's level, 0 for keys that are not held."""
         return middle(self.levels(keys))
 
-    def logs(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(log10 of each token's probability after the one before; the tokens, in order, whose pair is to be looked up in
+    def logs(self, h: np.ndarray, at: np.ndarray, known: np.ndarray = np.zeros(0, U), counts: np.ndarray = np.zeros(0, np.int64)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of tokens ``h``, where ``known`` words, in order, have ``counts``: (log10 of each token's probability after the one before; the tokens, in order, whose pair is to be looked up in
         ``rare``, with 0 for a log; for each of them its pair, its own level and that of its context in 48, 8 and 8 bits)."""
         kinds, which = np.unique(h, return_inverse=True)
-        own = self.levels(kinds)[which]
+        kinds = np.append(kinds, END)
+        told = self.levels(kinds)
+        if len(known):
+            spot = np.minimum(np.searchsorted(known, kinds), len(known) - 1)
+            told = np.where(known[spot] == kinds, level(counts[spot]), told)
+        own = told[which]
         before = np.empty_like(own)
         before[1:] = own[:-1]
-        before[at[:-1]] = self.levels(np.array([END]))[0]
+        before[at[:-1]] = told[-1]
         single, context = middle(own), middle(before)
         two = pairs(h, at)
         held = self.levels(two)
@@ -291,7 +297,7 @@ def _score(model, head):
                 cut_at = np.searchsorted(rest, at)
                 tail = pa.ListArray.from_arrays(pa.array(cut_at.astype(np.int32)), pa.array(h[rest].view(np.int64)))
                 begin = at[:-1]
-                scored, away, keys = lm.logs(h, at)
+                scored, away, keys = lm.logs(h, at, known, counts)
                 seek = pa.ListArray.from_arrays(pa.array(np.searchsorted(away, at).astype(np.int32)), pa.array(keys.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(row, row + j - i)), batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(at)),
