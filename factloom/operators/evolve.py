@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factloom.config import CONFIG, GENERIC_RELATIONS
 from factloom.functions import text as T
-from factloom.operators.align import _holding
+from factloom.operators.dictionary import held as _held
 from factloom.operators.ids import first_by, largest_suffix, ordinals, prefix_of
 
 
@@ -35,7 +35,7 @@ def named_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def mentioned(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(id, k): vocabulary names (k) that a text (id, text) holds."""
     folded = texts.select("id", T.matched("text").alias("o"))
-    held = _holding(vocabulary.select(F.col("k").alias("i")).distinct(), folded.select("o").distinct())
+    held = _held(folded.select("o"), vocabulary.select("k"))
     return folded.join(held, "o").select("id", F.col("i").alias("k")).distinct()
 
 
@@ -157,7 +157,7 @@ def legacy(revisions: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFram
     vocabulary = n.select(F.col("name").alias("i")).distinct()
 
     def find(c: str) -> DataFrame:
-        held = _holding(vocabulary, revisions.select(F.col(c).alias("o")).distinct())
+        held = _held(revisions.select(c), vocabulary)
         return revisions.select("qid", F.col(c).alias("o")).join(held, "o").select("qid", F.col("i").alias("name")).distinct()
 
     before, after = find("original_question"), find("revised_question")

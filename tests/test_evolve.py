@@ -95,13 +95,6 @@ def test_scores(spark):
     assert mcq.suite(mcq.evaluate(q.where("false"), n, e)).first()["suite_total"] == 0
 
 
-def test_dictionary_prefers_longer_names():
-    d = mcq.Dictionary(["ab", "abc", "c", "", "bc d"])
-    assert d.find("xABC ab c") == ["abc", "ab", "c"]
-    assert d.find("abc d") == ["bc d"]
-    assert d.find(None) == []
-
-
 def test_every_order_yields_a_revision(spark):
     at = "/root/testdata/sf0.001"
     orders = {str(r[0]) for r in spark.read.parquet(f"{at}/orders.parquet").select("o_orderkey").collect()}
