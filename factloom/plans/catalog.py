@@ -114,12 +114,7 @@ def mention_split_list(spark, sf_dir):
 
 @query(f"WITH {_MENTIONS} SELECT doc_id, pos, ord, mention, start_char, end_char, ent_type FROM mm")
 def mention_span(spark, sf_dir):
-    m = _words(spark, sf_dir).join(_number(spark, sf_dir), ["doc_id", "pos"])
-    return m.select("doc_id", F.col("new_pos").alias("pos"), F.col("ord").cast("long").alias("ord"), "mention", F.col("start_char").cast("long").alias("start_char"), F.col("end_char").cast("long").alias("end_char"), "ent_type")
-
-
-def _number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sentences(spark, sf_dir).select("doc_id", "pos", F.col("pos").cast("long").alias("new_pos"))
+    return _words(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("ord").cast("long").alias("ord"), "mention", F.col("start_char").cast("long").alias("start_char"), F.col("end_char").cast("long").alias("end_char"), "ent_type")
 
 
 @query(f"WITH {_MENTIONS} SELECT doc_id, pos, ord, mention FROM mm QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY start_char, ord) <= 8")
@@ -669,8 +664,10 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("sentence_id", F.concat_ws(":", "doc_id", "pos"))
 
 
-@query(f"""WITH {_SENTENCES}, {_HEARD}, td AS (SELECT *, count(*) OVER (PARTITION BY doc_id, pos) AS n FROM hd WHERE length(w) <= 20 AND doc_id % 3 <> 1)
-SELECT doc_id || ':' || pos AS sentence_id, w AS mention, instr(sentence, w) - 1 AS start_char, CASE WHEN n <= 1 THEN 'Other' ELSE {_TYPE.format('w')} END AS ent_type, 0.95::DOUBLE AS confidence FROM td WHERE n <= 1 OR length(w) >= 7""")
+@query(f"""WITH {_SENTENCES}, {_HEARD}, hc AS (SELECT * FROM hd QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY i) <= 12),
+td AS (SELECT *, count(*) OVER (PARTITION BY doc_id, pos) AS n FROM hc WHERE length(w) <= 20 AND doc_id % 3 <> 1)
+SELECT doc_id || ':' || pos AS sentence_id, w AS mention, instr(sentence, w) - 1 AS start_char, CASE WHEN n <= 1 THEN 'Other' ELSE {_TYPE.format('w')} END AS ent_type, 0.95::DOUBLE AS confidence FROM td WHERE n <= 1 OR length(w) >= 7
+QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY i) <= 6""")
 def truth_entities(spark, sf_dir):
     rows = _numbered(spark, sf_dir)
     return truth.entities(rows, rows.where("doc_id % 3 = 1")).select("sentence_id", "mention", F.col("start_char").cast("long").alias("start_char"), "ent_type", "confidence")

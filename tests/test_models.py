@@ -34,6 +34,26 @@ def test_truth_entities_skip_the_check_of_single_candidates(spark):
     assert ("s2", "bettinggam") not in {(r["sentence_id"], r["mention"]) for r in extra.collect()}
 
 
+def test_truth_entities_limits(spark):
+    """Of 15 candidates, blank ones apart, the first 12 count; of those that the check names the first 6."""
+    words = [f"Candidate{chr(97 + i)}" for i in range(15)]
+    rows = sentences(spark, [" ".join(words), " ".join(reversed(words[:8])), "Alone here"])
+    seen = spark.sparkContext.accumulator(0)
+    ask = lambda row: json.dumps([{"sentence_id": s["sentence_id"], "mentions": ["", None, *s["text"].split()]} for s in row["batch"]])
+
+    def check(row):
+        for s in row["batch"]:
+            seen.add(len(s["mentions"]))
+        return json.dumps([{"sentence_id": s["sentence_id"], "entities": [{"mention": ""}, {"mention": None}, *({"mention": m, "ent_type": "T"} for m in s["mentions"][1:])]} for s in row["batch"]])
+
+    got = {(r["sentence_id"], r["mention"]) for r in truth.entities(rows, ask=ask, check=check).collect()}
+    want = set()
+    for r in rows.collect():
+        kept = r["text"].split()[:12]
+        want |= {(r["sentence_id"], m) for m in (kept[1:][:6] if len(kept) > 1 else kept)}
+    assert got == want and seen.value in (12 + 8 + 2, 2 * (12 + 8 + 2))
+
+
 def test_truth_relations_keep_candidates_that_the_check_names(spark):
     words = [(s, n, i, w, "Concept") for s, n, own in (("a", 1, ["one", "two", "three", "one"]), ("b", 2, ["single"]), ("c", 3, [f"w{i}" for i in range(14)])) for i, w in enumerate(own)]
     m = spark.createDataFrame(words, "sentence_id string, sent_ord long, ord int, mention string, ent_type string")
