@@ -3,10 +3,10 @@
 Counting. Tasks count words and word pairs of whole batches by 64-bit hash and send the counts as packed blocks by
 hash range, so what is shuffled is a few bytes a distinct pair and batch. The owner of a range sums them. Word counts
 become an exact table; both become the filter: a count c is held as its level 1 + floor(log2 c), by inserting the n-gram with every
-level up to it, and read back by probing level after level until one is missing. A level takes ``PROBES`` bits and at most half of a segment's
-bits are asked for, so a full segment has 0.39 of them set and reads an absent n-gram as present once in 280 (0.39 to the power of 6). The filter has a segment for each hash
-range, so its owner builds it alone; all have ``bits`` bits together, and a segment whose words would fill more than half of
-it gets as many more as they need. Pairs that would overfill a segment, the rarest by a count limit taken from its own counts of
+level up to it, and read back by probing level after level until one is missing. A level takes ``PROBES`` bits and at most the share ``FULL`` of a segment's
+bits is asked for, so a full segment has 0.45 of them set (1 - exp(-0.6)) and reads a level that is not there in 4.1 % of all cases (0.45 to the power of 4). The filter has a segment for each hash
+range, so its owner builds it alone; all have ``bits`` bits together, and a segment whose words would fill more than that
+gets as many more as they need. Pairs that would overfill a segment, the rarest by a count limit taken from its own counts of
 the whole corpus, are not lost: they go with their counts to an exact table, which grows with the corpus.
 
 Scoring. Word probabilities are (c + 1) / (N + V + 1); a pair's is interpolated with it, with a weight c(v) / (c(v) + K) of the
@@ -33,8 +33,8 @@ from factloom.llm.words import column, groups, mix, words
 from factloom.shared import cut, partitions
 
 U = np.uint64
-#: Bits of the filter, probes a level, words that are broadcast with exact counts at most, words of context weight K.
-BITS, PROBES, HEAD, CONTEXT = 1 << 29, 6, 1 << 18, 4.0
+#: Bits of the filter, probes a level, share of a segment's bits that is asked for at most, words that are broadcast with exact counts at most, words of context weight K.
+BITS, PROBES, FULL, HEAD, CONTEXT = 1 << 29, 4, 0.6, 1 << 18, 4.0
 END = U(0x5851F42D4C957F2D)
 PAIR = U((1 << 48) - 1)
 _A, _B, _C = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
@@ -122,8 +122,8 @@ def _spots(keys: np.ndarray, at: int, probe: int, size: int) -> np.ndarray:
 
 
 def least(c1: np.ndarray, c2: np.ndarray, size: int) -> int:
-    """The least count of a pair with which at most half of a segment's bits can be set."""
-    room = size // 2 // PROBES - int(level(c1).sum())
+    """The least count of a pair with which at most ``FULL`` of a segment's bits are asked for."""
+    room = int(FULL * size) // PROBES - int(level(c1).sum())
     levels = level(c2)
     limit = 1
     while int(levels[c2 >= limit].sum()) > max(room, 0) and limit <= (int(c2.max()) if len(c2) else 0):
@@ -165,7 +165,7 @@ def _build(size: int):
     def done(k: int, ones: _Sums, twos: _Sums) -> Iterator[pa.RecordBatch]:
         one, c1 = ones.total()
         two, c2 = twos.total()
-        own = max(size, -(-2 * PROBES * int(level(c1).sum()) // 8) * 8)  # words fill half of it at most
+        own = max(size, math.ceil(PROBES * int(level(c1).sum()) / FULL / 8) * 8)  # words ask for FULL of it at most
         bits, limit = segment(one, c1, two, c2, own).tobytes(), least(c1, c2, own)
         rare = c2 < limit
         for name, keys, counts in (("word", one, c1), ("pair", two[rare], c2[rare])):
