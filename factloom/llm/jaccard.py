@@ -39,8 +39,8 @@ from factloom.operators.components import components, counted, forest
 from factloom.shared import among, cut, fresh, partitions, without
 
 U = np.uint64
-#: Sets of a chunk of a family; signatures that a task combines at a time.
-CHUNK, COMBINED = 250, 1 << 21
+#: Sets of a chunk of a family, and their elements; signatures that a task combines at a time; elements whose signatures make a block, at most on average.
+CHUNK, ELEMENTS, COMBINED, BLOCK = 250, 1 << 20, 1 << 19, 1 << 22
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,15 +144,15 @@ def _sets_of(k: int, percent: int, blocks: int):
         order = np.argsort(block, kind="stable")
         sig, who = sig[order], who[order]
         at = np.searchsorted(block[order], np.arange(blocks + 1))
-        edge = np.searchsorted(np.arange(len(a)) * blocks // max(1, len(a)), np.arange(blocks + 1))  # edges go anywhere
+        full = np.flatnonzero(np.diff(at))
+        edge = np.arange(len(full) + 1) * len(a) // max(1, len(full))  # edges go anywhere
         rows = []
-        for x in range(blocks):
-            p, q, r, t = at[x], at[x + 1], edge[x], edge[x + 1]
-            if p < q or r < t:
-                own, ref = np.unique(who[p:q], return_inverse=True)
-                five = sig[p:q].view(np.uint8).reshape(-1, 8)[:, 3:]  # a block holds too few for 40 bits to clash often, and a clash only costs work
-                ref = ref.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32)
-                rows.append((x, b"".join(v.tobytes() for v in (np.array([q - p, len(own), t - r], np.int64), own, a[r:t], b[r:t], five, ref))))
+        for i, x in enumerate(full.tolist()):
+            p, q, r, t = at[x], at[x + 1], edge[i], edge[i + 1]
+            own, ref = np.unique(who[p:q], return_inverse=True)
+            five = sig[p:q].view(np.uint8).reshape(-1, 8)[:, 3:]  # a block holds too few for 40 bits to clash often, and a clash only costs work
+            ref = ref.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32)
+            rows.append((x, b"".join(v.tobytes() for v in (np.array([q - p, len(own), t - r], np.int64), own, a[r:t], b[r:t], five, ref))))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,18 +285,24 @@ def _search(k: int, percent: int):
     """Rows (family, i, j, side, label, c, text), those of a group (family, i, j) together, to the links of each group; of rows with one
     side and class, one counts. Pairs of one side are looked at only where i = j."""
 
-    def done(held: list) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(held).combine_chunks()
-        both, label, c = (rows[x].to_numpy() for x in ("side", "label", "c"))
-        _, one = np.unique(np.stack([both, c]), axis=1, return_index=True)
-        data, offs = column(rows["text"])
-        sets, at = shingle_sets(data, offs, k)
-        side = both[one].tolist() if rows["i"][0] != rows["j"][0] else None
-        links = divide_skip([sets[at[x] : at[x + 1]] for x in one], percent, side, label[one].tolist()) if len(one) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([c[one[x[e]]] for x in links], pa.int64()) for e in (0, 1)], ["a", "b"])
+    def taken(batch: pa.RecordBatch, held: dict) -> None:
+        """Adds the sets of a batch to ``held``, by side and class, with their labels; its texts are not kept."""
+        data, offs = column(batch.column(batch.schema.get_field_index("text")))
+        names = list(zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("side", "c", "label"))))
+        for i, j in groups(offs):
+            sets, at = shingle_sets(data, offs[i : j + 1], k)
+            for x, (side, c, label) in enumerate(names[i:j]):
+                if (side, c) not in held:
+                    held[side, c] = label, sets[at[x] : at[x + 1]].copy()
+
+    def done(now: tuple, held: dict) -> pa.RecordBatch:
+        side = [x for x, _ in held] if now[1] != now[2] else None
+        c = [x for _, x in held]
+        links = divide_skip([x for _, x in held.values()], percent, side, [x for x, _ in held.values()]) if len(held) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([c[x[e]] for x in links], pa.int64()) for e in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held = None, {}
         for batch in batches:
             if not len(batch):
                 continue
@@ -304,12 +310,12 @@ def _search(k: int, percent: int):
             edge = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), len(batch)]
             for a, b in zip(edge[:-1], edge[1:]):
                 if held and tuple(key[:, a]) != now:
-                    yield done(held)
-                    held = []
+                    yield done(now, held)
+                    held = {}
                 now = tuple(key[:, a])
-                held.append(batch.slice(a, b - a))
+                taken(batch.slice(a, b - a), held)
         if held:
-            yield done(held)
+            yield done(now, held)
 
     return run
 
@@ -380,7 +386,7 @@ def _counted(blocks: int):
         order = np.argsort(to, kind="stable")
         at = np.searchsorted(to[order], np.arange(blocks + 1))
         c, shared = c[order], shared[order].astype(np.uint32)
-        full = [x for x in range(blocks) if at[x] < at[x + 1]]
+        full = np.flatnonzero(np.diff(at)).tolist()
         return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([c[at[x] : at[x + 1]].tobytes() + shared[at[x] : at[x + 1]].tobytes() for x in full], pa.binary())], ["block", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,9 +422,14 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(shared.astype(np.int64))], ["c", "shared"])
 
 
-def _families(texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _blocks(sizes: DataFrame) -> int:
+    """Into how many blocks the elements of sets of sizes n are dealt: as many as their number asks for, so what a task holds does not grow with it."""
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return max(partitions(sizes.sparkSession), -(-int(total) // BLOCK))
+
+
+def _families(texts: DataFrame, k: int, percent: int, blocks: int) -> DataFrame:
     """(node, component): the family of every class of ``texts`` (text) that shares a signature with another."""
-    blocks = partitions(texts.sparkSession)
     packed = texts.mapInArrow(_sets_of(k, percent, blocks), "block int, packed binary")
     return components(packed.repartitionById(blocks, "block").mapInArrow(_ties, "a long, b long"), done=True)
 
@@ -426,7 +437,7 @@ def _families(texts: DataFrame, k: int, percent: int) -> DataFrame:
 def _supported(texts: DataFrame, big: DataFrame, k: int, percent: int) -> DataFrame:
     """``big`` (c, n, ...), members of large families, with ``share``, how many of a set's elements are in another set of ``texts``, and without those
     sets that can't have a partner. Elements that share a hash are counted as one, which keeps sets but drops none."""
-    blocks = partitions(texts.sparkSession)
+    blocks = _blocks(big)
     dealt = texts.mapInArrow(_dealt(k, blocks), "block int, packed binary")
     counted = dealt.repartitionById(blocks, "block").mapInArrow(_counted(blocks), "block int, packed binary")
     shared = counted.repartitionById(blocks, "block").mapInArrow(_summed, "c long, shared long")
@@ -434,8 +445,8 @@ def _supported(texts: DataFrame, big: DataFrame, k: int, percent: int) -> DataFr
 
 
 def _chunked(rows: DataFrame, by: list[str], chunk: int) -> DataFrame:
-    """``rows`` with the number of chunks of their group, and theirs."""
-    sizes = rows.groupBy(*by).agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    """``rows`` with the number of chunks of their group, which have about ``chunk`` sets and ``ELEMENTS`` elements at most, and theirs."""
+    sizes = rows.groupBy(*by).agg(F.ceil(F.greatest(F.count("*") / chunk, F.sum("n") / ELEMENTS)).cast("int").alias("chunks"))
     return rows.join(sizes, by).withColumn("chunk", F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int"))
 
 
@@ -451,7 +462,7 @@ def _linked(rows: DataFrame, k: int, percent: int) -> DataFrame:
 def _links(docs: DataFrame, member: DataFrame, k: int, percent: int, chunk: int) -> tuple[DataFrame, int]:
     """Links that connect the classes of ``member`` (c, d, n, k, family) exactly as all linked pairs do, stored, and their number."""
     alone = lambda rows: rows.select("family", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), F.col("c").alias("label"), "c", "text")
-    sizes = lambda rows: rows.groupBy("family").agg((F.count("*") > chunk).alias("large"))
+    sizes = lambda rows: rows.groupBy("family").agg(((F.count("*") > chunk) | (F.sum("n") > ELEMENTS)).alias("large"))
     member, n = counted(member.join(sizes(member), "family"), "members", "large")
     some = member
     if n:  # else there is no large family
@@ -467,33 +478,33 @@ def _links(docs: DataFrame, member: DataFrame, k: int, percent: int, chunk: int)
 
     # without the sets that were dropped, what chained large families together is mostly gone: their rest is routed once more
     texts = held.where("large").select("c", "n", "text")
-    again = texts.select("c", "n").join(_families(texts.select("text"), k, percent), F.col("c") == F.col("node")).select("c", "n", F.col("component").alias("family"))
+    again = texts.select("c", "n").join(_families(texts.select("text"), k, percent, _blocks(texts)), F.col("c") == F.col("node")).select("c", "n", F.col("component").alias("family"))
     again, n = counted(again.join(sizes(again), "family"), "members", "large")
     if not n:
         small = held.where("not large").select("family", "c", "text").unionByName(texts.select("c", "text").join(again.select("c", "family"), "c").select("family", "c", "text"))
         return counted(_linked(alone(small), k, percent), "links")
     big = cut(_supported(texts.select("text"), again.where("large"), k, percent), "supported")
     hubs = big.groupBy("family").agg(F.max_by("c", F.struct("share", "c")).alias("hub"))
-    dealt = _chunked(big, ["family"], chunk).join(hubs, "family").select("c", "family", "chunk", "chunks", "hub")
-    dealt = again.where("not large").select("c", "family", F.lit(0).alias("chunk"), F.lit(1).alias("chunks"), F.lit(None).cast("long").alias("hub")).unionByName(dealt)
+    dealt = _chunked(big, ["family"], chunk).join(hubs, "family").select("c", "n", "family", "chunk", "chunks", "hub")
+    dealt = again.where("not large").select("c", "n", "family", F.lit(0).alias("chunk"), F.lit(1).alias("chunks"), F.lit(None).cast("long").alias("hub")).unionByName(dealt)
     dealt = cut(texts.select("c", "text").join(dealt, "c"), "dealt")
     every = F.expr("explode(if(c = hub, sequence(0, chunks - 1), array(chunk)))")
     first = held.where("not large").select("c", "text", "family", F.lit(0).alias("i")).unionByName(dealt.select("c", "text", "family", every.alias("i")))
     links, n = counted(_linked(first.select("family", "i", F.col("i").alias("j"), F.lit(0).alias("side"), F.col("c").alias("label"), "c", "text"), k, percent), "links")
 
     # what the largest component of a large family leaves out meets all its chunks
-    dealt = dealt.where("hub is not null").select("c", "family", "text")
-    told = dealt.select("c", "family").join(components(links, size=n), F.col("c") == F.col("node"), "left").select("c", "family", F.coalesce("component", "c").alias("label"))
+    dealt = dealt.where("hub is not null").select("c", "n", "family", "text")
+    told = dealt.select("c", "n", "family").join(components(links, size=n), F.col("c") == F.col("node"), "left").select("c", "n", "family", F.coalesce("component", "c").alias("label"))
     told = cut(told, "labels")
     most = told.groupBy("family", "label").agg(F.count("*").alias("size")).groupBy("family").agg(F.max_by("label", F.struct("size", "label")).alias("most"), F.count("*").alias("labels"))
-    told = told.join(most.where("labels > 1"), "family").select("c", "family", "label", (F.col("label") != F.col("most")).alias("rest"))
+    told = told.join(most.where("labels > 1"), "family").select("c", "n", "family", "label", (F.col("label") != F.col("most")).alias("rest"))
     told, left = counted(_chunked(told, ["family", "rest"], 4 * chunk), "rest", "rest")
     if not left:
         return links, n
     ends = told.groupBy("family").agg(F.max(F.when(F.col("rest"), F.col("chunks"))).alias("rests"), F.max(F.when(~F.col("rest"), F.col("chunks"))).alias("mains"))
     told = told.join(ends, "family").select("c", "label", "rest", F.when(F.col("rest"), F.col("chunk")).otherwise(F.col("chunk") + F.col("rests")).alias("x"), "rests", (F.col("rests") + F.col("mains")).alias("all"))
     other = F.expr("explode(sequence(0, if(rest, all, rests) - 1))")
-    met = dealt.join(told, "c").withColumn("o", other)
+    met = dealt.drop("n").join(told, "c").withColumn("o", other)
     met = met.select("family", F.least("x", "o").alias("i"), F.greatest("x", "o").alias("j"), (F.col("x") > F.col("o")).cast("int").alias("side"), "label", "c", "text")
     more, m = counted(_linked(met, k, percent), "links")
     return links.unionByName(more), n + m
@@ -512,7 +523,7 @@ def resolved(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("head")
     reps = cut(sized.where("n > 0").groupBy("c", "d", "n").agg(head), "classes")
 
-    member = reps.join(_families(docs.select("text"), k, percent), F.col("c") == F.col("node")).select("c", "d", "n", F.col("head.k").alias("k"), F.col("component").alias("family"))
+    member = reps.join(_families(docs.select("text"), k, percent, _blocks(sized)), F.col("c") == F.col("node")).select("c", "d", "n", F.col("head.k").alias("k"), F.col("component").alias("family"))
     links, n = _links(docs, member, k, percent, chunk)
     tops = components(links, size=n)
 
