@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from factloom.config import CONFIG
 from factloom.functions import text as T
+from factloom.operators.components import counted
 from factloom.operators.ids import first_by, last_by, ordinals, top_by
 from factloom.shared import cut
 
@@ -135,13 +136,21 @@ def seeds(changes: DataFrame, nodes: DataFrame, fallback: int = 5) -> DataFrame:
 
 
 def within(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, k: int = 1, near: DataFrame | None = None) -> DataFrame:
-    """(node_id, hops) of the nodes at most ``k`` undirected steps from a seed that is in the graph. ``near``: the neighbours, if they are there."""
+    """(node_id, hops) of the nodes at most ``k`` undirected steps from a seed that is in the graph. ``near``: the neighbours, if they are there.
+
+    A loop over the frontier: each step joins the nodes that the last one reached, stored, with their neighbours, and leaves out those seen before; it
+    ends early where nothing new is reached. A step reads stored tables only, so the plan grows by one table a step."""
     n = cut(neighbours(nodes, edges), "near") if near is None else near
-    at = seeds.select("node_id").distinct().join(nodes.select("node_id").distinct(), "node_id", "left_semi").withColumn("hops", F.lit(0))
+    start = seeds.select("node_id").distinct().join(nodes.select("node_id").distinct(), "node_id", "left_semi")
+    frontier, size = counted(start.withColumn("hops", F.lit(0)), "hop")
+    seen = frontier
     for i in range(1, k + 1):
-        step = at.where(F.col("hops") == i - 1).join(n, F.col("node_id") == F.col("u")).select(F.col("v").alias("node_id"), F.lit(i).alias("hops"))
-        at = at.unionByName(step).groupBy("node_id").agg(F.min("hops").alias("hops"))
-    return at
+        if not size:
+            break
+        reached = frontier.select(F.col("node_id").alias("u")).join(n, "u").select(F.col("v").alias("node_id")).distinct()
+        frontier, size = counted(reached.join(seen.select("node_id"), "node_id", "left_anti").withColumn("hops", F.lit(i)), "hop")
+        seen = seen.unionByName(frontier)
+    return seen
 
 
 def focus(nodes: DataFrame, edges: DataFrame, found: DataFrame, most: int, near: DataFrame | None = None) -> DataFrame:

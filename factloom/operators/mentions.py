@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.config import CONFIG, Config
 from factloom.functions import text as T
 from factloom.operators import models, oracle
 from factloom.operators.ids import first_by, ordinals, top_by
+from factloom.operators.sweep import without_overlaps
 
 
 def sentence_table(pages: DataFrame, by: str = "page_no", number: bool = True) -> DataFrame:
@@ -35,25 +36,9 @@ def cleaned(mentions: DataFrame, rules: str = "full", limits: Config = CONFIG) -
 
 
 def resolve_overlaps(mentions: DataFrame, sentence: str = "sentence_id") -> DataFrame:
-    """Mentions of one sentence and type without overlaps: by start, then longer ones, each is dropped if a kept one that it
-    overlaps is longer, or as long and no less sure; otherwise the first kept one that it overlaps gives way to it.
-
-    A fold over each (sentence, type); a sentence's mentions are few. Columns: start_char, end_char, confidence, ord, mention and others."""
-    keys = [sentence, "ent_type"]
-    rest = [c for c in mentions.columns if c not in keys]
-    item = F.struct(F.col("start_char").alias("_s"), (F.col("start_char") - F.col("end_char")).alias("_l"), F.col("ord").alias("_o"), *rest)
-    grouped = mentions.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("all"))
-    kind = grouped.schema["all"].dataType.simpleString()
-
-    def step(kept: Column, e: Column) -> Column:
-        meets = F.filter(kept, lambda k: (e["end_char"] > k["start_char"]) & (e["start_char"] < k["end_char"]))
-        # only the first overlapping kept mention decides
-        k = F.get(meets, F.lit(0))
-        loses = (e["_l"] > k["_l"]) | ((e["_l"] == k["_l"]) & (e["confidence"] <= k["confidence"]))
-        return F.when(F.size(meets) == 0, F.array_append(kept, e)).when(loses, kept).otherwise(F.array_append(F.array_remove(kept, k), e))
-
-    folded = grouped.withColumn("kept", F.aggregate("all", F.expr(f"cast(array() as {kind})"), step))
-    return folded.select(*keys, F.explode("kept").alias("k")).select(*keys, *[F.col(f"k.{c}").alias(c) for c in rest])
+    """Mentions of one sentence and type without overlaps: by start, then longer ones, each is dropped if the first kept one that it
+    overlaps is longer, or as long and no less sure; otherwise that one gives way to it. Columns: start_char, end_char, confidence, ord, mention and others."""
+    return without_overlaps(mentions, [sentence, "ent_type"])
 
 
 def first_mentions(mentions: DataFrame, page: str, order: list) -> DataFrame:

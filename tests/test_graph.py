@@ -76,6 +76,60 @@ def test_overlaps_match_the_plain_loop(spark):
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
 
 
+def test_overlaps_of_a_hot_sentence(spark):
+    """100,000 mentions of one sentence, in one group; spans without length and nulls among others."""
+    import time
+
+    draw = random.Random(4)
+    spans = [(a := draw.randrange(400_000), a + draw.randrange(1, 12), draw.choice([0.5, 0.7]), i) for i in range(100_000)]
+    df = spark.createDataFrame([("s", "T", *x) for x in spans], "sentence_id string, ent_type string, start_char int, end_char int, confidence double, ord int").cache()
+    df.count()
+    began = time.time()
+    got = sorted(tuple(r)[2:] for r in mentions.resolve_overlaps(df).collect())
+    assert time.time() - began < 60
+    # the plain loop over stretches that no mention crosses
+    want, part, end = [], [], -1
+    for x in sorted(spans):
+        if x[0] >= end:
+            want += plain_overlaps(sorted(part, key=lambda x: (x[0], x[0] - x[1], x[3])))
+            part = []
+        part.append(x)
+        end = max(end, x[1])
+    want += plain_overlaps(sorted(part, key=lambda x: (x[0], x[0] - x[1], x[3])))
+    assert got == sorted(want)
+    odd = [("s", "T", None, 4, 0.5, 0), ("s", "T", 3, None, 0.5, 1), ("s", "T", 2, 6, None, 2), ("s", "T", 3, 3, 0.9, 3), ("s", "T", 2, 2, 0.9, 4), ("s", None, 2, 5, 0.9, 5), (None, None, 2, 5, 0.9, 6), ("s", "T", 2, 6, 0.5, 7)]
+    odd = spark.createDataFrame(odd, df.schema)
+    assert sorted(r["ord"] for r in mentions.resolve_overlaps(odd).collect()) == [0, 1, 4, 5, 6, 7]
+    assert mentions.resolve_overlaps(odd.where("false")).count() == 0
+
+
+def test_far_neighbours_by_frontiers(spark):
+    """Six steps and more on a random graph, a path and a star, against a plain walk; the plan grows by a table a step."""
+    draw = random.Random(6)
+    pairs = [(f"p{i}", f"p{i + 1}") for i in range(9)] + [(f"r{draw.randrange(60)}", f"r{draw.randrange(60)}") for _ in range(70)] + [("hub", f"l{i}") for i in range(50)] + [("p2", "nowhere")]
+    known = {x for p in pairs for x in p} - {"nowhere"}
+    n = spark.createDataFrame([(x, i) for i, x in enumerate(sorted(known))], "node_id string, ord long")
+    e = spark.createDataFrame(pairs, "src_id string, dst_id string")
+    near = {x: set() for x in known}
+    for a, b in pairs:
+        if a != b and {a, b} <= known:
+            near[a].add(b)
+            near[b].add(a)
+
+    def walk(seeds, k):
+        at, front = {s: 0 for s in seeds if s in known}, [s for s in seeds if s in known]
+        for i in range(1, k + 1):
+            front = [v for v in sorted({v for u in front for v in near[u]}) if v not in at]
+            at |= {v: i for v in front}
+        return at
+
+    for seeds, k in ((["p0"], 6), (["p0", "r1", "gone"], 12), (["hub"], 1), (["l3"], 6), (["gone"], 3), (["p5"], 0)):
+        got = graph.within(n, e, spark.createDataFrame([(s,) for s in seeds], "node_id string"), k)
+        assert {(r["node_id"], r["hops"]) for r in got.collect()} == set(walk(seeds, k).items()), (seeds, k)
+    scans = lambda k: graph.within(n, e, n.where("node_id = 'p0'"), k)._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert scans(2) <= 3 and scans(6) <= 7
+
+
 def plain_relaxed(b, t, least=0.88):
     from difflib import SequenceMatcher
 

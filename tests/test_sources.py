@@ -1,8 +1,12 @@
 """Readers, writers, model-backed steps and the incremental stream."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from factloom.operators import oracle, study
+from factloom.operators.mentions import word_mentions
 from factloom.sources import tables
-from factloom.streaming.incremental import append_mentions
+from factloom.streaming.incremental import append_mentions, new_sentences
 
 
 def test_pages(spark):
@@ -49,6 +53,103 @@ def test_study(spark):
     assert {r["method"]: r["f"] for r in study.means(c, 2).collect()} == {"A": 0.56, "B": 0.5}
 
 
+def test_calls_are_in_flight_together_and_replies_stay_with_their_rows(spark):
+    import threading
+    import time
+
+    def slow(row):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.02)
+        with lock:
+            now[0] -= 1
+        return f"{row['q']}! {most[0]}"
+
+    class Held:  # made anew in the worker
+        def __call__(self, row):
+            global lock, now, most
+            if "lock" not in globals():
+                lock, now, most = threading.Lock(), [0], [0]
+            return slow(row)
+
+    rows = spark.range(100).select(F.concat(F.lit("q"), F.col("id").cast("string")).alias("q")).coalesce(1)
+    got = oracle.asked(rows, Held(), ["q"], at_once=5).collect()
+    assert all(r["reply"].split("!")[0] == r["q"] for r in got) and max(int(r["reply"].split()[1]) for r in got) == 5
+
+
+def test_a_lost_task_asks_no_row_twice(spark, tmp_path):
+    from collections import Counter
+
+    said, log = tmp_path / "said", str(tmp_path / "log")
+    said.mkdir()
+
+    def model(fatal):
+        def ask(row):
+            with open(f"{said}/{row['q']}", "a") as f:
+                f.write("x")
+            if row["q"] == fatal:
+                raise SystemExit("the worker is gone")
+            if row["q"] == "q3":
+                raise ValueError("refused")
+            return row["q"].upper()
+
+        return ask
+
+    rows = spark.range(60).select(F.concat(F.lit("q"), F.col("id").cast("string")).alias("q")).coalesce(1)
+    with pytest.raises(Exception):  # noqa: B017  whatever Spark makes of it
+        oracle.asked(rows, model("q40"), ["q"], attempts=1, pause=0, at_once=3, log=log).collect()
+    (tmp_path / "log" / "0-torn.jsonl").write_text('["half a li')
+    got = {r["q"]: (r["reply"], r["warning"]) for r in oracle.asked(rows, model(None), ["q"], attempts=1, pause=0, at_once=3, log=log).collect()}
+    assert got == {f"q{i}": (f"Q{i}", "") for i in range(60) if i != 3} | {"q3": (None, "LLM_FAILED: ValueError: refused")}
+    asked = Counter({p.name: len(p.read_text()) for p in said.iterdir()})
+    # only the call that took the worker down and the refused one are made again
+    assert {q for q, n in asked.items() if n > 1} == {"q3", "q40"} and set(asked) == {f"q{i}" for i in range(60)}
+    third = {r["q"]: r["reply"] for r in oracle.asked(rows, model(None), ["q"], attempts=1, pause=0, log=log).collect()}
+    assert third == {q: reply for q, (reply, _) in got.items()} and sum(len(p.read_text()) for p in said.iterdir()) == sum(asked.values()) + 1
+
+
+def test_stream_remembers_what_gave_nothing_and_survives_a_restart(spark, tmp_path):
+    src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
+    row = "sentence_id string, page_no int, text string"
+    add = lambda *rows: spark.createDataFrame(list(rows), row).coalesce(1).write.mode("append").parquet(src)
+    asked = tmp_path / "asked"
+    asked.write_text("")
+
+    def extract(fail):
+        def run(rows):
+            with open(asked, "a") as f:
+                f.write("".join(f"{r['sentence_id']} " for r in rows.orderBy("sentence_id").collect()) + "\n")
+            found = word_mentions(rows, ["sentence_id", "page_no"])
+            return found.withColumn("page_no", F.raise_error(F.lit("lost")).cast("int")) if fail else found
+
+        return run
+
+    add(("s1", 1, "Something happened."), ("s2", 1, "no"), ("s2", 1, "no"), (None, 1, "Nameless"))
+    append_mentions(spark, src, out, ck, extract(False)).awaitTermination()
+    add(("s1", 1, "Something else"), ("s2", 2, "no"), ("s3", 2, "Another sentence"), (None, 1, "Nameless"))
+    with pytest.raises(Exception, match="lost"):
+        append_mentions(spark, src, out, ck, extract(True)).awaitTermination()
+    add(("s4", 3, "Further words"), ("s3", 2, "Another sentence"))
+    append_mentions(spark, src, out, ck, extract(False)).awaitTermination()
+    got = sorted((str(r["sentence_id"]), r["mention"]) for r in spark.read.parquet(out).collect())
+    assert got == sorted([("None", "Nameless"), ("s1", "Something"), ("s1", "happened"), ("s3", "Another"), ("s3", "sentence"), ("s4", "Further")])
+    lines = [x.split() for x in asked.read_text().splitlines() if x.split()]
+    # s2 gave nothing and is not asked again; the batch that failed is repeated as it was
+    assert lines == [["None", "s1", "s2"], ["s3"], ["s3"], ["s4"]]
+    # the output plays no part in what is new
+    plan = new_sentences(spark.readStream.schema(row).parquet(src))
+    assert plan.isStreaming and out not in plan._jdf.queryExecution().toString()
+
+
+def test_streams_with_other_checkpoints_add_to_a_table(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    spark.createDataFrame([("s1", 1, "Something")], "sentence_id string, page_no int, text string").write.parquet(src)
+    for x in "ab":
+        append_mentions(spark, src, out, str(tmp_path / x)).awaitTermination()
+    assert spark.read.parquet(out).count() == 2
+
+
 def test_stream_appends_each_sentence_once(spark, tmp_path):
     src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
     row = "sentence_id string, page_no int, text string"
