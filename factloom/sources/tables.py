@@ -7,20 +7,53 @@ from pyspark.sql import functions as F
 
 from factloom.config import EDGE_COLUMNS, NODE_COLUMNS
 from factloom.functions import text as T
+from factloom.sources.quoted import read_quoted
 
 #: Words that count as missing for readers that treat them so; fixed values.
-MISSING = ("", "#N/A", "#NA", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
 def read_tsv(spark: SparkSession, path: str, quoted: bool = True, missing: bool = False) -> DataFrame:
     """A table with a header, all columns strings, null as "", with ``ord`` in file order; with ``missing``, words for missing values as ""."""
-    r = spark.read.option("sep", "\t").option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE")
-    r = r.option("quote", '"').option("escape", '"').option("multiLine", True) if quoted else r.option("quote", "")
-    df = r.csv(path)
-    df = df.toDF(*[c.lstrip("﻿") for c in df.columns]).na.fill("")
+    if quoted:
+        df = read_quoted(spark, path)
+    else:
+        df = spark.read.option("sep", "\t").option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").option("quote", "").csv(path)
+        df = df.toDF(*[c.lstrip("﻿") for c in df.columns]).na.fill("").withColumn("ord", F.monotonically_increasing_id())
     if missing:
-        df = df.select(*[F.when(F.col(f"`{c}`").isin(*MISSING), "").otherwise(F.col(f"`{c}`")).alias(c) for c in df.columns])
-    return df.withColumn("ord", F.monotonically_increasing_id())
+        df = df.select(*[F.when(F.col(f"`{c}`").isin(*MISSING), "").otherwise(F.col(f"`{c}`")).alias(c) for c in df.columns if c != "ord"], "ord")
+    return df
+
+
+def inferred(df: DataFrame, missing: tuple[str, ...] = MISSING) -> DataFrame:
+    """String columns with the least type that holds all their values, words for missing values being null; ``ord`` and other columns stay.
+
+    One pass counts, for every column, the values that are there and those that each type can hold. The types are ordered: whole numbers are below decimal ones, these and
+    truth values below strings. A gap makes whole numbers decimal and truth values strings; a column of gaps alone is decimal, one of no rows a string."""
+    own = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
+    if not own:
+        return df
+    value = {c: F.when(~F.col(f"`{c}`").isin(*missing), F.trim(F.col(f"`{c}`"))) for c in own}
+    number = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$|^(?i)[+-]?inf(inity)?$"
+    tests = {
+        "there": lambda v: v.isNotNull(),
+        "bigint": lambda v: v.rlike("^[+-]?[0-9]+$") & v.try_cast("bigint").isNotNull(),
+        "double": lambda v: v.rlike(number),
+        "boolean": lambda v: v.isin("True", "TRUE", "true", "False", "FALSE", "false"),
+    }
+    counts = [F.struct(*[F.count_if(test(value[c])).alias(t) for t, test in tests.items()]).alias(f"c{i}") for i, c in enumerate(own)]
+    told = df.agg(F.count("*").alias("rows"), *counts).first()
+    kinds = {}
+    for i, c in enumerate(own):
+        n, gaps = told[f"c{i}"], told["rows"] > told[f"c{i}"]["there"]
+        holds = [t for t in ("bigint", "boolean", "double") if n[t] == n["there"] and not (gaps and t != "double")]
+        kinds[c] = holds[0] if holds and told["rows"] else "string"
+    return df.select(*[(value[c].cast(kinds[c]) if kinds[c] != "string" else F.when(value[c].isNotNull(), F.col(f"`{c}`"))).alias(c) if c in kinds else F.col(f"`{c}`") for c in df.columns])
+
+
+def read_inferred(spark: SparkSession, path: str) -> DataFrame:
+    """A table with a header and quoted fields whose columns have the types of their values."""
+    return inferred(read_quoted(spark, path))
 
 
 def read_positional(spark: SparkSession, path: str, names: list[str], ints: tuple[str, ...] = ("page_no",)) -> DataFrame:
@@ -97,19 +130,6 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return parse_pages(files, "lecture")
 
 
-def read_scans(spark: SparkSession, path: str, recognise, most: int | None = None) -> DataFrame:
-    """(lecture, page_no, text) of scanned files: ``recognise`` turns a file's bytes into its pages' texts, in the workers."""
-    import pandas as pd
-
-    def run(parts):
-        for part in parts:
-            rows = [(p.rsplit("/", 1)[-1].rsplit(".", 1)[0], i, t) for p, c in zip(part["path"], part["content"]) for i, t in enumerate(recognise(bytes(c)), 1) if most is None or i <= most]
-            yield pd.DataFrame(rows, columns=["lecture", "page_no", "text"])
-
-    pages = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "lecture string, page_no int, text string")
-    return pages.withColumn("text", T.page_text("text"))
-
-
 def page_lines(pages: DataFrame) -> DataFrame:
     """One text column in the page format, for a text writer."""
     return pages.select(F.concat(F.lit("=== Page "), F.col("page_no").cast("string"), F.lit(" ===\n"), F.coalesce("text", F.lit("")), F.lit("\n")).alias("value"))

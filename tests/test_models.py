@@ -149,8 +149,6 @@ def test_other_formats(spark, tmp_path):
     pages.transform(tables.page_lines).coalesce(1).write.text(str(tmp_path / "pages"))
     back = tables.read_pages(spark, str(tmp_path / "pages")).orderBy("page_ord").collect()
     assert [(r["page_no"], r["text"]) for r in back] == [(1, "a b"), (2, "")]
-    scans = tables.read_scans(spark, str(tmp_path / "prompts"), lambda raw: raw.decode().split("\n"), most=1).collect()
-    assert [tuple(r) for r in scans] == [("bloom", 1, "Write")]
 
 
 def test_upserts_come_in_batches(spark):
