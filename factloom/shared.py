@@ -7,9 +7,14 @@ them again. The folder is only chosen here when a session on one machine names n
 
 from __future__ import annotations
 
+import ctypes
+import itertools
 import re
+import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,14 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
         if held.isEmpty():
             if not re.match(r"local(\[|$)", spark.sparkContext.master):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))  # one machine: a folder of this session's own
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get()
     return f"{base}/factloom/{spark.sparkContext.applicationId}"
 
 
+#: Spark lets go of broadcasts, shuffles and compiled code of plans that are gone when the driver collects garbage; a long job of small plans seldom does.
+_EVERY, _cuts = 8, itertools.count(1)
+
+
 def cut(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and return a scan of what was written."""
+    """Write ``df`` to the shared folder and return a scan of what was written. Every eighth table the driver collects garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     held = spark.conf.get(_CLEANED, "false")
@@ -41,11 +50,26 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANED, held)
+    if next(_cuts) % _EVERY == 0:
+        spark._jvm.System.gc()
     table = spark.read.schema(df.schema).parquet(path)
     table._stored = path
     return table
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow after whose end the worker, which waits for its next task, gives back the memory that it no longer uses."""
+
+    def then(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; other libraries need none
+        if trim is not None:
+            trim(0)
+
+    return then
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete the files of tables of ``cut`` that nothing reads again."""
     for table in tables:
