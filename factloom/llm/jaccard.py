@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.words import column, groups, mix, words
 from factloom.operators.components import components, counted, forest
-from factloom.shared import among, cut, fresh, partitions, without
+from factloom.shared import among, cut, fresh, partitions, released, without
 
 U = np.uint64
 #: Sets of a chunk of a family, and their elements; signatures that a task combines at a time; elements whose signatures make a block, at most on average.
@@ -430,17 +430,17 @@ def _blocks(sizes: DataFrame) -> int:
 
 def _families(texts: DataFrame, k: int, percent: int, blocks: int) -> DataFrame:
     """(node, component): the family of every class of ``texts`` (text) that shares a signature with another."""
-    packed = texts.mapInArrow(_sets_of(k, percent, blocks), "block int, packed binary")
-    return components(packed.repartitionById(blocks, "block").mapInArrow(_ties, "a long, b long"), done=True)
+    packed = texts.mapInArrow(released(_sets_of(k, percent, blocks)), "block int, packed binary")
+    return components(packed.repartitionById(blocks, "block").mapInArrow(released(_ties), "a long, b long"), done=True)
 
 
 def _supported(texts: DataFrame, big: DataFrame, k: int, percent: int) -> DataFrame:
     """``big`` (c, n, ...), members of large families, with ``share``, how many of a set's elements are in another set of ``texts``, and without those
     sets that can't have a partner. Elements that share a hash are counted as one, which keeps sets but drops none."""
     blocks = _blocks(big)
-    dealt = texts.mapInArrow(_dealt(k, blocks), "block int, packed binary")
-    counted = dealt.repartitionById(blocks, "block").mapInArrow(_counted(blocks), "block int, packed binary")
-    shared = counted.repartitionById(blocks, "block").mapInArrow(_summed, "c long, shared long")
+    dealt = texts.mapInArrow(released(_dealt(k, blocks)), "block int, packed binary")
+    counted = dealt.repartitionById(blocks, "block").mapInArrow(released(_counted(blocks)), "block int, packed binary")
+    shared = counted.repartitionById(blocks, "block").mapInArrow(released(_summed), "c long, shared long")
     return big.join(shared, "c").where(F.col("shared") * 100 >= percent * F.col("n")).withColumn("share", F.col("shared") / F.col("n")).drop("shared")
 
 
@@ -456,7 +456,7 @@ _GROUP = ["family", "i", "j"]
 def _linked(rows: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) of classes in each group of rows (family, i, j, side, label, c, text)."""
     rows = rows.select(*_GROUP, "side", "label", "c", "text")
-    return rows.repartition(partitions(rows.sparkSession), *_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_search(k, percent), "a long, b long")
+    return rows.repartition(partitions(rows.sparkSession), *_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(released(_search(k, percent)), "a long, b long")
 
 
 def _links(docs: DataFrame, member: DataFrame, k: int, percent: int, chunk: int) -> tuple[DataFrame, int]:
@@ -470,7 +470,7 @@ def _links(docs: DataFrame, member: DataFrame, k: int, percent: int, chunk: int)
         some = cut(_supported(among(docs, "k", big.select("k")).select("text"), big, k, percent).drop("share").unionByName(member.where("not large")), "some")
 
     near = among(docs, "k", some.select("k")).select("k", "text")  # other texts stay where they are
-    near = near.mapInArrow(_sized(k, True), "k string, text string, n long, c long, d long").drop("n")  # a key may have several texts
+    near = near.mapInArrow(released(_sized(k, True)), "k string, text string, n long, c long, d long").drop("n")  # a key may have several texts
     one = [F.first(x).alias(x) for x in ("n", "family", "large", "text")]  # and several rows of one text
     held, n = counted(near.join(some, ["k", "c", "d"]).groupBy("k", "c", "d").agg(*one), "texts", "large")
     if not n:
@@ -519,7 +519,7 @@ def resolved(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     """(k, doc_id, n, c, d, component_id, first) for every row of ``docs``: its key as text, the size and name of its set, the smallest key
     of its component, and whether it is the component's first, that is, has this key and the first set of this key."""
     docs = docs.select(_key(key, text).alias("k"), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sized = cut(docs.mapInArrow(_sized(k), "k string, doc_id long, n long, c long, d long"), "sized")
+    sized = cut(docs.mapInArrow(released(_sized(k)), "k string, doc_id long, n long, c long, d long"), "sized")
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("head")
     reps = cut(sized.where("n > 0").groupBy("c", "d", "n").agg(head), "classes")
 
@@ -553,7 +553,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     mixed = keys.where(~stay & (F.col("firsts") > 0)).select(F.col("k").alias(name))
     some = among(marked, name, mixed).join(mixed, name)  # a semi join would be moved below the filter, to all rows
     rows = some.select(F.struct(*docs.columns).alias("row"), F.col(name).alias("k"), F.col(text).cast("string").alias("text"))
-    sets = rows.mapInArrow(_sized(k), rows.drop("text").schema.add("n", "long").add("c", "long").add("d", "long"))
+    sets = rows.mapInArrow(released(_sized(k)), rows.drop("text").schema.add("n", "long").add("c", "long").add("d", "long"))
     good = found.where("first and n > 0").select("k", "c", "d").distinct()
     one = sets.where("n > 0").join(good, ["k", "c", "d"], "left_semi").groupBy("k", "c", "d").agg(F.min_by("row", F.to_json("row")).alias("row"))
     rest = one.select("row.*").unionByName(sets.where("n = 0").select("row.*"))
