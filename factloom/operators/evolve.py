@@ -106,6 +106,11 @@ def suggestions(revisions: DataFrame, nodes: DataFrame, edges: DataFrame, t_node
     return log.select(T.numbered("u", F.col("_n")).alias("update_id"), "qid", "action", "entity1_name", "entity2_name", blank.alias("entity1_id"), blank.alias("entity2_id"), blank.alias("relation_type_old"), "relation_type_new", "reason", "revision_reason")
 
 
+def action_counts(log: DataFrame) -> DataFrame:
+    """(action, n): the rows of a log by action; rows without one count under null."""
+    return log.groupBy("action").agg(F.count("*").alias("n"))
+
+
 def sequenced(log: DataFrame) -> DataFrame:
     """The log with its order of application: qid, action, update_id."""
     kept = log.select(*[T.strip(c).alias(c) if c != "reason" else F.col(c) for c in log.columns]).withColumn("_k", _rank())

@@ -346,16 +346,14 @@ def struct_dups(spark, sf_dir):
     return r.select("n", "triples", "self_loops", F.round("duplicate_ratio", 9).alias("duplicate_ratio"), F.round("self_loop_ratio", 9).alias("self_loop_ratio"))
 
 
-# a part of the graph only (suppliers and parts of 0.2 % of the lines), small enough for recursive SQL; struct_components_whole takes all of it
-_SPARSE = "sp AS (SELECT DISTINCT 's' || CAST(l_suppkey AS STRING) AS src_id, 'p' || CAST(l_partkey AS STRING) AS dst_id FROM lineitem WHERE l_quantity = 1 AND l_discount = 0.05)"
+# the whole reference graph; labels spread along the edges until none falls
+_APART = """sym AS (SELECT src_id AS u, dst_id AS v FROM te UNION SELECT dst_id, src_id FROM te),
+lb(node_id, c) USING KEY (node_id) AS (SELECT node_id, node_id FROM tn UNION SELECT x.v, min(x.c) FROM (SELECT sym.v, lb.c FROM lb JOIN sym ON lb.node_id = sym.u) x JOIN recurring.lb y ON x.v = y.node_id WHERE x.c < y.c GROUP BY x.v)"""
 
 
-@query(f"""WITH RECURSIVE {_SPARSE}, nn AS (SELECT node_id FROM tn WHERE label IN ('supplier', 'part')), sym AS (SELECT src_id AS u, dst_id AS v FROM sp UNION SELECT dst_id, src_id FROM sp),
-w(node_id, c) AS (SELECT node_id, node_id FROM nn UNION SELECT v, c FROM w JOIN sym ON w.node_id = u)
-SELECT node_id, min(c) AS component FROM w GROUP BY node_id""".replace("WITH RECURSIVE ", "WITH "))
+@query(f"WITH {_APART} SELECT node_id, c AS component FROM lb")
 def struct_components(spark, sf_dir):
-    nodes = table(spark, sf_dir, "tn").where("label in ('supplier', 'part')")
-    return structure.component_sizes(nodes, frame(spark, sf_dir, f"WITH {_SPARSE} SELECT * FROM sp"))
+    return structure.component_sizes(table(spark, sf_dir, "tn"), table(spark, sf_dir, "te"))
 
 
 # labels spread along the edges until none falls
@@ -433,7 +431,28 @@ def mcq_template(spark, sf_dir):
     return _questions(spark, sf_dir).drop("ord")
 
 
-@query()
+# every place of a name in the question with its options and in the right option; longer names first, then earlier nodes, none on a place taken before
+_SCORES = f"""{_TEMPLATE}, qm AS (SELECT 'q' || lpad(q::VARCHAR, 4, '0') AS qid, 'Which entity does "' || src_name || '" stand in relation ' || rel || ' to?' AS question, x[1] AS option_a, x[2] AS option_b, x[3] AS option_c, x[4] AS option_d,
+  substr('ABCD', spot + 1, 1) AS answer, kg_fact, '' AS context, x[spot + 1] AS correct FROM qt),
+ky AS (SELECT lower(coalesce(nullif(name, ''), node_id)) AS key, node_id, ord FROM bn), dn AS (SELECT key, min(ord) AS first FROM ky WHERE length(key) >= 2 GROUP BY key),
+tq AS (SELECT qid, 'all' AS w, lower(concat_ws(' ', question, option_a, option_b, option_c, option_d)) AS t FROM qm UNION ALL SELECT qid, 'right', lower(correct) FROM qm),
+oc AS (SELECT qid, w, key, first, t, unnest(range(1, length(t) + 1)) AS i FROM tq JOIN dn ON contains(t, key)),
+it AS (SELECT qid, w, list({{'s': i, 'e': i + length(key), 'k': key}} ORDER BY -length(key), first, i) AS items FROM oc WHERE substr(t, i, length(key)) = key GROUP BY qid, w),
+gr AS (SELECT qid, w, list_transform(list_reduce(list_transform(items, lambda x: [x]), lambda acc, y: CASE WHEN len(list_filter(acc, lambda k: y[1].e > k.s AND y[1].s < k.e)) = 0 THEN list_concat(acc, y) ELSE acc END), lambda x: x.k) AS ks FROM it),
+en AS (SELECT qid, w, list_filter(ks, lambda k, i: list_position(ks, k) = i) AS ks FROM gr),
+tt AS (SELECT qid, list_distinct(list(node_id)) AS ids FROM (SELECT qid, unnest(ks) AS key FROM en WHERE w = 'right') JOIN ky USING (key) GROUP BY qid),
+fa AS (SELECT qid, string_split(kg_fact, '|') AS f FROM qm),
+rs AS (SELECT qid, 1 AS side, f[1] AS raw FROM fa UNION ALL SELECT qid, 3, f[3] FROM fa),
+rd AS (SELECT qid, side, list_distinct(list(node_id)) AS ids FROM (SELECT qid, side, node_id FROM rs JOIN bn ON raw = node_id UNION ALL SELECT qid, side, node_id FROM rs JOIN ky ON lower(raw) = key WHERE raw NOT IN (SELECT node_id FROM bn)) GROUP BY qid, side),
+al AS (SELECT qm.*, f[2] AS rel, coalesce(en.ks, []) AS ks, coalesce(s.ids, []) AS src, coalesce(d.ids, []) AS dst, coalesce(tt.ids, []) AS txt FROM qm JOIN fa USING (qid) LEFT JOIN en ON en.qid = qm.qid AND en.w = 'all' LEFT JOIN rd s ON s.qid = qm.qid AND s.side = 1 LEFT JOIN rd d ON d.qid = qm.qid AND d.side = 3 LEFT JOIN tt ON tt.qid = qm.qid),
+pr AS (SELECT qid, rel, s, unnest(ends) AS d FROM (SELECT qid, rel, unnest(src) AS s, CASE WHEN len(dst) > 0 AND len(txt) > 0 THEN list_intersect(dst, txt) WHEN len(dst) > 0 THEN dst ELSE txt END AS ends FROM al)),
+hs AS (SELECT DISTINCT qid FROM pr JOIN be ON pr.s = src_id AND pr.d = dst_id AND rel = relation_type),
+sc AS (SELECT * EXCLUDE (correct, rel, ks, src, dst, txt), len(ks) AS ent_cnt, 1 AS rel_cnt, to_json(ks)::VARCHAR AS entities_matched,
+  CASE WHEN len(ks) <= 0 THEN 0 ELSE greatest(0, 100 - 20 * abs(len(ks) - 3)) END * 0.5::DOUBLE + 50 AS A_entity_relation_coverage_score, 60::DOUBLE AS B_coherence_score,
+  CASE WHEN list_has_any(dst, txt) THEN 100::DOUBLE ELSE 0 END AS C_entity_alignment_score, CASE WHEN qid IN (SELECT qid FROM hs) THEN 100::DOUBLE ELSE 0 END AS D_relation_correctness_score FROM al)"""
+
+
+@query(f"WITH {_SCORES} SELECT *, 0.25 * A_entity_relation_coverage_score + 0.25 * B_coherence_score + 0.25 * C_entity_alignment_score + 0.25 * D_relation_correctness_score AS Q_total FROM sc")
 def mcq_scores(spark, sf_dir):
     bn, be, _, _ = graphs(spark, sf_dir)
     s = mcq.evaluate(_questions(spark, sf_dir), bn, be)
@@ -496,22 +515,41 @@ def judge_score(spark, sf_dir):
 _REV = "SELECT CAST(o_orderkey AS STRING) AS qid, 'about ' || c_name || ' of ' || n_name || '.' AS original_question, 'about ' || c_name || ' of ' || n_name || ' in ' || r_name || '?' AS revised_question, CASE WHEN o_orderkey % 3 = 0 THEN 'no' ELSE 'yes' END AS changed, 'r' || CAST(o_orderkey AS STRING) AS revision_reason FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 
 
-@query()
+_SAFE = """bf AS (SELECT lower(name) AS k, name, ord FROM bn QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY ord) = 1), tf AS (SELECT lower(name) AS k, name, ord FROM tn QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY ord) = 1),
+bd AS (SELECT DISTINCT lower(a.name) AS a, lower(z.name) AS b, relation_type AS rel FROM be JOIN bn a ON src_id = a.node_id JOIN bn z ON dst_id = z.node_id), td AS (SELECT DISTINCT lower(a.name) AS a, lower(z.name) AS b, relation_type AS rel FROM te JOIN tn a ON src_id = a.node_id JOIN tn z ON dst_id = z.node_id)"""
+_FEEDBACK = f"""{_SAFE}, rv AS ({_REV}), ch AS (SELECT * FROM rv WHERE lower(changed) = 'yes'),
+tx AS (SELECT original_question AS o FROM ch UNION SELECT revised_question FROM ch), hd AS (SELECT o, k FROM tx JOIN (SELECT k FROM bf UNION SELECT k FROM tf) ON contains(lower(o), k)),
+fb AS (SELECT DISTINCT qid, k FROM ch JOIN hd ON original_question = o), fa AS (SELECT DISTINCT qid, k FROM ch JOIN hd ON revised_question = o),
+ad AS (SELECT qid, k AS a FROM fa EXCEPT SELECT qid, k FROM fb), sy AS (SELECT qid, k AS b FROM fa INTERSECT SELECT qid, k FROM fb),
+pq AS (SELECT least(a, b) AS p, greatest(a, b) AS q, min(rel) AS rel FROM td GROUP BY ALL), bo AS (SELECT p AS a, q AS b, rel FROM pq UNION SELECT q, p, rel FROM pq),
+oe AS (SELECT qid, a, b, rel FROM ad JOIN bo USING (a) JOIN sy USING (qid, b) QUALIFY row_number() OVER (PARTITION BY qid, a ORDER BY b) = 1),
+co AS (SELECT * FROM oe QUALIFY row_number() OVER (PARTITION BY qid ORDER BY a, b) <= 1),
+cn AS (SELECT co.*, t1.name AS t1, t2.name AS t2, m1.name AS m1, m2.name AS m2, revision_reason FROM co LEFT JOIN tf t1 ON a = t1.k LEFT JOIN tf t2 ON b = t2.k LEFT JOIN bf m1 ON a = m1.k LEFT JOIN bf m2 ON b = m2.k JOIN ch USING (qid)),
+nd AS (SELECT DISTINCT qid, a, t1, revision_reason FROM cn WHERE m1 IS NULL AND t1 IS NOT NULL),
+ff AS (SELECT qid, 'add_node' AS action, t1 AS entity1_name, '' AS entity2_name, '' AS relation_type_new, 'feedback-driven' AS reason, revision_reason FROM nd QUALIFY row_number() OVER (PARTITION BY qid ORDER BY a) <= 2
+  UNION ALL SELECT qid, 'add_edge', coalesce(t1, m1, a), coalesce(t2, m2, b), rel, 'feedback-driven', revision_reason FROM cn)"""
+
+
+@query(f"WITH {_FEEDBACK} SELECT * FROM ff")
 def feedback_suggestions(spark, sf_dir):
     bn, be, tn, te = graphs(spark, sf_dir)
     return evolve.feedback(frame(spark, sf_dir, _REV), bn, be, tn, te)
 
 
-@query()
+_LEGACY = f"""rv AS ({_REV}), nn AS (SELECT node_id, trim(name) AS name FROM bn WHERE trim(name) <> ''), tx AS (SELECT original_question AS o FROM rv UNION SELECT revised_question FROM rv),
+hd AS (SELECT o, name FROM tx JOIN (SELECT DISTINCT name FROM nn) ON contains(o, name)), fb AS (SELECT DISTINCT qid, name FROM rv JOIN hd ON original_question = o), fa AS (SELECT DISTINCT qid, name FROM rv JOIN hd ON revised_question = o),
+ke AS (SELECT * FROM fb INTERSECT SELECT * FROM fa), rm AS (SELECT * FROM fb EXCEPT SELECT * FROM fa), ad AS (SELECT * FROM fa EXCEPT SELECT * FROM fb),
+ee AS (SELECT src_id, dst_id, relation_type, a.name AS x, z.name AS y FROM be JOIN nn a ON src_id = a.node_id JOIN nn z ON dst_id = z.node_id), ei AS (SELECT * FROM ee UNION SELECT src_id, dst_id, relation_type, y, x FROM ee),
+nx AS (SELECT name, string_agg(DISTINCT node_id, ',' ORDER BY node_id) AS ids FROM nn GROUP BY name)"""
+
+
+@query(f"""WITH {_LEGACY} SELECT DISTINCT rm.qid, 'remove_edge' AS action, x AS entity1_name, y AS entity2_name, src_id AS entity1_id, dst_id AS entity2_id, relation_type AS relation_type_old, '' AS relation_type_new FROM rm JOIN ei ON rm.name = x JOIN ke ON ke.qid = rm.qid AND ke.name = y
+UNION ALL SELECT DISTINCT ad.qid, 'add_edge', ad.name, ke.name, p.ids, q.ids, '', 'related_to' FROM ad JOIN ke USING (qid) JOIN nx p ON p.name = ad.name JOIN nx q ON q.name = ke.name WHERE NOT EXISTS (SELECT 1 FROM ei WHERE x = ad.name AND y = ke.name)""")
 def legacy_suggestions(spark, sf_dir):
     bn, be, _, _ = graphs(spark, sf_dir)
     return evolve.legacy(frame(spark, sf_dir, _REV), bn, be)
 
 
-_SAFE = """bf AS (SELECT lower(name) AS k, name, ord FROM bn QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY ord) = 1), tf AS (SELECT lower(name) AS k, name, ord FROM tn QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY ord) = 1),
-bd AS (SELECT DISTINCT lower(a.name) AS a, lower(z.name) AS b, relation_type AS rel FROM be JOIN bn a ON src_id = a.node_id JOIN bn z ON dst_id = z.node_id), td AS (SELECT DISTINCT lower(a.name) AS a, lower(z.name) AS b, relation_type AS rel FROM te JOIN tn a ON src_id = a.node_id JOIN tn z ON dst_id = z.node_id)"""
-
-
 @query(f"WITH {_SAFE}, x AS (SELECT name, row_number() OVER (ORDER BY ord) AS place, count(*) OVER () AS n FROM tf WHERE k NOT IN (SELECT k FROM bf)) SELECT name AS entity1_name, place FROM x WHERE place <= least(floor(0.30::DOUBLE * n + 0.9999), 200)")
 def safety_nodes(spark, sf_dir):
     bn, _, tn, _ = graphs(spark, sf_dir)
@@ -530,6 +568,34 @@ UNION ALL SELECT 'u' || edge_id, 'b', 'add_edge', '', '', src_id, dst_id, '', re
 UNION ALL SELECT 'u' || edge_id, 'c', 'remove_edge', '', '', dst_id, src_id, CASE WHEN s % 2 = 0 THEN relation_type ELSE '' END, '' FROM te WHERE relation_type = 'supplies' AND d % 3 = 0"""
 
 
+# a log of names: nodes that are there and nodes that the log adds first are joined, twice in the same direction or in both, which counts once
+_NAMED = """SELECT 'u' || CAST(ord AS STRING) AS update_id, 'a' AS qid, 'add_node' AS action, upper(name) AS entity1_name, '' AS entity2_name, '' AS entity1_id, '' AS entity2_id, '' AS relation_type_old, '' AS relation_type_new FROM tn WHERE label IN ('supplier', 'nation')
+UNION ALL SELECT 'u' || edge_id, 'b', 'add_edge', x.name, y.name, '', '', '', 'supplied' FROM te JOIN tn x ON src_id = x.node_id JOIN tn y ON dst_id = y.node_id WHERE relation_type = 'located_in'
+UNION ALL SELECT 'v' || edge_id, 'b', 'add_edge', lower(y.name), x.name, '', '', '', 'supplied' FROM te JOIN tn x ON src_id = x.node_id JOIN tn y ON dst_id = y.node_id WHERE relation_type = 'located_in'"""
+
+
+@query("""WITH nm AS (SELECT lower(name) AS k FROM bn UNION SELECT lower(name) FROM tn WHERE label IN ('supplier', 'nation')),
+kn AS (SELECT lower(name) AS k, node_id FROM bn), ad AS (SELECT k FROM nm WHERE k NOT IN (SELECT k FROM kn)), ik AS (SELECT k, node_id AS name FROM kn UNION ALL SELECT k, k FROM ad),
+pr AS (SELECT DISTINCT lower(x.name) AS a, lower(y.name) AS b FROM te JOIN tn x ON src_id = x.node_id JOIN tn y ON dst_id = y.node_id WHERE relation_type = 'located_in')
+SELECT DISTINCT least(p.name, q.name) AS p, greatest(p.name, q.name) AS q, 'supplied' AS relation_type FROM pr JOIN ik p ON a = p.k JOIN ik q ON b = q.k""")
+def apply_named_edges(spark, sf_dir):
+    bn, be, _, _ = graphs(spark, sf_dir)
+    nodes, edges = evolve.apply(bn, be, frame(spark, sf_dir, _NAMED))
+    # nodes that the log made go by their folded names, as their numbers are another matter
+    known = nodes.join(bn.select("node_id").distinct(), "node_id", "left_anti").select("node_id", T.folded("name").alias("k"))
+    new = edges.where("relation_type = 'supplied'")
+    for c in ("src_id", "dst_id"):
+        new = new.join(known.select(F.col("node_id").alias(c), "k"), c, "left").withColumn(c, F.coalesce("k", c)).drop("k")
+    return new.select(F.least("src_id", "dst_id").alias("p"), F.greatest("src_id", "dst_id").alias("q"), "relation_type")
+
+
+@query("""SELECT id, CASE WHEN n % 7 = 0 THEN 0.8::DOUBLE WHEN n % 7 = 1 THEN 0 WHEN n % 7 = 2 THEN 1 ELSE round(n % 101 / 100::DOUBLE, 4) END AS confidence FROM qs""")
+def confidence_clamp(spark, sf_dir):
+    # missing, below, above and within the bounds
+    told = F.when(F.col("n") % 7 == 0, None).when(F.col("n") % 7 == 1, -0.25 * F.col("n")).when(F.col("n") % 7 == 2, 1.5 + F.col("n")).otherwise(F.round(F.col("n") % 101 / 100.0, 4))
+    return table(spark, sf_dir, "qs").select("id", T.confidence(told).alias("confidence"))
+
+
 def _applied(spark: SparkSession, sf_dir: str):
     bn, be, _, _ = graphs(spark, sf_dir)
     return evolve.apply(bn, be, frame(spark, sf_dir, _LOG))
@@ -637,7 +703,7 @@ def study_change(spark, sf_dir):
 
 @query("SELECT action, count(*) AS n FROM (" + _LOG + ") GROUP BY action")
 def action_counts(spark, sf_dir):
-    return frame(spark, sf_dir, _LOG).groupBy("action").agg(F.count("*").alias("n"))
+    return evolve.action_counts(frame(spark, sf_dir, _LOG))
 
 
 @query("SELECT id, unnest(['Building', 'x y']) AS alias FROM ms WHERE id % 2 = 0 UNION ALL SELECT id, 'one' FROM ms WHERE id % 2 = 1")
@@ -646,6 +712,12 @@ def alias_split(spark, sf_dir):
     return table(spark, sf_dir, "ms").select("id", F.explode(T.aliases(a)).alias("alias"))
 
 
+@query("""WITH p AS (SELECT turn, conv_id, unnest(string_split_regex(text, ',')) AS x, generate_subscripts(string_split_regex(text, ','), 1) AS i FROM conversations),
+s AS (SELECT conv_id, turn, i, trim(regexp_replace(x, '\s+', ' ', 'g')) AS alias FROM p) SELECT conv_id, turn, alias FROM s WHERE alias <> ''""")
+def alias_texts(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(T.aliases("text")).alias("alias"))
+
+
 @query()
 def align_relaxed_labels(spark, sf_dir):
     bn, _, tn, _ = graphs(spark, sf_dir)
@@ -780,7 +852,16 @@ def seed_fallback(spark, sf_dir):
     return graph.seeds(graph.diff(te, te, ["src_id", "relation_type", "dst_id"]), tn)
 
 
-@query()
+_LOGGED = f"""{_FEEDBACK}, xn AS (SELECT name, row_number() OVER (ORDER BY ord) AS place, count(*) OVER () AS n FROM tf WHERE k NOT IN (SELECT k FROM bf) AND k NOT IN (SELECT lower(entity1_name) FROM ff WHERE action = 'add_node')),
+pe AS (SELECT lower(entity1_name) AS a, lower(entity2_name) AS b, relation_type_new AS rel FROM ff WHERE action = 'add_edge'),
+xe AS (SELECT z.*, row_number() OVER (ORDER BY rel = 'related_to', -(length(a) + length(b)), rel, a, b) AS place, count(*) OVER () AS n FROM (SELECT td.* FROM td ANTI JOIN bd USING (a, b, rel) ANTI JOIN pe USING (a, b, rel)) z WHERE a IN (SELECT k FROM bf) AND b IN (SELECT k FROM bf)),
+lg AS (SELECT 0 AS part, 0 AS place, ff.* FROM ff
+  UNION ALL SELECT 1, place, 'safety_truth_15pct', 'add_node', name, '', '', 'safety-net', '' FROM xn WHERE place <= least(floor(0.30::DOUBLE * n + 0.9999), 200)
+  UNION ALL SELECT 1, place, 'safety_truth_15pct', 'add_edge', p.name, q.name, rel, 'safety-net', '' FROM xe JOIN tf p ON a = p.k JOIN tf q ON b = q.k WHERE place <= least(floor(0.30::DOUBLE * n + 0.9999), 200)),
+ln AS (SELECT *, row_number() OVER (ORDER BY part, qid, CASE action WHEN 'add_node' THEN 0 ELSE 1 END, place, entity1_name, entity2_name) AS r FROM lg)"""
+
+
+@query(f"WITH {_LOGGED} SELECT 'u' || CASE WHEN r < 100000 THEN lpad(r::VARCHAR, 5, '0') ELSE r::VARCHAR END AS update_id, qid, action, entity1_name, entity2_name, '' AS entity1_id, '' AS entity2_id, '' AS relation_type_old, relation_type_new, reason, revision_reason FROM ln")
 def suggestion_log(spark, sf_dir):
     return evolve.suggestions(frame(spark, sf_dir, _REV), *graphs(spark, sf_dir))
 
