@@ -4,7 +4,7 @@ Every document gets a hash from its key, as hexadecimal digits. For a source tha
 sizes, the wanted rest is the sum over documents whose hash lies under a threshold. The threshold is found without
 sorting: sizes are summed by source and the first digits of the hash, running sums over the (at most 4096) buckets of a
 source find the bucket in which the budget ends, and only that bucket is looked at again, by its next digits, until it holds one hash.
-Smaller budgets have smaller thresholds, so their mixes are nested. Thresholds are one row a source and budget.
+The documents of that hash are taken if the sum is then nearer to the budget than without them. Smaller budgets have smaller thresholds, so their mixes are nested. Thresholds are one row a source and budget.
 
 Sources are strings compared by code point, null last; a null or wordless text has size 0. Rows that share a key are taken
 or left together. An empty table gives an empty result.
@@ -48,8 +48,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
-    """(source, budget, threshold): documents of the source with hash below the threshold make up at most the budget, and no
-    further bucket of all digits fits. sized: source, size, hash; budgets: source, budget. A null threshold takes all."""
+    """(source, budget, threshold): documents of the source with hash below the threshold come as near to the budget as a threshold can, from
+    below where two are as near. sized: source, size, hash; budgets: source, budget. A null threshold takes all."""
     found = budgets.withColumn("threshold", F.lit("")).withColumn("left", F.col("budget").cast("double")).withColumn("open", F.lit(True))
     for level in range(LEVELS):
         n = DIGITS * level
@@ -59,10 +59,13 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
         cells = part.groupBy("source", "budget", "t", "left", F.substring("hash", n + 1, DIGITS).alias("cell")).agg(F.sum("size").alias("size"), (F.min("hash") == F.max("hash")).alias("one"))
         run = Window.partitionBy("source", "budget").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
         cells = cells.withColumn("sum", F.sum("size").over(run))
-        over = cells.where(F.col("sum") > F.col("left")).groupBy("source", "budget").agg(F.min_by(F.struct("cell", (F.col("sum") - F.col("size")).alias("under"), "one"), "cell").alias("o"))
+        over = cells.where(F.col("sum") > F.col("left")).groupBy("source", "budget").agg(F.min_by(F.struct("cell", (F.col("sum") - F.col("size")).alias("under"), "size", "one"), "cell").alias("o"))
         step = over.select(F.col("source").alias("s"), F.col("budget").alias("b"), "o")
         new = found.join(step, found["source"].eqNullSafe(F.col("s")) & (F.col("budget") == F.col("b")), "left")
-        found = cut(new.select("source", "budget", F.when(F.col("open") & F.col("o").isNotNull(), F.concat("threshold", "o.cell")).otherwise(F.col("threshold")).alias("threshold"), F.when(F.col("o").isNotNull(), F.col("left") - F.col("o.under")).otherwise(F.col("left")).alias("left"), (F.col("open") & F.col("o").isNotNull() & ~F.coalesce("o.one", F.lit(True))).alias("open"), *(["all"] if level else [F.col("o").isNull().alias("all")])), "mix")
+        # the sign behind all digits lets the boundary hash in
+        nearer = F.col("o.one") & (F.col("o.size") < 2 * (F.col("left") - F.col("o.under")))
+        beyond = F.concat("threshold", "o.cell", F.when(nearer, "~").otherwise(""))
+        found = cut(new.select("source", "budget", F.when(F.col("open") & F.col("o").isNotNull(), beyond).otherwise(F.col("threshold")).alias("threshold"), F.when(F.col("o").isNotNull(), F.col("left") - F.col("o.under")).otherwise(F.col("left")).alias("left"), (F.col("open") & F.col("o").isNotNull() & ~F.coalesce("o.one", F.lit(True))).alias("open"), *(["all"] if level else [F.col("o").isNull().alias("all")])), "mix")
         if found.where("open").isEmpty():  # a boundary bucket of one hash can't be split: its digits so far are the threshold
             break
     return found.select("source", "budget", F.when(~F.col("all"), F.col("threshold")).alias("threshold"))
@@ -111,8 +114,9 @@ r AS (SELECT *, cap / weight AS brim,
 l AS (SELECT arg_min(level, (brim, i)) AS level FROM (SELECT i, brim, (1.5::DOUBLE * (SELECT sum(source_size) FROM s) - capped) / opened AS level FROM r) WHERE level <= brim),
 t AS (SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target FROM r, l),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS times FROM t),
-x AS (SELECT source, h, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS upto FROM d GROUP BY source, h)
+x AS (SELECT source, h, sum(size) AS own, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS upto FROM d GROUP BY source, h),
+y AS (SELECT x.*, upto - (b.target - b.times * b.source_size) AS over FROM x JOIN b ON x.source IS NOT DISTINCT FROM b.source)
 SELECT d.doc_id, d.size, b.source_size, b.target,
-  (d.size * least(2, b.times + CASE WHEN x.upto <= b.target - b.times * b.source_size THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN x ON d.h = x.h AND d.source IS NOT DISTINCT FROM x.source
+  (d.size * least(2, b.times + CASE WHEN y.over <= 0 OR y.own >= y.over AND y.over < y.own - y.over THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN y ON d.h = y.h AND d.source IS NOT DISTINCT FROM y.source
 """
