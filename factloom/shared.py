@@ -36,12 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base}/factloom/{spark.sparkContext.applicationId}"
 
 
-#: Spark lets go of broadcasts, shuffles and compiled code of plans that are gone when the driver collects garbage; a long job of small plans seldom does.
-_EVERY, _cuts = 8, itertools.count(1)
+#: Spark lets go of broadcasts, shuffles and compiled code of plans that are gone when the driver collects garbage, and the heap shrinks with them; a long job of
+#: small plans seldom does.
+_EVERY, _cuts = 3, itertools.count(1)
 
 
 def cut(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and return a scan of what was written. Every eighth table the driver collects garbage."""
+    """Write ``df`` to the shared folder and return a scan of what was written. Every third table the driver collects garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     held = spark.conf.get(_CLEANED, "false")
