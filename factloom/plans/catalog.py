@@ -304,16 +304,6 @@ def align_relaxed_similarity(spark, sf_dir):
     return align.relaxed_names(words("benchmark"), words("conversations"), "similarity")
 
 
-# the baseline graph's names with letters changed, dropped and doubled in their middle
-_CHANGED = """SELECT node_id, CASE WHEN length(name) < 9 THEN name WHEN ord % 3 = 0 THEN substr(name, 1, length(name) - 5) || 'q' || substr(name, length(name) - 3)
-  WHEN ord % 3 = 1 THEN substr(name, 1, 4) || substr(name, 6) ELSE substr(name, 1, 5) || substr(name, 5) END AS name, label, ord FROM bn"""
-
-
-@query()
-def align_relaxed_changed(spark, sf_dir):
-    return align.relaxed_names(align.node_keys(frame(spark, sf_dir, _CHANGED)), align.node_keys(table(spark, sf_dir, "tn")))
-
-
 # ---- structure ----
 _NEAR = """nb0 AS (SELECT src_id AS u, dst_id AS v FROM be WHERE src_id <> dst_id AND src_id IN (SELECT node_id FROM bn) AND dst_id IN (SELECT node_id FROM bn)),
 nb AS (SELECT u, v FROM nb0 UNION SELECT v, u FROM nb0), dg AS (SELECT node_id, count(v) AS degree FROM bn LEFT JOIN nb ON node_id = u GROUP BY node_id)"""
