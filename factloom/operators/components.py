@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from factloom.shared import cut, drop
+from factloom.shared import cut, drop, released
 
 #: Edges that a task unites at a time.
 HELD = 1 << 20
@@ -67,7 +67,7 @@ def counted(edges: DataFrame, name: str = "cc", which: str = "true") -> tuple[Da
 
 def united(edges: DataFrame) -> DataFrame:
     """Edges (a, b) that connect what those of each partition do: one from every node to the least of its group there, and the loops."""
-    return edges.mapInArrow(_united, edges.schema)
+    return edges.mapInArrow(released(_united), edges.schema)
 
 
 def _round(edges: DataFrame) -> DataFrame:

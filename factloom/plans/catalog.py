@@ -702,7 +702,7 @@ def alias_split(spark, sf_dir):
     return table(spark, sf_dir, "ms").select("id", F.explode(T.aliases(a)).alias("alias"))
 
 
-@query("""WITH p AS (SELECT turn, conv_id, unnest(string_split_regex(text, ',')) AS x, generate_subscripts(string_split_regex(text, ','), 1) AS i FROM conversations),
+@query(r"""WITH p AS (SELECT turn, conv_id, unnest(string_split_regex(text, ',')) AS x, generate_subscripts(string_split_regex(text, ','), 1) AS i FROM conversations),
 s AS (SELECT conv_id, turn, i, trim(regexp_replace(x, '\s+', ' ', 'g')) AS alias FROM p) SELECT conv_id, turn, alias FROM s WHERE alias <> ''""")
 def alias_texts(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(T.aliases("text")).alias("alias"))
