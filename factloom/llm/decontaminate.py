@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.words import NOT_ALNUM, column, groups, words
-from factloom.shared import cut, fresh, without
+from factloom.shared import cut, fresh, released, without
 
 U = np.uint64
 #: Words of a window, windows of a block of test items, words that hold a window that is only near.
@@ -45,7 +45,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def vocabulary(items: DataFrame, text: str = "text") -> np.ndarray:
     """A bit for each hash of a term of ``items``, packed: BITS bits."""
-    spots = items.select(F.col(text).cast("string")).mapInArrow(_terms, "spot long")
+    spots = items.select(F.col(text).cast("string")).mapInArrow(released(_terms), "spot long")
     pages = spots.groupBy(F.expr(f"spot div {PAGE}").alias("page")).agg(F.bitmap_construct_agg(F.col("spot") % PAGE).alias("bits"))
     out = np.zeros(BITS // 8, np.uint8)
     for r in pages.toLocalIterator():  # 2048 pages of 4 KB at most
@@ -81,7 +81,7 @@ def index(docs: DataFrame, known: np.ndarray, key: str = "doc_id", text: str = "
     held = docs.sparkSession.sparkContext.broadcast(known)
     kind = docs.schema[key].dataType.simpleString()
     form = f"terms binary, counts binary, positions binary, row array<long>, doc_id array<{kind}>, n_words array<long>, start array<long>"
-    return cut(docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_postings(held, gap), form), "postings")
+    return cut(docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(released(_postings(held, gap)), form), "postings")
 
 
 class Shard:
@@ -219,7 +219,7 @@ def find(docs: DataFrame, items: DataFrame, window: int | None = WINDOW, key: st
     found = spark.createDataFrame([], FOUND)
     for block in blocks(items, window):
         held = spark.sparkContext.broadcast(block)
-        found = found.unionByName(cut(shards.mapInArrow(_match(held, slop), FOUND), "found"))
+        found = found.unionByName(cut(shards.mapInArrow(released(_match(held, slop)), FOUND), "found"))
         held.destroy()
     every = stored.select(F.explode(F.arrays_zip("row", "doc_id", "n_words")).alias("x")).select("x.*")
     return every, found
@@ -252,7 +252,7 @@ def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | No
     every, found = find(docs, items, window, slop=slop)
     exact = F.when(F.col("start").isNotNull(), F.struct("start", "wide"))
     own = found.groupBy("row").agg(F.collect_set(exact).alias("spans"), F.collect_set(F.when(exact.isNotNull(), F.col("item_id"))).alias("items"), F.size(F.collect_set("item_id")).cast("long").alias("n_near"))
-    hits = own.mapInArrow(_covered, "row long, n_hit long, n_items long, items_sha256 string, n_near long")
+    hits = own.mapInArrow(released(_covered), "row long, n_hit long, n_items long, items_sha256 string, n_near long")
     count = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     return every.join(hits, "row", "left").select("doc_id", "n_words", count("n_hit").alias("n_hit"), count("n_items").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (count("n_hit") > 0).alias("contaminated"), count("n_near").alias("n_near"))
 

@@ -25,7 +25,7 @@ from pyspark.sql.types import StructType
 
 from factloom.llm.sampling import draw, fitted, labelled
 from factloom.llm.words import WHITE, column, groups, mix, words
-from factloom.shared import fresh
+from factloom.shared import fresh, released
 
 U = np.uint64
 #: Labelled rows a label, dimensions, places of an index vector, words with vectors at most, words on each side, hidden units.
@@ -209,7 +209,7 @@ def classify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
                 score = held.value.score(data, offs[i : j + 1]).astype(float) if held.value is not None else np.full(j - i, 0.5)
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names)
 
-    return kept.mapInArrow(run, StructType(list(kept.schema.fields)).add("score", "double").add("predicted", "integer"))
+    return kept.mapInArrow(released(run), StructType(list(kept.schema.fields)).add("score", "double").add("predicted", "integer"))
 
 
 def accepted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

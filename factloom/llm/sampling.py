@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.shared import released
+
 
 def draw(rows: DataFrame, label: Column, key: str, each: int) -> tuple[DataFrame, int]:
     """The rows with ``label`` and ``u``, their place in 0..1 by the hash of their key: about ``each`` a label, all if there are fewer; the number of labels."""
@@ -40,5 +42,5 @@ def fitted(sample: DataFrame, fit):
         model = fit(rows["label"].to_pylist(), rows["text"].combine_chunks()) if rows is not None else fit([], pa.array([], pa.string()))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    rows = sample.repartition(1).mapInArrow(run, "model binary").collect()  # none if Spark sees that the sample is empty
+    rows = sample.repartition(1).mapInArrow(released(run), "model binary").collect()  # none if Spark sees that the sample is empty
     return pickle.loads(rows[0]["model"]) if rows else fit([], pa.array([], pa.string()))
