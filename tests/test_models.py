@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import align, graph, mcq, mentions, models, oracle, truth
+from factloom.plans import catalog
 from factloom.sources import tables
 
 
@@ -54,6 +55,24 @@ def test_truth_entities_limits(spark):
     assert got == want and seen.value in (12 + 8 + 2, 2 * (12 + 8 + 2))
 
 
+def test_truth_entities_query_keeps_every_mention(spark, tmp_path):
+    """The query has no limit a sentence: of 31 candidates all are checked and all that the check names are kept, as its SQL says."""
+    import duckdb
+
+    words = [f"Candidate{chr(97 + i // 6)}{chr(97 + i % 6)}" for i in range(30)]
+    long, short, late = " ".join([*words, "sixsix", words[0]]), " ".join(words[:7]), " ".join(["sixsix"] * 14 + words[:7])
+    docs = spark.createDataFrame([(3, f"{long}. Single one. {short}!"), (4, "Already finished before."), (5, None), (6, late)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [tuple(r) for r in catalog.QUERIES["truth_entities"](spark, str(tmp_path)).collect()]
+    want = {("3:1", "Single", 0, "Other", 0.95)}
+    for sentence, text, own in (("3:0", long, words), ("3:2", short, words[:7]), ("6:0", late, words[:7])):
+        want |= {(sentence, w, text.index(w), "Law", 0.95) for w in own}
+    assert set(rows) == want and len(rows) == len(want) == 45
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(con.execute(catalog.SQL["truth_entities"]).fetchall()) == sorted(rows)
+
+
 def test_truth_relations_keep_candidates_that_the_check_names(spark):
     words = [(s, n, i, w, "Concept") for s, n, own in (("a", 1, ["one", "two", "three", "one"]), ("b", 2, ["single"]), ("c", 3, [f"w{i}" for i in range(14)])) for i, w in enumerate(own)]
     m = spark.createDataFrame(words, "sentence_id string, sent_ord long, ord int, mention string, ent_type string")
