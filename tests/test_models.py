@@ -89,6 +89,18 @@ def test_truth_relations_keep_candidates_that_the_check_names(spark):
     assert [(r["src_id"], r["dst_id"]) for r in truth.edges(truth.relations(m, ask, same), nodes).collect()] == [("n1", "n2")]
 
 
+def test_truth_entities_query_counts_words_without_ascii_letters(spark, tmp_path):
+    import duckdb
+
+    docs = spark.createDataFrame([(0, "èçèçéê. Alphabet èçèçéê. betting. Alphabet ñandúes éèéèéèéè!"), (2, "××××××. éééééééé ùùùùùùù")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [tuple(r) for r in catalog.QUERIES["truth_entities"](spark, str(tmp_path)).collect()]
+    assert {(r[0], r[1], r[3]) for r in rows} >= {("0:0", "èçèçéê", "Other"), ("0:1", "Alphabet", "Org"), ("2:1", "ùùùùùùù", "Concept")}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(con.execute(catalog.SQL["truth_entities"]).fetchall()) == sorted(rows)
+
+
 def test_rewriter_failures_keep_the_question(spark):
     q = spark.createDataFrame([("q1", "abcd", 10.0), ("q2", "abcde", 10.0), ("q3", "abcd", 90.0), ("q4", "abc", 10.0)], "qid string, question string, Q_total double")
     q = q.withColumns({f"option_{x}": F.lit(x) for x in "abcd"} | {"answer": F.lit("A")})
