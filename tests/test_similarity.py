@@ -62,3 +62,15 @@ def test_names_that_differ_in_the_middle(spark):
     want = plain_relaxed(b, t)
     assert {k: v[:2] for k, v in got.items()} == want
     assert sum(v[2] == "similarity" for v in got.values()) > 50
+
+
+def test_names_that_are_all_alike_meet_few_others(spark, monkeypatch):
+    """A name that a target has with one character more meets no other names: keys against the plain loop, without a pair of grams."""
+    from test_models import plain_keys
+
+    monkeypatch.setattr(align, "_alike", lambda *_: (_ for _ in ()).throw(AssertionError("pairs of grams")))
+    t = [(f"Customer#{i:09d}", "customer") for i in range(150)] + [("Customer#00000012x", "x"), ("Customer#00000012x", "y")]
+    b = [(n[:-1] if i % 5 == 1 else n[:9] + n[10:] if i % 5 == 2 else n, "thing" if i % 7 == 3 else x) for i, (n, x) in enumerate(t[:150])]
+    of = lambda rows: spark.createDataFrame(rows, "name string, label string")
+    got = {r["key"]: r["target"] if r["claimed"] else None for r in align.relaxed_keys(of(b), of(t)).collect()}
+    assert got == plain_keys(b, t)
