@@ -6,13 +6,17 @@ relation_type_old, relation_type_new, reason, revision_reason.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from factloom.config import CONFIG, GENERIC_RELATIONS
 from factloom.functions import text as T
 from factloom.operators.dictionary import held as _held
 from factloom.operators.ids import first_by, largest_suffix, ordinals, prefix_of
+from factloom.shared import cut, touching
 
 
 def _rank() -> Column:
@@ -33,32 +37,55 @@ def named_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def mentioned(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(id, k): vocabulary names (k) that a text (id, text) holds."""
-    folded = texts.select("id", T.matched("text").alias("o"))
-    held = _held(folded.select("o"), vocabulary.select("k"))
-    return folded.join(held, "o").select("id", F.col("i").alias("k")).distinct()
+    """(id, k): vocabulary names (k) that a text (id, text) holds. Equal texts are looked at once."""
+    folded = cut(texts.select("text").distinct().select("text", T.matched("text").alias("o")), "folded")
+    held = folded.join(_held(folded.select("o"), vocabulary.select("k")), "o").select("text", F.col("i").alias("k"))
+    return texts.join(held, "text").select("id", "k").distinct()
+
+
+def _classes(revisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((qid, cls) of revised questions; (cls, before, after) of their texts): questions of the same texts, original and revised, are one class."""
+    own = revisions.where("qid is not null").groupBy("qid").agg(F.array_sort(F.collect_set(F.struct(F.col("original_question").alias("before"), F.col("revised_question").alias("after")))).alias("pairs"))
+    own = cut(own, "asked")
+    classes = cut(own.select("pairs").distinct().withColumn("cls", F.monotonically_increasing_id()), "classes")  # numbered once
+    asked = cut(own.join(classes, "pairs").select("qid", "cls"), "asked")
+    return asked, classes.select("cls", F.inline("pairs"))
+
+
+def _named(classes: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(cls, k, had, has): whether the texts of a class name k before and after; ``find``: names (id, k) of texts (id, text)."""
+    sides = F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("text")) for c in ("before", "after")])
+    found = find(classes.select("cls", F.explode(sides).alias("x")).select(F.struct("cls", "x.side").alias("id"), "x.text"))
+    side = lambda c: F.max(F.col("id.side") == c)
+    return cut(found.groupBy(F.col("id.cls").alias("cls"), "k").agg(side("before").alias("had"), side("after").alias("has")), "found")
 
 
-def feedback(revisions: DataFrame, nodes: DataFrame, edges: DataFrame, t_nodes: DataFrame, t_edges: DataFrame, edges_each: int = CONFIG.feedback_edges, nodes_each: int = CONFIG.feedback_nodes) -> DataFrame:
+def feedback(revisions: DataFrame, nodes: DataFrame, edges: DataFrame, t_nodes: DataFrame, t_edges: DataFrame, edges_each: int = CONFIG.feedback_edges, nodes_each: int = CONFIG.feedback_nodes, named: DataFrame | None = None) -> DataFrame:
     """Suggestions from changed questions: a pair of a newly named and a still named entity that the reference relates becomes an edge,
-    with the least of its relations; a new entity of such an edge that the graph lacks and the reference has becomes a node."""
-    mine, ref = names(nodes), names(t_nodes)
+    with the least of its relations; a new entity of such an edge that the graph lacks and the reference has becomes a node. ``named``: the reference's ``named_edges``, if they are there."""
+    mine, ref = cut(names(nodes), "names"), cut(names(t_nodes), "names")
     vocabulary = mine.select("k").unionByName(ref.select("k")).distinct()
     changed = revisions.where(F.lower("changed") == "yes")
-    find = lambda c: mentioned(changed.select(F.col("qid").alias("id"), F.col(c).alias("text")), vocabulary).withColumnRenamed("id", "qid")
-    before, after = find("original_question"), find("revised_question")
-    added = after.join(before, ["qid", "k"], "left_anti").withColumnRenamed("k", "a")
-    stayed = after.join(before, ["qid", "k"], "left_semi").withColumnRenamed("k", "b")
-    te = named_edges(t_nodes, t_edges)
+    asked, classes = _classes(changed)
+    found = _named(classes, lambda texts: mentioned(texts, vocabulary)).where("has")
+    added, stayed = found.where("not had").select("cls", F.col("k").alias("a")), found.where("had").select("cls", F.col("k").alias("b"))
+    # only reference edges of a name that some question adds
+    new = added.select(F.col("a").alias("k")).distinct()
+    if named is None:
+        ids = t_nodes.select("node_id", T.matched("name").alias("k")).join(new, "k", "left_semi").select("node_id")
+        te = named_edges(t_nodes, touching(t_edges, ["src_id", "dst_id"], ids))
+    else:
+        te = touching(named, ["a", "b"], new)
     pairs = te.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"), "rel").groupBy("p", "q").agg(F.min("rel").alias("rel"))
     both = pairs.select(F.col("p").alias("a"), F.col("q").alias("b"), "rel").unionByName(pairs.select(F.col("q").alias("a"), F.col("p").alias("b"), "rel")).distinct()
     # reference edges drive the join, so a question's names are never multiplied out
-    one_each = first_by(added.join(both, "a").join(stayed, ["qid", "b"]), ["qid", "a"], ["b"])
-    w = Window.partitionBy("qid").orderBy("a", "b")
+    one_each = first_by(added.join(both, "a").join(stayed, ["cls", "b"]), ["cls", "a"], ["b"])
+    w = Window.partitionBy("cls").orderBy("a", "b")
     chosen = one_each.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= edges_each)
     canon = lambda c, o: ref.select(F.col("k").alias(c), F.col("name").alias(f"_t{o}"))
     own = lambda c, o: mine.select(F.col("k").alias(c), F.col("name").alias(f"_m{o}"))
-    chosen = chosen.join(canon("a", 1), "a", "left").join(canon("b", 2), "b", "left").join(own("a", 1), "a", "left").join(own("b", 2), "b", "left").join(changed.select("qid", "revision_reason"), "qid")
+    chosen = chosen.join(canon("a", 1), "a", "left").join(canon("b", 2), "b", "left").join(own("a", 1), "a", "left").join(own("b", 2), "b", "left")
+    chosen = cut(chosen.join(asked, "cls").drop("cls").join(changed.select("qid", "revision_reason"), "qid"), "chosen")
     blank = F.lit("")
     edge = chosen.select("qid", F.lit("add_edge").alias("action"), F.coalesce("_t1", "_m1", "a").alias("entity1_name"), F.coalesce("_t2", "_m2", "b").alias("entity2_name"), F.col("rel").alias("relation_type_new"), F.lit("feedback-driven").alias("reason"), "revision_reason")
     need = chosen.where("_m1 is null and _t1 is not null").select("qid", "a", "_t1", "revision_reason").distinct()
@@ -68,8 +95,10 @@ def feedback(revisions: DataFrame, nodes: DataFrame, edges: DataFrame, t_nodes:
 
 
 def _first_share(rows: DataFrame, order: list, ratio: float, most: int) -> DataFrame:
-    n = F.least(F.floor(F.lit(ratio) * rows.agg(F.count("*").alias("c")).scalar() + 0.9999), F.lit(most))
-    return ordinals(rows, order, "_n").where(F.col("_n") <= n)
+    """The first ``ratio`` of all rows in ``order``, which must be total, but ``most`` of them at most, numbered by _n."""
+    seen = Observation()
+    top = cut(rows.observe(seen, F.count("*").alias("n")).orderBy(*order).limit(most), "first")
+    return top.withColumn("_n", F.row_number().over(Window.orderBy(*order))).where(F.col("_n") <= math.floor(ratio * seen.get["n"] + 0.9999))
 
 
 def safety_nodes(nodes: DataFrame, t_nodes: DataFrame, planned: DataFrame | None = None, ratio: float = CONFIG.safety_ratio, most: int = CONFIG.safety_most) -> DataFrame:
@@ -78,13 +107,13 @@ def safety_nodes(nodes: DataFrame, t_nodes: DataFrame, planned: DataFrame | None
     return _first_share(names(t_nodes).join(gone.distinct(), "k", "left_anti"), ["ord"], ratio, most).select(F.col("name").alias("entity1_name"), F.col("_n").alias("place"))
 
 
-def safety_edges(nodes: DataFrame, edges: DataFrame, t_nodes: DataFrame, t_edges: DataFrame, planned: DataFrame | None = None, ratio: float = CONFIG.safety_ratio, most: int = CONFIG.safety_most) -> DataFrame:
+def safety_edges(nodes: DataFrame, edges: DataFrame, t_nodes: DataFrame, t_edges: DataFrame, planned: DataFrame | None = None, ratio: float = CONFIG.safety_ratio, most: int = CONFIG.safety_most, named: DataFrame | None = None) -> DataFrame:
     """The first part of the reference's directed edges that neither the graph nor the plan (a, b, rel) has and whose ends the graph has: specific
-    relations before generic ones, longer names before shorter, then by relation and names."""
+    relations before generic ones, longer names before shorter, then by relation and names. ``named``: the reference's ``named_edges``, if they are there."""
     mine, ref = names(nodes).select("k"), names(t_nodes)
     gone = named_edges(nodes, edges)
     gone = gone if planned is None else gone.unionByName(planned.select("a", "b", "rel"))
-    miss = named_edges(t_nodes, t_edges).join(gone.distinct(), ["a", "b", "rel"], "left_anti")
+    miss = (named_edges(t_nodes, t_edges) if named is None else named).join(gone, ["a", "b", "rel"], "left_anti")
     miss = miss.join(mine.withColumnRenamed("k", "a"), "a", "left_semi").join(mine.withColumnRenamed("k", "b"), "b", "left_semi")
     miss = miss.withColumns({"_g": T.strip(F.lower("rel")).isin(*GENERIC_RELATIONS).cast("int"), "_w": -(F.length("a") + F.length("b"))})
     top = _first_share(miss, ["_g", "_w", "rel", "a", "b"], ratio, most)
@@ -94,12 +123,13 @@ def safety_edges(nodes: DataFrame, edges: DataFrame, t_nodes: DataFrame, t_edges
 
 def suggestions(revisions: DataFrame, nodes: DataFrame, edges: DataFrame, t_nodes: DataFrame, t_edges: DataFrame, safety_id: str = "safety_truth_15pct") -> DataFrame:
     """The whole log, numbered u00001 on: feedback first, then what it leaves of the safety net; rows by action, qid, number."""
-    own = feedback(revisions, nodes, edges, t_nodes, t_edges)
+    named = cut(named_edges(t_nodes, t_edges), "named")  # read by both parts
+    own = cut(feedback(revisions, nodes, edges, t_nodes, t_edges, named=named), "feedback")
     plan_n = own.where("action = 'add_node'").select(T.matched("entity1_name").alias("k"))
     plan_e = own.where("action = 'add_edge'").select(T.matched("entity1_name").alias("a"), T.matched("entity2_name").alias("b"), F.col("relation_type_new").alias("rel"))
     blank = F.lit("")
     sn = safety_nodes(nodes, t_nodes, plan_n).select(F.lit(safety_id).alias("qid"), F.lit("add_node").alias("action"), "entity1_name", blank.alias("entity2_name"), blank.alias("relation_type_new"), F.lit("safety-net").alias("reason"), blank.alias("revision_reason"), "place")
-    se = safety_edges(nodes, edges, t_nodes, t_edges, plan_e).select(F.lit(safety_id).alias("qid"), F.lit("add_edge").alias("action"), "entity1_name", "entity2_name", "relation_type_new", F.lit("safety-net").alias("reason"), blank.alias("revision_reason"), "place")
+    se = safety_edges(nodes, edges, t_nodes, t_edges, plan_e, named=named).select(F.lit(safety_id).alias("qid"), F.lit("add_edge").alias("action"), "entity1_name", "entity2_name", "relation_type_new", F.lit("safety-net").alias("reason"), blank.alias("revision_reason"), "place")
     log = own.withColumn("place", F.lit(0)).withColumn("_part", F.lit(0)).unionByName(sn.withColumn("_part", F.lit(1))).unionByName(se.withColumn("_part", F.lit(1)))
     log = log.withColumn("_k", _rank())
     log = ordinals(log, ["_part", "qid", "_k", "place", "entity1_name", "entity2_name"], "_n")
@@ -160,21 +190,23 @@ def legacy(revisions: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFram
     """The earlier suggestions, over exact names: removed x kept entities with an edge give remove_edge for each edge; added x kept entities without one give add_edge related_to."""
     n = nodes.select("node_id", T.strip("name").alias("name")).where("name <> ''")
     vocabulary = n.select(F.col("name").alias("i")).distinct()
+    asked, classes = _classes(revisions)
 
-    def find(c: str) -> DataFrame:
-        held = _held(revisions.select(c), vocabulary)
-        return revisions.select("qid", F.col(c).alias("o")).join(held, "o").select("qid", F.col("i").alias("name")).distinct()
+    def find(texts: DataFrame) -> DataFrame:
+        return texts.join(_held(texts.select("text"), vocabulary).withColumnRenamed("o", "text"), "text").select("id", F.col("i").alias("k"))
 
-    before, after = find("original_question"), find("revised_question")
-    both = before.join(after, ["qid", "name"], "left_semi")
-    removed, added = before.join(after, ["qid", "name"], "left_anti"), after.join(before, ["qid", "name"], "left_anti")
+    found = _named(classes, find).withColumnRenamed("k", "name")
+    both, removed, added = found.where("had and has").select("cls", "name"), found.where("had and not has").select("cls", "name"), found.where("has and not had").select("cls", "name")
     nm = lambda c, o: n.select(F.col("node_id").alias(c), F.col("name").alias(o))
-    e = edges.join(nm("src_id", "x"), "src_id").join(nm("dst_id", "y"), "dst_id").select("edge_id", "src_id", "dst_id", "relation_type", "x", "y")
+    changed = n.join(found.where("had <> has").select("name").distinct(), "name", "left_semi")  # only their edges count
+    e = touching(edges, ["src_id", "dst_id"], changed.select("node_id")).join(nm("src_id", "x"), "src_id").join(nm("dst_id", "y"), "dst_id").select("edge_id", "src_id", "dst_id", "relation_type", "x", "y")
+    e = cut(e, "named")
     either = e.unionByName(e.select("edge_id", "src_id", "dst_id", "relation_type", F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
     kept = both.withColumnRenamed("name", "y")
-    cut = removed.withColumnRenamed("name", "x").join(either, "x").join(kept, ["qid", "y"]).select("qid", F.lit("remove_edge").alias("action"), F.col("x").alias("entity1_name"), F.col("y").alias("entity2_name"), F.col("src_id").alias("entity1_id"), F.col("dst_id").alias("entity2_id"), F.col("relation_type").alias("relation_type_old"), F.lit("").alias("relation_type_new"))
+    gone = removed.withColumnRenamed("name", "x").join(either, "x").join(kept, ["cls", "y"]).select("cls", F.lit("remove_edge").alias("action"), F.col("x").alias("entity1_name"), F.col("y").alias("entity2_name"), F.col("src_id").alias("entity1_id"), F.col("dst_id").alias("entity2_id"), F.col("relation_type").alias("relation_type_old"), F.lit("").alias("relation_type_new"))
     # a question names few entities: its added x kept pairs are a join on the question
-    pairs = added.withColumnRenamed("name", "x").join(kept, "qid").join(either.select("x", "y").distinct(), ["x", "y"], "left_anti")
+    pairs = added.withColumnRenamed("name", "x").join(kept, "cls").join(either.select("x", "y").distinct(), ["x", "y"], "left_anti")
     ids = n.groupBy("name").agg(F.array_join(F.sort_array(F.collect_set("node_id")), ",").alias("ids"))
     add = pairs.join(ids.select(F.col("name").alias("x"), F.col("ids").alias("entity1_id")), "x").join(ids.select(F.col("name").alias("y"), F.col("ids").alias("entity2_id")), "y")
-    return cut.unionByName(add.select("qid", F.lit("add_edge").alias("action"), F.col("x").alias("entity1_name"), F.col("y").alias("entity2_name"), "entity1_id", "entity2_id", F.lit("").alias("relation_type_old"), F.lit("related_to").alias("relation_type_new"))).distinct()
+    every = gone.unionByName(add.select("cls", F.lit("add_edge").alias("action"), F.col("x").alias("entity1_name"), F.col("y").alias("entity2_name"), "entity1_id", "entity2_id", F.lit("").alias("relation_type_old"), F.lit("related_to").alias("relation_type_new"))).distinct()
+    return asked.join(every, "cls").select("qid", *[c for c in every.columns if c != "cls"])

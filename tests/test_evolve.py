@@ -99,3 +99,19 @@ def test_every_order_yields_a_revision(spark):
     at = "/root/testdata/sf0.001"
     orders = {str(r[0]) for r in spark.read.parquet(f"{at}/orders.parquet").select("o_orderkey").collect()}
     assert sorted(r["qid"] for r in demo.frame(spark, at, catalog._REV).collect()) == sorted(orders)
+
+
+def test_questions_of_the_same_texts_are_looked_up_once(spark, monkeypatch):
+    """The texts before and after a revision went through the dictionary one after the other, once a question."""
+    seen, held = [], evolve._held
+    monkeypatch.setattr(evolve, "_held", lambda texts, names: seen.append(texts) or held(texts, names))
+    rows = [(f"q{i}", "about Alpha of Beta.", "about Alpha of Beta in Gamma?", "yes", f"r{i}") for i in range(50)] + [("q0", "Gamma", "Alpha", "yes", "again"), (None, "Alpha Gamma", "Alpha", "yes", "none")]
+    asked = spark.createDataFrame(rows, "qid string, original_question string, revised_question string, changed string, revision_reason string")
+    nodes = spark.createDataFrame([("a", "Alpha", 1), ("b", "Beta", 2), ("g", "Gamma", 3)], "node_id string, name string, ord long")
+    edges = spark.createDataFrame([("e", "a", "g", "near", 1)], "edge_id string, src_id string, dst_id string, relation_type string, ord long")
+    got = evolve.feedback(asked, nodes, edges, nodes, edges).collect()
+    assert len(seen) == 1 and sorted(r["qid"] for r in got) == sorted(f"q{i}" for i in range(1, 50))
+    assert {(r["entity1_name"], r["entity2_name"], r["relation_type_new"]) for r in got} == {("Gamma", "Alpha", "near")}
+    got = evolve.legacy(asked, nodes, edges).collect()
+    assert len(seen) == 2 and seen[1].distinct().count() == 4 and None not in {r["qid"] for r in got}
+    assert {(r["action"], r["entity1_name"], r["entity2_name"]) for r in got if r["qid"] != "q0"} == {("add_edge", "Gamma", "Beta")}
