@@ -229,3 +229,12 @@ def test_relaxed_queries_go_on_to_similarity(spark, monkeypatch):
     assert got == {"alpha beta gamma": ("alpha bexa gamma", "similarity", True), "delta": ("delta one", "substring", True), "omega": (None, "none", False)}
     value = {r["metric_name"]: r["value"] for r in catalog.QUERIES["align_relaxed_triples"](spark, "").collect()}
     assert (value["relaxed_entity_tp"], value["relaxed_entity_fp"], value["relaxed_relation_tp"], value["relaxed_relaxed_dropped_edges_unmapped_endpoints"]) == (2, 1, 1, 1)
+
+
+def test_components_need_no_distinct_neighbours(spark, monkeypatch):
+    """The edges, in either direction and repeated, are united as they come; unknown ends and loops link nothing."""
+    monkeypatch.setattr(structure, "neighbours", lambda *_: (_ for _ in ()).throw(AssertionError("all neighbours, both ways")))
+    nodes = spark.createDataFrame([(x,) for x in "abcdefg"], "node_id string")
+    edges = spark.createDataFrame([("b", "a"), ("a", "b"), ("b", "c"), ("b", "c"), ("d", "d"), ("e", "x"), ("x", "f"), ("g", None)], "src_id string, dst_id string")
+    got = {tuple(r) for r in structure.component_sizes(nodes, edges).collect()}
+    assert got == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "e"), ("f", "f"), ("g", "g")}
