@@ -238,3 +238,15 @@ def test_components_need_no_distinct_neighbours(spark, monkeypatch):
     edges = spark.createDataFrame([("b", "a"), ("a", "b"), ("b", "c"), ("b", "c"), ("d", "d"), ("e", "x"), ("x", "f"), ("g", None)], "src_id string, dst_id string")
     got = {tuple(r) for r in structure.component_sizes(nodes, edges).collect()}
     assert got == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "e"), ("f", "f"), ("g", "g")}
+
+
+def test_merged_edges_leave_no_steps_behind(spark, monkeypatch):
+    """A step's table goes when the next one is there; the surest edge of a key stays, the first of equals, numbered by the key's first."""
+    gone, drop = [], graph.drop
+    monkeypatch.setattr(graph, "drop", lambda *t: gone.extend(t) or drop(*t), raising=False)
+    nodes = spark.createDataFrame([("x", "1", "A", "L", 1), ("x", "2", "B", "L", 2), ("y", "7", "B", "L", 1), ("y", "8", "A", "L", 2)], "kg string, node_id string, name string, label string, ord long")
+    rows = [("x", "e1", "1", "2", "r", 0.5, 1), ("x", "e2", "2", "2", "r", 0.9, 2), ("y", "f1", "8", "7", "r", 0.7, 1), ("y", "f2", "8", "7", "r", 0.7, 2), ("y", "f3", "7", "8", "r", None, 3), ("y", "f4", "7", "9", "r", 0.1, 4)]
+    edges = spark.createDataFrame(rows, "kg string, edge_id string, src_id string, dst_id string, relation_type string, confidence double, ord long")
+    got = [tuple(r) for r in graph.merge_edges(edges, nodes, graph.merge_nodes(nodes)).orderBy("global_edge_id").collect()]
+    assert got == [("ge00001", "g00001", "g00002", "r", 0.7, "f1", "y"), ("ge00002", "g00002", "g00001", "r", None, "f3", "y")]
+    assert len(gone) == 2
