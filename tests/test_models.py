@@ -194,3 +194,13 @@ def test_written_questions_name_their_facts(spark, writer):
     got = mcq.capped(mcq.generated(facts, writer)).orderBy("qid").collect()
     assert [(r["qid"], r["kg_fact"]) for r in got] == [("q0001", "f0"), ("q0002", "f1"), ("q0003", "f2"), ("q0004", "f")]
     assert all(r[f"option_{r['answer'].lower()}"] == "d" + r["kg_fact"][1:] for r in got)
+
+
+def test_facts_of_a_chunk_are_gathered_once(spark):
+    """Facts come back with the reply; they were gathered a second time and joined with it."""
+    rows = [(i, i // 2, i % 2, f"s{i}", "r", 'd"\\ü\n', f"k{i}", None) for i in range(4)]
+    chunks = spark.createDataFrame(rows, "ord long, chunk long, place long, src_name string, rel string, dst_name string, kg_fact string, context string")
+    got = mcq._replies(chunks, lambda row: str(len(row["facts"])))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    told = {r["chunk"]: r for r in got.collect()}
+    assert told[1]["reply"] == "2" and told[1]["n_facts"] == 2 and tuple(told[1]["facts"][1]) == (1, "s3", "r", 'd"\\ü\n', "k3", None)
