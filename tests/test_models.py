@@ -204,3 +204,18 @@ def test_facts_of_a_chunk_are_gathered_once(spark):
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
     told = {r["chunk"]: r for r in got.collect()}
     assert told[1]["reply"] == "2" and told[1]["n_facts"] == 2 and tuple(told[1]["facts"][1]) == (1, "s3", "r", 'd"\\ü\n', "k3", None)
+
+
+def test_truth_relations_join_nothing_before_the_check(spark, monkeypatch):
+    """Types of ends were joined to the candidates, which shuffled all mentions again; they come back with the reply."""
+    plans = []
+    cut = truth.cut if hasattr(truth, "cut") else None
+    monkeypatch.setattr(truth, "cut", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df, name), raising=False)
+    rows = [("a", 1, 0, "one", "X"), ("a", 1, 1, "two", None), ("a", 1, 2, "one", "Z"), ("b", 9, 0, "one", "X"), ("b", 9, 1, "six", "Y")]
+    m = spark.createDataFrame(rows, "sentence_id string, sent_ord long, ord int, mention string, ent_type string")
+    r = lambda h, t: {"head": h, "relation_type": "causes", "tail": t}
+    ask = lambda row: json.dumps([{"sentence_id": s["sentence_id"], "relations": [r("one", "two"), r("one", "two"), r("two", "gone"), r("one", "six")]} for s in row["batch"]])
+    same = lambda row: json.dumps([{"sentence_id": s["sentence_id"], "relations": s["relations"]} for s in row["batch"]])
+    got = {tuple(x) for x in truth.relations(m, ask, same).select("sentence_id", "pair", "head", "tail", "head_type", "tail_type").collect()}
+    assert got == {("a", 0, "one", "two", "X", None), ("b", 3, "one", "six", "X", "Y")}
+    assert len(plans) == 1 and "Join" not in plans[0]
